@@ -270,3 +270,34 @@ def trailing_run(df: DataFrame, keys: Sequence[str], order: Sequence[str], test:
     return after.agg(
         F.sum(F.when(F.col("__bad").isNull() | (F.col("__o") > F.col("__bad")), 1).otherwise(0)).cast("long").alias(out)
     )
+
+
+def latest_lists(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str], cols: Sequence[str], n: int, out: str) -> DataFrame:
+    """One row per (key, time): the newest ``n`` rows of the key up to that time, oldest first.
+
+    Each time of a key is cut to its newest ``n`` rows before anything is collected, so the lists
+    stay short whatever the key holds.
+    """
+    newest = [F.col(t).desc() for t in tie]
+    cut = top_n(df.select(*keys, time, *tie, *[c for c in cols if c not in (time, *tie, *keys)]), [*keys, time], newest, n)
+    entry = F.struct(time, *tie, *[F.col(c) for c in cols if c not in (time, *tie)])
+    per_time = cut.groupBy(*keys, time).agg(F.array_sort(F.collect_list(entry)).alias("__l"))
+    w = Window.partitionBy(*keys).orderBy(time).rowsBetween(1 - n, 0)
+    joined = per_time.select(*keys, time, F.flatten(F.collect_list("__l").over(w)).alias("__a"))
+    return joined.select(*keys, time, F.expr(f"slice(__a, greatest(1, size(__a) - {n - 1}), {n})").alias(out))
+
+
+def previous_row(
+    df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str], values: dict[str, str], slot: int = SLOT_SECONDS
+) -> DataFrame:
+    """Values of the row just before each row of its key: ``lag`` inside a time slot, and the
+    newest row of the earlier slots for the first row of a slot."""
+    order = [F.col(time), *[F.col(t) for t in tie]]
+    packed = F.struct(time, *tie, *[F.col(v).alias(f"v_{o}") for o, v in values.items()])
+    cut = df.withColumn("__slot", time_bucket(time, slot)).withColumn("__me", packed)
+    local = cut.withColumn("__lag", F.lag("__me").over(Window.partitionBy(*keys, "__slot").orderBy(*order)))
+    edges = cut.groupBy(*keys, "__slot").agg(F.max("__me").alias("__edge"))
+    before = Window.partitionBy(*keys).orderBy("__slot")
+    edges = edges.select(*keys, "__slot", F.lag("__edge").over(before).alias("__carry"))
+    joined = match_keys(local, edges, [*keys, "__slot"]).withColumn("__hit", F.coalesce("__lag", "__carry"))
+    return joined.select(*df.columns, *[F.col(f"__hit.v_{o}").alias(o) for o in values])

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.functions.ordered import asof_join, match_keys, top_n
+from touchline.functions.ordered import asof_join, latest_lists, match_keys, top_n
+from touchline.functions.numbers import settle
 from touchline.functions.words import normalize_name
 
 # Position order, accepted sort names and what they sort by
@@ -100,7 +101,7 @@ def top_by_position(
     return (
         t.orderBy(first.desc(), F.col("total_points").desc(), "player_name")
         .limit(limit)
-        .withColumn("points_per_game", F.round("__ppg", 2))
+        .withColumn("points_per_game", settle("__ppg", 2))
         .drop("__ppg")
     )
 
@@ -126,7 +127,7 @@ def top_by_position_in_gameweek(
         t.withColumnRenamed("name", "player_name")
         .orderBy(first.desc(), F.col("total_points").desc(), "player_name")
         .limit(limit)
-        .withColumn("points_per_game", F.round("__ppg", 2))
+        .withColumn("points_per_game", settle("__ppg", 2))
         .drop("__ppg")
     )
 
@@ -137,7 +138,7 @@ def top_per_position(totals: DataFrame, players: DataFrame, n: int = 5) -> DataF
     t = top_n(t, ["position"], [F.col("total_points").desc(), F.col("name")], n)
     return t.select(
         "position", F.col("name").alias("player_name"), "total_points", "goals", "assists", "bonus", "games",
-        F.round(_per(F.col("total_points")), 2).alias("points_per_game"), "rank_no",
+        settle(_per(F.col("total_points")), 2).alias("points_per_game"), "rank_no",
     ).orderBy(position_order(), "rank_no")
 
 
@@ -145,8 +146,8 @@ def _averages(t: DataFrame) -> DataFrame:
     return t.select(
         F.col("name").alias("player_name"), "season", "team", "position", "games", "total_points", "goals", "assists",
         "clean_sheets", "bonus", "minutes",
-        F.round(_per(F.col("ict_sum")), 2).alias("avg_ict_index"),
-        F.round(_per(F.col("value_sum")) / 10, 2).alias("avg_value_millions"),
+        settle(_per(F.col("ict_sum")), 2).alias("avg_ict_index"),
+        settle(_per(F.col("value_sum")) / 10, 2).alias("avg_value_millions"),
     )
 
 
@@ -238,7 +239,7 @@ def best_value(stats: DataFrame, players: DataFrame, season: str, position: str
     return (
         t.select(F.col("name").alias("player_name"), "position", "total_points", (avg / 10).alias("value_millions"), ppm.alias("__p"))
         .orderBy(F.col("__p").desc(), "player_name").limit(limit)
-        .withColumn("points_per_million", F.round("__p", 2)).drop("__p")
+        .withColumn("points_per_million", settle("__p", 2)).drop("__p")
     )
 
 
@@ -257,7 +258,7 @@ def bonus_leaders(stats: DataFrame, season: str, limit: int = 10) -> DataFrame:
     t = _pick(stats, season=season).filter(F.col("bonus") > 0)
     return t.select(
         F.col("name").alias("player_name"), F.col("bonus").alias("total_bonus"), F.col("bps").alias("total_bps"), "games",
-        F.round(F.col("bonus") / F.col("games"), 2).alias("bonus_per_game"),
+        settle(F.col("bonus") / F.col("games"), 2).alias("bonus_per_game"),
     ).orderBy(F.col("total_bonus").desc(), F.col("total_bps").desc(), "player_name").limit(limit)
 
 
@@ -271,7 +272,7 @@ def clean_sheet_leaders(stats: DataFrame, players: DataFrame, season: str | None
     return (
         t.filter(F.col("total_clean_sheets") > 0)
         .select(F.col("name").alias("player_name"), "position", "total_clean_sheets", "total_points", "games",
-                F.round(_per(F.col("total_clean_sheets")), 2).alias("clean_sheets_per_game"))
+                settle(_per(F.col("total_clean_sheets")), 2).alias("clean_sheets_per_game"))
         .orderBy(F.col("total_clean_sheets").desc(), F.col("total_points").desc(), "player_name").limit(limit)
     )
 
@@ -283,12 +284,12 @@ def ict_leaders(stats: DataFrame, players: DataFrame, season: str | None, limit:
     return (
         t.select(
             F.col("name").alias("player_name"), "season", "position", (F.col("ict_played_sum") / a).alias("__i"),
-            F.round(F.col("influence_played_sum") / a, 2).alias("avg_influence"),
-            F.round(F.col("creativity_played_sum") / a, 2).alias("avg_creativity"),
-            F.round(F.col("threat_played_sum") / a, 2).alias("avg_threat"), "total_points", a.alias("games"),
+            settle(F.col("influence_played_sum") / a, 2).alias("avg_influence"),
+            settle(F.col("creativity_played_sum") / a, 2).alias("avg_creativity"),
+            settle(F.col("threat_played_sum") / a, 2).alias("avg_threat"), "total_points", a.alias("games"),
         )
         .orderBy(F.round("__i", 9).desc(), "player_name", "season").limit(limit)
-        .withColumn("avg_ict_index", F.round("__i", 2)).drop("__i")
+        .withColumn("avg_ict_index", settle("__i", 2)).drop("__i")
     )
 
 
@@ -308,8 +309,8 @@ def compare_players(stats: DataFrame, players: DataFrame, names: Sequence[str],
     t = t.join(players.select("name", "position", "team"), "name", "left")
     return t.select(
         F.col("name").alias("player_name"), "position", "team", "total_points", "goals", "assists", "clean_sheets", "bonus", "minutes", "games",
-        F.round(F.col("ict_sum") / F.col("games"), 2).alias("avg_ict_index"),
-        F.round(F.col("value_sum") / 10 / F.col("games"), 2).alias("avg_value_millions"),
+        settle(F.col("ict_sum") / F.col("games"), 2).alias("avg_ict_index"),
+        settle(F.col("value_sum") / 10 / F.col("games"), 2).alias("avg_value_millions"),
     ).orderBy(F.col("total_points").desc(), "player_name")
 
 
@@ -369,7 +370,7 @@ def seasons_summary(fixtures: DataFrame, stats: DataFrame, season: str | None =
     return f.join(s, "season", "left").select(
         "season", "total_gameweeks", "total_fixtures", "total_goals",
         F.coalesce("p", F.lit(0)).alias("total_points"), F.coalesce("n", F.lit(0)).alias("total_players"),
-        F.round(F.col("total_goals") / F.col("total_fixtures"), 2).alias("goals_per_game"),
+        settle(F.col("total_goals") / F.col("total_fixtures"), 2).alias("goals_per_game"),
     ).orderBy("season")
 
 
@@ -462,16 +463,8 @@ def meetings(fixtures: DataFrame, n: int = 6) -> DataFrame:
     """For each match the latest ``n`` earlier meetings of the two clubs."""
     pair = F.array_join(F.array_sort(F.array("home_team", "away_team")), "|")
     f = fixtures.select("id", "kickoff_time", "home_team", "away_team", "home_score", "away_score", pair.alias("pair"))
-    # newest n results per kick-off, then the newest n up to each kick-off: short lists only
-    played = top_n(f.filter(F.col("home_score").isNotNull()), ["pair", "kickoff_time"], [F.col("id").desc()], n)
-    result = F.struct("kickoff_time", "id", "home_team", "home_score", "away_score")
-    per_time = played.groupBy("pair", "kickoff_time").agg(F.array_sort(F.collect_list(result)).alias("__l"))
-    w = Window.partitionBy("pair").orderBy("kickoff_time").rowsBetween(1 - n, 0)
-    many = per_time.select("pair", "kickoff_time", F.flatten(F.collect_list("__l").over(w)).alias("__a"))
-    recent = many.select(
-        "pair", "kickoff_time",
-        F.expr(f"slice(__a, greatest(1, size(__a) - {n - 1}), {n})").alias("past"),
-    )
+    played = f.filter(F.col("home_score").isNotNull())
+    recent = latest_lists(played, ["pair"], "kickoff_time", ["id"], ["home_team", "home_score", "away_score"], n, "past")
     hit = asof_join(f.select("id", "kickoff_time", "pair"), recent, "kickoff_time", ["pair"], ["past"])
     return hit.select("id", F.explode("past").alias("m")).select(
         "id", F.col("m.id").alias("earlier_id"), F.col("m.home_team").alias("home_team"),
@@ -500,7 +493,7 @@ def position_pool(stats: DataFrame, name: str, season: str | None = None) -> Dat
 def expected_goals_by_fixture(app: DataFrame) -> DataFrame:
     """Rounded expected goals per side; sides without data are left out."""
     t = app.groupBy("fixture", "team").agg(F.sum("expected_goals").alias("x"), F.count("expected_goals").alias("n"))
-    return t.filter(F.col("n") > 0).select("fixture", "team", F.round("x", 2).alias("xg"))
+    return t.filter(F.col("n") > 0).select("fixture", "team", settle("x", 2).alias("xg"))
 
 
 def next_fixture(fixtures: DataFrame, after: str) -> DataFrame:
