@@ -301,3 +301,43 @@ def previous_row(
     edges = edges.select(*keys, "__slot", F.lag("__edge").over(before).alias("__carry"))
     joined = match_keys(local, edges, [*keys, "__slot"]).withColumn("__hit", F.coalesce("__lag", "__carry"))
     return joined.select(*df.columns, *[F.col(f"__hit.v_{o}").alias(o) for o in values])
+
+
+def rolling_rows(
+    df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str], made: dict[str, tuple[str, str, int]],
+    slot: int = SLOT_SECONDS, chunk: int = 100_000,
+) -> DataFrame:
+    """Add ``{out: (function, column, w)}``: a function over the last ``w`` rows before each row.
+
+    Rows are numbered within their key, cut into chunks of that numbering, and the last rows of a
+    chunk are handed to the next one as well, so a long key is spread over many tasks.
+    """
+    widest = max(w for _, _, w in made.values())
+    if widest > chunk:
+        raise ValueError("a chunk must hold the widest window")
+    fns = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
+    at = F.col("__g") - 1
+    own = F.floor(at / chunk)
+    numbered = time_positions(df, keys, time, tie, "__g", slot)
+    spread = numbered.withColumn("__own", own).withColumn(
+        "__chunk", F.explode(F.when(F.pmod(at, F.lit(chunk)) >= chunk - widest, F.array(own, own + 1)).otherwise(F.array(own)))
+    )
+    w = Window.partitionBy(*keys, "__chunk").orderBy("__g")
+    rolled = spread.select("*", *[fns[f](c).over(w.rowsBetween(-n, -1)).alias(o) for o, (f, c, n) in made.items()])
+    return rolled.filter(F.col("__own") == F.col("__chunk")).drop("__g", "__own", "__chunk")
+
+
+def last_known(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str], cols: dict[str, str], slot: int = SLOT_SECONDS) -> DataFrame:
+    """Add ``{out: column}``: the last value a column had up to and including each row of its key."""
+    order = [F.col(time), *[F.col(t) for t in tie]]
+    cut = df.withColumn("__slot", time_bucket(time, slot))
+    inside = Window.partitionBy(*keys, "__slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.select("*", *[F.last(c, ignorenulls=True).over(inside).alias(f"__in_{o}") for o, c in cols.items()])
+    newest = [
+        F.max(F.when(F.col(c).isNotNull(), F.struct(time, *tie, F.col(c).alias("v")))).alias(f"__m_{o}") for o, c in cols.items()
+    ]
+    slots = cut.groupBy(*keys, "__slot").agg(*newest)
+    before = Window.partitionBy(*keys).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    carry = slots.select(*keys, "__slot", *[F.last(f"__m_{o}.v", ignorenulls=True).over(before).alias(f"__c_{o}") for o in cols])
+    joined = match_keys(local, carry, [*keys, "__slot"])
+    return joined.select(*df.columns, *[F.coalesce(f"__in_{o}", f"__c_{o}").alias(o) for o in cols])

@@ -204,8 +204,8 @@ def team_summary(matches: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("played"),
         F.count_if(F.col("goals_against") == 0).alias("clean_sheets"),
         F.count_if(F.col("goals_for") == 0).alias("failed_to_score"),
-        F.round(F.sum(F.when(both, F.col("xg_for"))), 6).alias("xg_for"),
-        F.round(F.sum(F.when(both, F.col("xg_against"))), 6).alias("xg_against"),
+        settle(F.sum(F.when(both, F.col("xg_for"))), 6).alias("xg_for"),
+        settle(F.sum(F.when(both, F.col("xg_against"))), 6).alias("xg_against"),
         F.count_if(both).alias("xg_matches"),
         *[F.count_if((r == x) & (home if at == "home" else ~home)).alias(f"{at}_{n}")
           for at in ("home", "away") for x, n in (("W", "won"), ("D", "drawn"), ("L", "lost"))],
@@ -257,7 +257,7 @@ def match_summary(app: DataFrame) -> DataFrame:
         named("goals_scored", own).alias("scorers"), named("assists", own).alias("assists"),
         named("own_goals", other).alias("own_goals_for"), named("yellow_cards", own).alias("yellow_cards"),
         named("red_cards", own).alias("red_cards"),
-        F.round(F.sum(F.when(own, F.col("expected_goals"))), 6).alias("xg"),
+        settle(F.sum(F.when(own, F.col("expected_goals"))), 6).alias("xg"),
         F.coalesce(F.sum(F.when(own, F.col("total_points"))), F.lit(0)).alias("points"),
         F.count_if(own & st).alias("starters"),
         F.count_if(own & ~st & (F.col("minutes") > 0)).alias("substitutes"),
@@ -343,7 +343,7 @@ def model_calls(rows: DataFrame, group: Sequence[str], n: int = 3, pool: int = 2
     out = rows.join(backed.select(*g, "element", "__place"), [*g, "element"], "left_anti").withColumn("__gap", gap)
     missed = top_n(out, g, [F.col("__gap").desc(), F.col("element")], n).filter(F.col("__gap") > 0).drop("__gap").withColumn("call", F.lit("missed"))
     cols = [*g, "call", "rank_no", "element", "predicted", "actual"]
-    return best.select(cols).unionByName(worst.select(cols)).unionByName(missed.select(cols)).withColumn("gap", F.round(gap, 6))
+    return best.select(cols).unionByName(worst.select(cols)).unionByName(missed.select(cols)).withColumn("gap", settle(gap, 6))
 
 
 def merge_live(stored: DataFrame, live: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -61,7 +61,7 @@ def profile_totals(app: DataFrame, keys: Sequence[str], min_minutes: int = 90) -
     )
     rates = ["total_points", "goals_scored", "expected_goals", "assists", "bps"]
     enough = F.col("minutes") >= min_minutes
-    return t.select("*", *[F.when(enough, F.round(F.col(c) / F.col("minutes") * 90, 6)).alias(f"{c}_per_90") for c in rates])
+    return t.select("*", *[F.when(enough, settle(F.col(c) / F.col("minutes") * 90, 6)).alias(f"{c}_per_90") for c in rates])
 
 
 def match_view(app: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def player_highlights(app: DataFrame) -> DataFrame:
     return out.select(
         "element", *[F.coalesce(n, F.lit(0)).alias(n) for n, _ in runs], F.col("__best.total_points").alias("best_points"),
         F.col("__best.fixture").alias("best_fixture"), "best_season", "big_scores", "appearances",
-        F.round("last5", 6).alias("last5"), F.when(F.col("appearances") > 0, F.round(F.col("points") / F.col("appearances"), 6)).alias("per_game"),
+        settle("last5", 6).alias("last5"), F.when(F.col("appearances") > 0, settle(F.col("points") / F.col("appearances"), 6)).alias("per_game"),
     )
 
 
@@ -334,7 +334,7 @@ def team_highlights(fixtures: DataFrame) -> DataFrame:
     out = t.join(edge, "season").join(nxt, ["season", "team"], "left").join(win_runs(rows), ["season", "team"], "left")
     return out.select(
         "season", "team", "clean_sheets", (on & (F.col("gf") == F.col("__gf"))).alias("best_attack"), (on & (F.col("ga") == F.col("__ga"))).alias("best_defence"),
-        F.when(F.col("__n") == 3, F.round("__d", 6)).alias("next3_difficulty"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("won", "unbeaten", "lost", "winless")],
+        F.when(F.col("__n") == 3, settle("__d", 6)).alias("next3_difficulty"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("won", "unbeaten", "lost", "winless")],
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from touchline.functions.numbers import settle
 from touchline.operators import derived as D
 from touchline.operators import league as L
 from touchline.operators import players as P
@@ -34,7 +35,7 @@ add("P2_profile_totals", lambda s, d: _six(P.profile_totals(app(s, d), ["element
 
 
 def _six(df):
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[settle(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 add("P2_profile_timeline", lambda s, d: app(s, d).groupBy("season", "GW", "element").agg(*[F.sum(c).alias(c) for c in ("total_points", "minutes", "goals_scored", "assists")]),
@@ -127,8 +128,8 @@ CTES["wk"] = ("SELECT e.season, e.element, g.GW, coalesce(p, 0) AS points FROM (
 add("P18_player_runs", lambda s, d: P.player_runs(_weeks(s, d), pl(s, d).select("element", "name")),
     ctes("wk", "pl", extra={"t": "SELECT season, element, round(sum(points), 2) AS total, string_agg(CAST(points AS STRING), ' ' ORDER BY GW) AS weeks FROM wk GROUP BY season, element"})
     + "SELECT season, element, name, total, CAST(rn AS INT) AS rank_no, weeks FROM (SELECT *, row_number() OVER (PARTITION BY season ORDER BY total DESC, element) AS rn FROM t) JOIN pl USING (element) WHERE rn <= 20")
-add("P19_promoted_teams", lambda s, d: P.promoted_teams(app(s, d).filter("GW = 1 OR season < '1997'")),
-    ctes("app", extra={"t": "SELECT DISTINCT CAST(substr(season, 1, 4) AS INT) AS y, season, team FROM app WHERE GW = 1 OR season < '1997'"}) + "SELECT season, team FROM t WHERE y > (SELECT min(y) FROM t) AND (y - 1, team) NOT IN (SELECT (y, team) FROM t)")
+add("P19_promoted_teams", lambda s, d: P.promoted_teams(app(s, d).filter("GW = 1 AND day(kickoff_time) <= 2")),
+    ctes("app", extra={"t": "SELECT DISTINCT CAST(substr(season, 1, 4) AS INT) AS y, season, team FROM app WHERE GW = 1 AND day(kickoff_time) <= 2"}) + "SELECT season, team FROM t WHERE y > (SELECT min(y) FROM t) AND (y - 1, team) NOT IN (SELECT (y, team) FROM t)")
 add("P20_ownership_ranking", lambda s, d: P.ownership_ranking(pl(s, d)), ctes("pl") + "SELECT element, name, position, selected_by_percent, row_number() OVER (PARTITION BY position ORDER BY selected_by_percent DESC, element) AS place FROM pl")
 add("P21_most_common_value", lambda s, d: P.most_common_value(pl(s, d), "team"), ctes("pl") + "SELECT team, count(*) AS n FROM pl GROUP BY team ORDER BY n DESC, team LIMIT 1")
 _TESTS = {"goal_run": "goals_scored > 0", "return_run": "goals_scored + assists > 0", "clean_run": "clean_sheets > 0", "blank_run": "total_points <= 2"}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from touchline.functions.numbers import settle
 from touchline.operators import derived as D
 from touchline.operators import readlib as R
 from touchline.plans import roles
@@ -23,7 +24,7 @@ add("A1_season_stats", lambda s, d: _rounded(ss(s, d)), ctes("ss") + "SELECT nam
 
 
 def _rounded(df):
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[settle(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _tm(s, d):
