@@ -83,15 +83,14 @@ def time_positions(
     return row_positions(df, keys, order, [(time_bucket(time, slot), True)], out)
 
 
-def value_ranks(df: DataFrame, group: Sequence[str], value: str, prefix: str = "r") -> DataFrame:
-    """Add how many group rows lie below (``_lt``), equal (``_eq``) and exist at all (``_n``).
+def ranked_values(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """(group, value, lt, eq, n): per distinct value how many group rows lie below, share it and
+    exist at all.
 
     Equal values are folded into one counted row before anything is sorted, and the distinct
     values of a group are ordered inside value bins, so neither ties nor size make a hot task.
-    Null values get null.
     """
     keep = df.filter(F.col(value).isNotNull())
-    # one value column per distinct value; 0.0 + x turns -0.0 into 0.0 so that both fold together
     counts = keep.groupBy(*group, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__eq"))
     binned = counts.withColumn("__bin", value_bin("__v"))
     bins = binned.groupBy(*group, "__bin").agg(F.sum("__eq").alias("__m"))
@@ -103,18 +102,45 @@ def value_ranks(df: DataFrame, group: Sequence[str], value: str, prefix: str = "
         F.sum("__m").over(Window.partitionBy(*group)).alias("__all"),
     )
     inside = Window.partitionBy(*group, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = match_keys(
+    return match_keys(
         binned.withColumn("__in", F.coalesce(F.sum("__eq").over(inside), F.lit(0))), bins, [*group, "__bin"], "inner"
     ).select(
-        *group,
-        F.col("__v").alias(value),
-        (F.col("__in") + F.col("__below")).alias(f"{prefix}_lt"),
-        F.col("__eq").alias(f"{prefix}_eq"),
-        F.col("__all").alias(f"{prefix}_n"),
+        *group, F.col("__v").alias(value), (F.col("__in") + F.col("__below")).alias("lt"), F.col("__eq").alias("eq"), F.col("__all").alias("n")
     )
+
+
+def value_ranks(df: DataFrame, group: Sequence[str], value: str, prefix: str = "r") -> DataFrame:
+    """Add how many group rows lie below (``_lt``), equal (``_eq``) and exist at all (``_n``);
+    rows without a value get null."""
+    ranked = ranked_values(df, group, value).withColumnsRenamed({c: f"{prefix}_{c}" for c in ("lt", "eq", "n")})
     return match_keys(df, ranked, [*group, value])
 
 
+def value_positions(
+    df: DataFrame, group: Sequence[str], value: str, ascending: bool, tie: Sequence[str], tie_piece: Column, out: str
+) -> DataFrame:
+    """1-based position of each row by value, then by ``tie``. Rows with the same value are numbered
+    in pieces of the tie order (``tie_piece`` must rise with ``tie``), so a value that most rows
+    share does not end in one task."""
+    r = value_ranks(df, group, value, "__vp")
+    r = row_positions(r, [*group, value], [F.col(t) for t in tie], [(tie_piece, True)], "__within")
+    ahead = F.col("__vp_lt") if ascending else F.col("__vp_n") - F.col("__vp_lt") - F.col("__vp_eq")
+    return r.withColumn(out, ahead + F.col("__within")).drop("__vp_lt", "__vp_eq", "__vp_n", "__within")
+
+
+def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, quantiles: Sequence[float]) -> DataFrame:
+    """(group, q, value): exact quantiles with linear interpolation, from the counts of distinct values."""
+    r = ranked_values(df, group, value)
+    qs = F.array(*[F.lit(float(q)) for q in quantiles])
+    t = r.withColumn("q", F.explode(qs)).withColumn("__t", (F.col("n") - 1) * F.col("q"))
+    lo, hi = F.floor("__t"), F.ceil("__t")
+    holds = lambda i: (F.col("lt") <= i) & (i < F.col("lt") + F.col("eq"))
+    near = t.filter(holds(lo) | holds(hi))
+    return near.groupBy(*group, "q").agg(
+        F.max(F.when(holds(lo), F.col(value))).alias("__a"), F.max(F.when(holds(hi), F.col(value))).alias("__b"), F.max("__t").alias("__t")
+    ).select(*group, "q", (F.col("__a") + (F.col("__b") - F.col("__a")) * (F.col("__t") - F.floor("__t"))).alias(value))
+
+
 def percent_rank_average(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
     """Average-tie rank divided by the number of non-null values in the group."""
     r = value_ranks(df, group, value, "__pr")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.numbers import settle
-from touchline.functions.ordered import match_keys, row_positions, top_n, trailing_run, value_bin, value_ranks
+from touchline.functions.ordered import match_keys, top_n, trailing_run, value_bin, value_positions, value_ranks
 from touchline.operators.league import chance_of_playing
 
 # Scoring rules, ownership bands, price caps (tenths of a million)
@@ -269,10 +269,8 @@ def promoted_teams(app: DataFrame) -> DataFrame:
 
 def ownership_ranking(status: DataFrame) -> DataFrame:
     """Players by ownership within their position."""
-    order = [F.col("selected_by_percent").desc(), F.col("element")]
     s = status.filter(F.col("selected_by_percent").isNotNull()).select("element", "name", "position", F.round("selected_by_percent", 1).alias("selected_by_percent"))
-    pieces = [(value_bin("selected_by_percent"), False)]
-    return row_positions(s, ["position"], order, pieces, "place")
+    return value_positions(s, ["position"], "selected_by_percent", False, ["element"], value_bin("element"), "place")
 
 
 def most_common_value(df: DataFrame, col: str) -> DataFrame:

@@ -28,11 +28,11 @@ def roll(col, w, fn="avg", out=None, part="element", order="kickoff_time, fixtur
     return f"{fn}({col}) OVER (PARTITION BY {part} ORDER BY {order} ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) AS {out or f'{col}_r{w}'}"
 
 
-def first_of_gw(cols, base="fl", keys="element, season, GW"):
+def first_of_gw(cols, base="fl", keys="element, season, GW", exact=False):
     """Values at the first row of each (key, gameweek)."""
     inner = ", ".join(cols)
     names = [c.rsplit(" AS ", 1)[1] for c in cols]
-    return f"SELECT {keys}, " + ", ".join(f"round({n}, 6) AS {n}" for n in names) + f" FROM (SELECT *, {inner} FROM {base}) WHERE k = 1"
+    return f"SELECT {keys}, " + ", ".join(n if exact else f"round({n}, 6) AS {n}" for n in names) + f" FROM (SELECT *, {inner} FROM {base}) WHERE k = 1"
 
 
 add("F1_rolling_before_gameweek", lambda s, d: six(X.attach(app(s, d).select(*KEY, "fixture", "line"), X.rolling_before_period(app(s, d), ["element"], X.PERIOD, "kickoff_time", X.TIE, ["total_points", "expected_goals"], (3, 6), name="{stat}_r{w}"), KEY)),
@@ -57,7 +57,7 @@ def tm(s, d):
 
 CTES["tk"] = ("SELECT *, row_number() OVER (PARTITION BY team, season, GW ORDER BY kickoff_time, fixture) AS k FROM tm", ("tm",))
 _TF = [roll(c, w, part="team", order="kickoff_time, fixture") for c in X.TEAM_STATS for w in (6, 20)]
-CTES["tf"] = (first_of_gw(_TF, "tk", "team, season, GW"), ("tk",))
+CTES["tf"] = (first_of_gw(_TF, "tk", "team, season, GW", True), ("tk",))
 
 
 def _side(alias, pre):
@@ -70,7 +70,7 @@ def _side(alias, pre):
 
 
 CTES["str"] = (f"SELECT a.season, a.GW, a.fixture, a.team, b.team AS opp, {_side('x', 'team')}, {_side('y', 'opp')} FROM tm a LEFT JOIN tm b ON a.season = b.season AND a.fixture = b.fixture AND a.team <> b.team LEFT JOIN tf x ON x.team = a.team AND x.season = a.season AND x.GW = a.GW LEFT JOIN tf y ON y.team = b.team AND y.season = a.season AND y.GW = a.GW", ("tm", "tf"))
-add("F8_strength_features", lambda s, d: six(X.strength_features(tm(s, d))), ctes("str") + "SELECT * FROM str")
+add("F8_strength_features", lambda s, d: six(X.strength_features(tm(s, d))), ctes("str") + "SELECT season, GW, fixture, team, opp, " + ", ".join(f"round({p}_{c}{x}, 6) AS {p}_{c}{x}" for p in ("team", "opp") for c in X.TEAM_STATS for x in ("", "20")) + " FROM str")
 add("F9_latest_team_form", lambda s, d: six(X.latest_team_form(tm(s, d))),
     ctes("tm") + "SELECT team, " + ", ".join(f"round(avg({c}) FILTER (WHERE r <= {w}), 6) AS {c}_r{w}" for c in X.TEAM_STATS for w in (6, 20)) + " FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY kickoff_time DESC, fixture DESC) AS r FROM tm) GROUP BY team")
 
@@ -111,7 +111,7 @@ def rated_rows(s, d):
 add("F13_rating_features", lambda s, d: six(rated_rows(s, d).select(*ROW, "rt_xgf", "rt_xga", "rt_cs", "rt_pxg", "rt_pxa")))
 _M = lambda p, c: f"coalesce(({p}_x{c} + {p}_x{c}20) / 2, {p}_x{c}, {p}_x{c}20, ({p}_{c} + {p}_{c}20) / 2)"
 CTES["mr0"] = (
-    "SELECT a.element, a.fixture, a.line, a.was_home, f.*, s.* EXCLUDE (season, GW, fixture, team) FROM sided a LEFT JOIN (" + first_of_gw([roll(c, 6) for c in ("started", "goals_scored", "assists", "expected_goals", "expected_assists")]).replace("SELECT element, season, GW,", "SELECT element AS e_, season AS s_, GW AS g_,", 1)
+    "SELECT a.element, a.fixture, a.line, a.was_home, f.*, s.* EXCLUDE (season, GW, fixture, team) FROM sided a LEFT JOIN (" + first_of_gw([roll(c, 6) for c in ("started", "goals_scored", "assists", "expected_goals", "expected_assists")], exact=True).replace("SELECT element, season, GW,", "SELECT element AS e_, season AS s_, GW AS g_,", 1)
     + ") f ON f.e_ = a.element AND f.s_ = a.season AND f.g_ = a.GW LEFT JOIN str s ON s.season = a.season AND s.fixture = a.fixture AND s.team = a.team", ("sided", "fl", "str"))
 CTES["mu"] = (f"SELECT *, {_M('team', 'gf')} * {_M('opp', 'ga')} / 1.35 * CASE WHEN was_home THEN 1.08 ELSE 0.92 END AS f, {_M('opp', 'gf')} * {_M('team', 'ga')} / 1.35 * CASE WHEN was_home THEN 0.92 ELSE 1.08 END AS g, greatest(coalesce(team_xgf, team_gf), 0.3) AS t FROM mr0", ("mr0",))
 add("F14_matchup_features", lambda s, d: six(X.matchup_features(model_rows(s, d)).select(*ROW, "mu_xgf", "mu_xga", "mu_xgd", "mu_pxg", "mu_pxa", "mu_cs")),
