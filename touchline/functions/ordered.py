@@ -29,6 +29,13 @@ def value_bin(value: str | Column, per_fold: int = 64) -> Column:
     return (F.signum(col) * F.floor(F.log1p(F.abs(col)) * F.lit(float(per_fold)))).cast("long")
 
 
+def task_spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by keys over the configured number of shuffle partitions. Naming the number keeps
+    small but compute-heavy Python stages from being merged into a few tasks."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on ``keys`` where null matches null; the key columns of the left side are kept."""
     renamed = right.select(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.numbers import settle
-from touchline.functions.ordered import asof_join, latest_lists, match_keys, top_n, trailing_run
+from touchline.functions.ordered import asof_join, latest_lists, match_keys, task_spread, top_n, trailing_run
 
 # Statuses and their order, squad rules, awards
 STATUSES = ("scheduled", "in_progress", "finished")
@@ -455,7 +455,7 @@ def score_squads(squads: DataFrame, actual: DataFrame, group: Sequence[str], fin
     cols = [*g, "element", "position", "role", "slot", "is_captain", "is_vice", "chip", "hit_cost", "scored", "played"]
     s = s.select(cols)
     types = ", ".join(f"`{c}` {t}" for c, t in s.dtypes) + ", counts boolean"
-    done = s.groupBy(*g).applyInPandas(_substitute, types)
+    done = task_spread(s, *g).groupBy(*g).applyInPandas(_substitute, types)
     cap_out = F.bool_or(F.col("is_captain") & (F.col("played") == "no"))
     vice_ok = F.bool_or(F.col("is_vice") & (F.col("played") != "no"))
     per = done.groupBy(*g).agg(
@@ -598,7 +598,7 @@ def template_squad(pool: DataFrame, group: Sequence[str], cap: int = MAX_PER_CLU
                 return rows.iloc[:0]
         return rows.loc[chosen]
 
-    return short.groupBy(*g).applyInPandas(choose, short.schema).drop("place")
+    return task_spread(short, *g).groupBy(*g).applyInPandas(choose, short.schema).drop("place")
 
 
 def win_runs(rows: DataFrame) -> DataFrame:

@@ -6,10 +6,13 @@ every nullable input gets an indicator column.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
@@ -194,20 +197,30 @@ def expected_goals(model: PipelineModel, matches: DataFrame) -> DataFrame:
 
 
 def match_probabilities(matches: DataFrame, size: int = 12, scores: int = 3) -> DataFrame:
-    """Outcome chances, likeliest scores and clean sheets from expected goals; a fixed grid of
-    ``size`` x ``size`` scores per match inside the row, no join. Matches: id, lam_h, lam_a."""
+    """Outcome chances, likeliest scores and clean sheets from expected goals. Matches: id, lam_h, lam_a.
+
+    Chances come from the two score distributions and their running sums. The likeliest scores of
+    independent distributions are made of each side's likeliest goals, so only ``scores`` goals
+    per side are combined. All of it stays inside the row.
+    """
     def pmf(lam: str) -> Column:
-        first = F.exp(-F.col(lam))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(size - 1)), F.array(first), lambda acc, k: F.array_append(acc, F.element_at(acc, -1) * F.col(lam) / k))
-
-    m = matches.withColumns({"__h": pmf("lam_h"), "__a": pmf("lam_a")})
-    grid = F.flatten(F.transform("__h", lambda p, i: F.transform("__a", lambda q, j: F.struct((-p * q).alias("p"), i.alias("h"), j.alias("a")))))
-    m = m.withColumn("__g", grid)
-    total = lambda cond: F.aggregate("__g", F.lit(0.0), lambda acc, c: acc - F.when(cond(c), c["p"]).otherwise(0.0))
-    m = m.withColumns({"__t": total(lambda c: F.lit(True)), "__hw": total(lambda c: c["h"] > c["a"]), "__dr": total(lambda c: c["h"] == c["a"]), "__aw": total(lambda c: c["h"] < c["a"])})
-    best = F.slice(F.array_sort(F.transform("__g", lambda c: F.struct(F.round(c["p"], 12).alias("p"), c["h"].alias("h"), c["a"].alias("a")))), 1, scores)
+        l = F.col(lam)
+        return F.array(*[F.exp(-l) * F.pow(l, F.lit(k)) / math.factorial(k) for k in range(size)])
+
+    m = matches.select("id", "lam_h", "lam_a", pmf("lam_h").alias("__h"), pmf("lam_a").alias("__a"))
+    h, a = [F.col("__h")[i] for i in range(size)], [F.col("__a")[i] for i in range(size)]
+    add = lambda xs: reduce(lambda x, y: x + y, xs)
+    win = lambda x, y: add([x[i] * add(y[:i]) for i in range(1, size)])
+    total = add(h) * add(a)
+    top = lambda c: F.slice(F.array_sort(F.transform(c, lambda p, i: F.struct((-p).alias("p"), i.alias("g")))), 1, scores)
+    m = m.select(
+        "id", "lam_h", "lam_a", (win(h, a) / total).alias("home_win"), (add([x * y for x, y in zip(h, a)]) / total).alias("draw"), (win(a, h) / total).alias("away_win"),
+        top("__h").alias("__th"), top("__a").alias("__ta"),
+    )
+    cells = F.flatten(F.transform("__th", lambda x: F.transform("__ta", lambda y: F.struct((-F.round(x["p"] * y["p"], 12)).alias("p"), x["g"].alias("h"), y["g"].alias("a")))))
+    best = F.slice(F.array_sort(cells), 1, scores)
     return m.select(
-        "id", "lam_h", "lam_a", (F.col("__hw") / F.col("__t")).alias("home_win"), (F.col("__dr") / F.col("__t")).alias("draw"), (F.col("__aw") / F.col("__t")).alias("away_win"),
+        "id", "lam_h", "lam_a", "home_win", "draw", "away_win",
         F.array_join(F.transform(best, lambda c: F.concat_ws("-", c["h"].cast("string"), c["a"].cast("string"))), ",").alias("likeliest"),
         F.exp(-F.col("lam_a")).alias("clean_sheet_home"), F.exp(-F.col("lam_h")).alias("clean_sheet_away"),
     )
@@ -269,9 +282,6 @@ def expected_points(app: DataFrame, min_rows: int = 200) -> DataFrame:
 
 
 def _solve(n: int):
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
         return pd.Series([np.linalg.lstsq(np.asarray(a, float).reshape(n, n), np.asarray(b, float), rcond=None)[0].tolist() for a, b in zip(xx, xy)])

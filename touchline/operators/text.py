@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.functions.ordered import top_n
+from touchline.functions.ordered import task_spread, top_n
 from touchline.functions.words import lead_gram, normalize_name, short_grams
 
 # Vector features with their ranges, words of positions
@@ -252,7 +252,7 @@ def link_players(other: DataFrame, ours: DataFrame) -> DataFrame:
                 names.add(name)
         return rows.loc[keep]
 
-    return c.groupBy(*by).applyInPandas(choose, c.schema)
+    return task_spread(c, *by).groupBy(*by).applyInPandas(choose, c.schema)
 
 
 def match_event_names(events: DataFrame, players: DataFrame) -> DataFrame:

@@ -138,10 +138,10 @@ add("S15_schedule_rows", lambda s, d: S.schedule_rows(_schedule(s, d), CURRENT).
 
 
 def _summaries(s, d):
-    """One nested JSON text per player: its matches as the feed sends them."""
+    """One nested JSON text per player and season: the matches as the feed sends them."""
     a = sided(s, d)
     h = F.struct("fixture", "line", F.col("GW").alias("round"), "was_home", "minutes", "total_points", "value")
-    return a.groupBy("element").agg(F.collect_list(h).alias("history")).select(F.to_json(F.struct("element", "history")).alias("json"))
+    return a.groupBy("element", "season").agg(F.collect_list(h).alias("history")).select(F.to_json(F.struct("element", "history")).alias("json"))
 
 
 def _xp(s, d):
