@@ -8,5 +8,5 @@ from pyspark.sql import functions as F
 
 def settle(value: str | Column, digits: int) -> Column:
     """Round half up after removing the noise in the last bits of a double, so the result does
-    not depend on the order in which a sum was added."""
-    return F.round(F.round(value, 10), digits)
+    not depend on the order in which a sum was added. Zero never carries a sign."""
+    return F.round(F.round(value, 10), digits) + F.lit(0.0)

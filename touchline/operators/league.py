@@ -272,7 +272,7 @@ def match_summary(app: DataFrame) -> DataFrame:
 def injuries(players: DataFrame) -> DataFrame:
     """Unavailable players: by status, newest news first, then name."""
     rank = F.array_position(F.array(*[F.lit(x) for x in STATUS_ORDER]), F.col("status"))
-    rank = F.when(rank == 0, len(STATUS_ORDER) + 1).otherwise(rank)
+    rank = F.when(rank == 0, len(STATUS_ORDER) + 1).otherwise(rank).cast("int")
     p = players.filter(F.col("status") != "a").withColumn("status_rank", rank)
     return p.orderBy("status_rank", F.col("news_added").desc_nulls_last(), "name").select("name", "team", "position", "status", "status_rank", "news", "news_added")
 
