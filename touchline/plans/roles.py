@@ -35,7 +35,7 @@ APPEARANCE = {
     "position": POSITION,
     "team": "'Club ' || CAST(l_suppkey AS STRING)",
     "fixture": "l_orderkey",
-    "line": "l_suppkey * 10 + l_linenumber",
+    "line": "CAST(round(l_extendedprice * 100) AS BIGINT) * 1000000 + l_suppkey * 10 + l_linenumber",
     "kickoff_time": "CAST(o_orderdate AS TIMESTAMP)",
     "minutes": MINUTES,
     "starts": f"CASE WHEN year(o_orderdate) < 1997 THEN NULL WHEN {PART} > 1 THEN 1 ELSE 0 END",
