@@ -83,7 +83,6 @@ add("T5_mentions", lambda s, d: X.mentions(docs(s, d), _names(s, d), "doc_id", 2
     "f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, at_ ORDER BY words DESC) AS k FROM h) WHERE k = 1), "
     "r AS (SELECT *, max(at_ + words) OVER (PARTITION BY doc_id ORDER BY at_ RANGE BETWEEN 2 PRECEDING AND 1 PRECEDING) AS reach FROM f) "
     "SELECT doc_id, at_ AS \"at\", words, form, form AS name FROM r WHERE reach IS NULL OR at_ + words > reach")
-_AL = "alias"
 
 
 def _clubs(s, d):
