@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
+from touchline.llm.decontaminate import OP5_SQL, op5_decontaminate
+from touchline.llm.language import op4_language
+from touchline.llm.media import op7_media
+from touchline.llm.mixing import OP8_SQL, op8_mixing
+from touchline.llm.sharding import OP1_SQL, op1_sharding
 from touchline.llm.simhash import op9_simhash
+from touchline.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op4_language": op4_language,
+    "op5_decontaminate": op5_decontaminate,
+    "op7_media": op7_media,
+    "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
+    "op10_warc": op10_warc,
+}
+ORACLES: dict[str, str] = {
+    "op1_sharding": OP1_SQL,
+    "op5_decontaminate": OP5_SQL,
+    "op8_mixing": OP8_SQL,
+    "op10_warc": OP10_SQL,
 }
-ORACLES: dict[str, str] = {}
