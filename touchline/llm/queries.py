@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from touchline.llm.decontaminate import OP5_SQL, op5_decontaminate
 from touchline.llm.language import op4_language
+from touchline.llm.licenses import op2_licenses
 from touchline.llm.media import op7_media
 from touchline.llm.mixing import OP8_SQL, op8_mixing
 from touchline.llm.sharding import OP1_SQL, op1_sharding
 from touchline.llm.simhash import op9_simhash
+from touchline.llm.toxicity import op3_toxicity
 from touchline.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_licenses": op2_licenses,
+    "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
     "op5_decontaminate": op5_decontaminate,
     "op7_media": op7_media,
