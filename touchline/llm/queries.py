@@ -7,6 +7,7 @@ from touchline.llm.language import op4_language
 from touchline.llm.licenses import op2_licenses
 from touchline.llm.media import op7_media
 from touchline.llm.mixing import OP8_SQL, op8_mixing
+from touchline.llm.secrets import op6_secrets
 from touchline.llm.sharding import OP1_SQL, op1_sharding
 from touchline.llm.simhash import op9_simhash
 from touchline.llm.toxicity import op3_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
     "op5_decontaminate": op5_decontaminate,
+    "op6_secrets": op6_secrets,
     "op7_media": op7_media,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
