@@ -110,7 +110,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, family_rows: int
                         rows.append((k, 1 if lang == a else -1, v))
                     elif kind == "family" and u < rate[lang] * in_family:
                         rows.append((k, 1 if own == a else -1, v))
-            yield pd.DataFrame(rows, columns=["machine", "y", "v"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["machine", "y", "v"])
 
     def train(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["v", "y"])

@@ -106,7 +106,8 @@ def word_documents(docs: DataFrame, words: set[bytes]) -> dict[bytes, int]:
         for pdf in batches:
             for text in pdf["text"]:
                 seen.update(words.intersection(words_of(text)))
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+        if seen:
+            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
     rows = docs.select("text").mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {bytes(r["word"]): r["n"] for r in rows.collect()}  # a row per template word

@@ -136,7 +136,7 @@ def mix(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, block_w
     ends = shard_ends(targets.select("place", "blocks"), shards, seed)
     plan = kept(targets.join(ends, "place"), "plan")
     prime = F.array(*[F.lit(p) for p in PRIMES])[F.pmod(F.xxhash64("place", F.lit(seed)), F.lit(len(PRIMES))).cast("int")]
-    plan = plan.select(F.col("source").alias("plan_source"), "source_size", "target", "words", "blocks", "ends", prime.alias("prime"), F.pmod(F.xxhash64("place", F.lit(seed + 1)), F.col("blocks")).alias("turn"))
+    plan = plan.select(F.col("source").alias("plan_source"), "source_size", "target", "words", "blocks", "ends", prime.alias("prime"), F.pmod(F.xxhash64("place", F.lit(seed + 1)), F.greatest("blocks", F.lit(1))).alias("turn"))
     placed = lines(rows)
     placed = placed.join(plan, placed["source"].eqNullSafe(plan["plan_source"]))
 
@@ -144,7 +144,7 @@ def mix(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, block_w
         start = F.col("start") + k * F.col("source_size")
         words = F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - start))
         block = F.floor(start / block_words).cast("long")
-        dealt = (block * F.col("prime") + F.col("turn")) % F.col("blocks")
+        dealt = (block * F.col("prime") + F.col("turn")) % F.greatest("blocks", F.lit(1))
         shard = F.size(F.filter("ends", lambda end: end <= dealt))
         taken = F.struct(F.lit(k).alias("lap"), words.cast("long").alias("words"), block.alias("block"), shard.alias("shard"), F.xxhash64("key", F.lit(k), F.lit(seed)).alias("order"))
         return F.when(words > 0, taken)

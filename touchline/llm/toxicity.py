@@ -66,7 +66,8 @@ def telling_features(sample: DataFrame, first: str, n: int = FEATURES) -> list[s
             for text, y in zip(pdf["text"], pdf[first]):
                 seen[int(y)].update(text_features(text))
             names = list(seen[0].keys() | seen[1].keys())
-            yield pd.DataFrame({"f": names, "a": [seen[1][f] for f in names], "b": [seen[0][f] for f in names]})
+            if names:
+                yield pd.DataFrame({"f": names, "a": [seen[1][f] for f in names], "b": [seen[0][f] for f in names]})
 
     sizes = {r[first]: r["count"] for r in sample.groupBy(first).count().collect()}
     a, b = F.col("a") + 0.5, F.col("b") + 0.5

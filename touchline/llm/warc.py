@@ -229,7 +229,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         if digest(body) != said or len(body) != int(head["X-Payload-Length"]):
                             raise ValueError(f"{name}: a payload differs from its digest")
                     rows.append((head["X-Page-Key"] or None, int(head["X-Payload-Length"]), said, head["WARC-Type"], head.get("X-Refers-To-Key"), head["WARC-Date"], head["WARC-Record-ID"]))
-                yield pd.DataFrame(rows, columns=cols)
+                if rows:
+                    yield pd.DataFrame(rows, columns=cols)
 
     return archives.mapInPandas(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, warc_date string, record_id string")
 
