@@ -284,3 +284,62 @@ def test_partition_overwrite_replaces_one_season(spark, tmp_path):
     K.write_partitions(a, path)
     K.write_partitions(spark.createDataFrame([("b", 9)], "season string, n int"), path)
     assert {(r["season"], r["n"]) for r in K.read_back(spark, path).collect()} == {("a", 1), ("b", 9)}
+
+
+def test_mentions_of_any_length(spark):
+    texts = spark.createDataFrame([(1, "So Ana Maria de la Cruz met Ana, and maria"), (2, None), (3, "")], "doc_id long, text string")
+    names = spark.createDataFrame([("Ana Maria de la Cruz", 1), ("Ana", 5), ("Maria", 2), ("Maria de la", 1)], "name string, popularity long")
+    got = sorted((r["doc_id"], r["at"], r["words"], r["name"]) for r in T.mentions(texts, names, "doc_id").collect())
+    assert got == [(1, 1, 5, "Ana Maria de la Cruz"), (1, 7, 1, "Ana"), (1, 9, 1, "Maria")]
+    assert T.mentions(texts, names.limit(0), "doc_id").count() == 0
+
+
+def test_links_by_an_unambiguous_name_alone(spark):
+    other = [("s", "A", 1, "Luis Ortega", None, None), ("s", "A", 2, "Gabriel", None, None), ("s", "A", 3, "Tom Reed", "2024-01-01", 90), ("s", "A", 3, "Tom Reed", "2024-01-08", 90)]
+    ours = [("s", "A", n, d, m) for n, d, m in (("Luis Ortega", "2024-01-01", 0), ("Gabriel", "2024-01-01", 30), ("Paulo Gabriel", "2024-01-01", 20), ("Tom Reed", "2024-01-01", 10), ("Tom Reed", "2024-01-08", 20))]
+    o = spark.createDataFrame(other, "season string, team string, player_id long, player_name string, date string, minutes int").withColumn("date", F.to_date("date"))
+    u = spark.createDataFrame(ours, "season string, team string, name string, date string, minutes int").withColumn("date", F.to_date("date"))
+    # a full name wins over a shared surname; minutes that contradict the name are no link
+    assert {r["player_id"]: r["name"] for r in T.link_players(o, u).collect()} == {1: "Luis Ortega", 2: "Gabriel"}
+    twins = u.withColumn("name", F.regexp_replace("name", "^Gabriel$", "Marco Gabriel"))
+    assert {r["player_id"]: r["name"] for r in T.link_players(o, twins).collect()} == {1: "Luis Ortega"}
+
+
+def test_streams_take_late_and_repeated_rows(spark, tmp_path):
+    from touchline.streaming import feeds
+
+    views = "ts string, path string, referrer string, zone string, consented boolean, first_today boolean, new_visitor boolean, owner boolean, view boolean"
+    folder = tmp_path / "views"
+    for i, day in enumerate(("2024-03-20", "2024-03-21", "2024-03-08", "2024-03-20")):
+        one = spark.createDataFrame([(f"{day} 10:00:0{i}", "/a", None, "Z/1", True, True, False, False, True)], views).withColumn("ts", F.to_timestamp("ts"))
+        one.coalesce(1).write.mode("append").parquet(str(folder))
+    table = spark.read.parquet(str(folder))
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    cols = ["day", "kind", "key", "n", "first_seen"]
+    assert sorted(map(tuple, feeds.page_view_stream(stream).select(cols).collect())) == sorted(map(tuple, feeds.daily_counts(table).select(cols).collect()))
+
+    caps = tmp_path / "caps"
+    for at, c in (("2024-03-20 10:00:00", 1), ("2024-03-01 09:00:00", 2), ("2024-03-20 10:00:00", 1), ("2024-03-21 12:30:00", 3), ("2024-03-19 08:00:00", 1)):
+        one = spark.createDataFrame([("s", 1, 7, c, at)], "season string, GW int, element long, capture_id long, captured_at string").withColumn("captured_at", F.to_timestamp("captured_at"))
+        one.coalesce(1).write.mode("append").parquet(str(caps))
+    deadlines = spark.createDataFrame([("s", 1, "2024-03-21 12:00:00")], "season string, GW int, deadline string").withColumn("deadline", F.to_timestamp("deadline"))
+    stream = spark.readStream.schema(spark.read.parquet(str(caps)).schema).option("maxFilesPerTrigger", 1).parquet(str(caps))
+    got = sorted((r["capture_id"], str(r["captured_at"])) for r in feeds.capture_stream(stream, deadlines).collect())
+    assert got == [(1, "2024-03-19 08:00:00"), (2, "2024-03-01 09:00:00")]
+
+
+def test_leave_one_out_is_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    rows = [(f"t{i % 9}", float(a), float(b), float(2 * a - b + e)) for i, (a, b, e) in enumerate(rng.normal(size=(30, 3)))]
+    df = spark.createDataFrame(rows, "team string, a double, b double, y double")
+    got = {(r["team"], r["a"]): r["predicted"] for r in M.leave_one_out(df, ["a", "b"], "y").collect()}
+    for team in {r[0] for r in rows}:
+        rest = np.array([r[1:] for r in rows if r[0] != team])
+        x, y = rest[:, :2], rest[:, 2]
+        z = (x - x.mean(0)) / x.std(0)
+        w = np.linalg.solve(z.T @ z + np.eye(2), z.T @ (y - y.mean()))
+        for r in rows:
+            if r[0] == team:
+                assert abs(got[team, r[1]] - (y.mean() + ((np.array(r[1:3]) - x.mean(0)) / x.std(0)) @ w)) < 1e-9

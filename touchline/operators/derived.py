@@ -45,20 +45,22 @@ def season_stats(app: DataFrame) -> DataFrame:
     """One row per (name, season): sums, games, maxima, played-only sums, usual team and position."""
     present = [c for c in SEASON_SUMS if c in app.columns]
     played = F.col("minutes") > 0
-    aggs: list[Column] = [F.sum(c).alias(SEASON_SUMS[c]) for c in present]
-    aggs += [
-        F.count(F.lit(1)).alias("games"),
-        F.max("value").alias("max_value"),
-        F.max("selected").alias("max_selected"),
-        F.count_if(played).alias("appearances"),
-    ]
-    aggs += [
-        F.coalesce(F.sum(F.when(played, F.col(c))), F.lit(0.0)).alias(f"{c.removesuffix('_index')}_played_sum")
-        for c in PLAYED_ONLY
-    ]
-    # clubs and positions a player has in one season are few, so a map per group is bounded
-    aggs += [F.mode("team", deterministic=True).alias("team"), F.mode("position", deterministic=True).alias("position")]
-    return app.groupBy("name", "season").agg(*aggs)
+    sums = {SEASON_SUMS[c]: F.sum(c) for c in present}
+    sums |= {"games": F.count(F.lit(1)), "appearances": F.count_if(played)}
+    own = {f"{c.removesuffix('_index')}_played_sum": F.sum(F.when(played, F.col(c))) for c in PLAYED_ONLY}
+    most = {"max_value": F.max("value"), "max_selected": F.max("selected")}
+    # plain sums per club and position first: they are combined in the map tasks, and what is left of a
+    # player's season are a few rows, of which the usual club and position are the ones with most matches
+    parts = app.groupBy("name", "season", "team", "position").agg(*[c.alias(n) for n, c in (sums | own | most).items()])
+    parts = parts.withColumns({f"__{c}": F.sum("games").over(Window.partitionBy("name", "season", c)) for c in ("team", "position")})
+
+    def usual(c: str) -> Column:
+        return F.min(F.when(F.col(c).isNotNull(), F.struct((-F.col(f"__{c}")).alias("n"), F.col(c).alias("v"))))["v"].alias(c)
+
+    return parts.groupBy("name", "season").agg(
+        *[F.sum(n).alias(n) for n in sums if n not in ("games", "appearances")], F.sum("games").alias("games"), *[F.max(n).alias(n) for n in most],
+        F.sum("appearances").alias("appearances"), *[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in own], usual("team"), usual("position"),
+    )
 
 
 def team_matches(app: DataFrame) -> DataFrame:

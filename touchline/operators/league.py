@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.numbers import settle
-from touchline.functions.ordered import asof_join, latest_lists, match_keys, task_spread, top_n, trailing_run
+from touchline.functions.ordered import asof_join, latest_lists, match_keys, top_n, trailing_run
 
 # Statuses and their order, squad rules, awards
 STATUSES = ("scheduled", "in_progress", "finished")
@@ -406,34 +406,38 @@ def squad_from_predictions(pool: DataFrame, group: Sequence[str] = ("season", "G
     }).drop("captain", "vice", "__r", "expected_extra_points")
 
 
-def _substitute(squad: pd.DataFrame) -> pd.DataFrame:
-    """Decide which of one squad's fifteen players count (a squad is one small group)."""
-    squad = squad.sort_values("slot", kind="stable").reset_index(drop=True)
-    inside = (squad["role"] == "starter").to_numpy().copy()
-    if squad["chip"].iloc[0] == "bboost":
-        squad["counts"] = True
-        return squad
-    pos, played = squad["position"].to_numpy(), squad["played"].to_numpy()
-    bench = [i for i in squad.index if squad["role"][i] == "bench"]
-    free = list(bench)
-    for gone in [i for i in squad.index if inside[i] and played[i] == "no"]:
-        for sub in free:
-            if (pos[sub] == "GK") != (pos[gone] == "GK"):
-                continue
-            trial = inside.copy()
-            trial[gone], trial[sub] = False, True
-            held = pd.Series(pos[trial]).value_counts()
-            if any(held.get(p, 0) < XI_MIN[p] for p in ("DEF", "MID", "FWD")):
-                continue
-            if played[sub] == "open":
-                break
-            if played[sub] == "no":
-                continue
-            inside = trial
-            free.remove(sub)
-            break
-    squad["counts"] = inside
-    return squad
+def _substitutions(squad: Column) -> Column:
+    """The elements that leave and enter a squad's eleven. ``squad`` is its array of players in slot order.
+
+    Every starter who did not play is replaced by the first free bench player who may stand in for him:
+    a goalkeeper for a goalkeeper, and with enough players left in each line. A player whose match is
+    open keeps the place open.
+    """
+    bench = F.filter(squad, lambda x: x["role"] == "bench")
+    eleven = F.filter(squad, lambda x: x["role"] == "starter")
+    lines = [p for p in XI_MIN if p != "GK"]
+
+    def replace(done: Column, gone: Column) -> Column:
+        def fits(sub: Column) -> Column:
+            same = (sub["position"] == "GK") == (gone["position"] == "GK")
+            enough = [done[p] - (gone["position"] == p).cast("int") + (sub["position"] == p).cast("int") >= XI_MIN[p] for p in lines]
+            return reduce(lambda a, b: a & b, enough, same & (sub["played"] != "no") & ~F.array_contains(done["enter"], sub["element"]))
+
+        sub = F.get(F.filter(bench, fits), F.lit(0))
+        comes = F.coalesce(sub["played"] == "yes", F.lit(False))
+        after = [F.when(comes, done[p] - (gone["position"] == p).cast("int") + (sub["position"] == p).cast("int")).otherwise(done[p]).alias(p) for p in lines]
+        return F.struct(
+            *after, F.when(comes, F.array_append(done["leave"], gone["element"])).otherwise(done["leave"]).alias("leave"),
+            F.when(comes, F.array_append(done["enter"], sub["element"])).otherwise(done["enter"]).alias("enter"),
+        )
+
+    nobody = F.filter(F.transform(squad, lambda x: x["element"]), lambda _: F.lit(False))
+
+    def held(line: str) -> Column:
+        return F.size(F.filter(eleven, lambda x: x["position"] == line)).alias(line)
+
+    start = F.struct(*[held(p) for p in lines], nobody.alias("leave"), nobody.alias("enter"))
+    return F.aggregate(F.filter(eleven, lambda x: x["played"] == "no"), start, replace)
 
 
 def score_squads(squads: DataFrame, actual: DataFrame, group: Sequence[str], finished: Column | None = None) -> DataFrame:
@@ -454,8 +458,13 @@ def score_squads(squads: DataFrame, actual: DataFrame, group: Sequence[str], fin
     s = s.withColumn("played", F.when(F.col("minutes") > 0, "yes").when(over, "no").otherwise("open"))
     cols = [*g, "element", "position", "role", "slot", "is_captain", "is_vice", "chip", "hit_cost", "scored", "played"]
     s = s.select(cols)
-    types = ", ".join(f"`{c}` {t}" for c, t in s.dtypes) + ", counts boolean"
-    done = task_spread(s, *g).groupBy(*g).applyInPandas(_substitute, types)
+    own = [c for c in cols if c not in g]
+    squad = s.groupBy(*g).agg(F.array_sort(F.collect_list(F.struct("slot", "element", *[c for c in own if c not in ("slot", "element")]))).alias("squad"))  # 15 players
+    swapped = squad.withColumn("swaps", _substitutions(F.col("squad")))
+    player = swapped.select(*g, "swaps", F.explode("squad").alias("x")).select(*g, "x.*", "swaps")
+    left, entered = F.array_contains("swaps.leave", F.col("element")), F.array_contains("swaps.enter", F.col("element"))
+    counts = (F.col("chip") == "bboost") | ((F.col("role") == "starter") & ~left) | ((F.col("role") != "starter") & entered)
+    done = player.withColumn("counts", F.coalesce(counts, F.lit(False))).drop("swaps")
     cap_out = F.bool_or(F.col("is_captain") & (F.col("played") == "no"))
     vice_ok = F.bool_or(F.col("is_vice") & (F.col("played") != "no"))
     per = done.groupBy(*g).agg(
@@ -584,21 +593,18 @@ def template_squad(pool: DataFrame, group: Sequence[str], cap: int = MAX_PER_CLU
     deep = max(SQUAD_SIZE.values()) + sum(SQUAD_SIZE.values())
     short = top_n(per_club, [*g, "position"], order, deep, "place").select(*g, "position", "element", "team", "ownership", "place")
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        clubs: dict[str, int] = {}
-        chosen = []
-        for p in POSITIONS:
-            taken = 0
-            for i, r in rows[rows["position"] == p].sort_values("place").iterrows():
-                if taken < SQUAD_SIZE[p] and clubs.get(r["team"], 0) < cap:
-                    chosen.append(i)
-                    clubs[r["team"]] = clubs.get(r["team"], 0) + 1
-                    taken += 1
-            if taken < SQUAD_SIZE[p]:
-                return rows.iloc[:0]
-        return rows.loc[chosen]
-
-    return task_spread(short, *g).groupBy(*g).applyInPandas(choose, short.schema).drop("place")
+    turn = F.array_position(F.array(*[F.lit(p) for p in POSITIONS]), F.col("position")).alias("turn")
+    fields = ["position", "element", "team", "ownership"]
+    listed = short.filter(F.col("position").isin(*POSITIONS)).groupBy(*g).agg(F.array_sort(F.collect_list(F.struct(turn, "place", *fields))).alias("list"))
+
+    def pick(chosen: Column, x: Column) -> Column:
+        same = lambda field: F.size(F.filter(chosen, lambda c: c[field].eqNullSafe(x[field])))
+        room = same("position") < F.element_at(F.create_map(*[F.lit(v) for kv in SQUAD_SIZE.items() for v in kv]), x["position"])
+        return F.when(room & (same("team") < cap), F.array_append(chosen, x)).otherwise(chosen)
+
+    chosen = listed.select(*g, F.aggregate("list", F.filter("list", lambda _: F.lit(False)), pick).alias("chosen"))
+    whole = chosen.filter(F.size("chosen") == sum(SQUAD_SIZE.values()))
+    return whole.select(*g, F.explode("chosen").alias("x")).select(*g, *[f"x.{c}" for c in fields])
 
 
 def win_runs(rows: DataFrame) -> DataFrame:

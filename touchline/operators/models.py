@@ -19,7 +19,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,15 +161,40 @@ def cluster(df: DataFrame, stats: Sequence[str], k: int = 8, seed: int = 42) ->
     return out.drop("raw", "features").withColumnRenamed("prediction", "cluster"), score
 
 
-def leave_one_out(df: DataFrame, cols: Sequence[str], target: str, folds: int = 5, reg: float = 1.0) -> DataFrame:
-    """Ridge predictions of each team by a model that never saw its fold (the fold comes from the
-    team's name; as many folds as teams leaves one out)."""
-    rows = VectorAssembler(inputCols=list(cols), outputCol="features").transform(df.withColumn("fold", F.pmod(F.xxhash64("team"), F.lit(folds))))
-    parts = []
-    for i in range(folds):
-        m = LinearRegression(featuresCol="features", labelCol=target, regParam=reg, elasticNetParam=0.0).fit(rows.filter(F.col("fold") != i))
-        parts.append(m.transform(rows.filter(F.col("fold") == i)))
-    return reduce(lambda a, b: a.unionByName(b), parts).drop("features").withColumnRenamed("prediction", "predicted")
+def leave_one_out(df: DataFrame, cols: Sequence[str], target: str, alpha: float = 1.0) -> DataFrame:
+    """Ridge prediction of each team by a model that never saw the team's rows, exactly.
+
+    Ridge needs only sums of products, so the sums without a team are the sums of all rows minus
+    its own; inputs are standardised on the rows that are left. One aggregation serves all teams.
+    """
+    x = [F.col(c).cast("double") for c in cols]
+    y = F.col(target).cast("double")
+    known = df.filter(reduce(lambda a, b: a & b, [c.isNotNull() for c in (*x, y)]))
+    k = len(cols)
+    products = [*x, y, *[x[i] * x[j] for i in range(k) for j in range(i, k)], *[c * y for c in x]]
+    names = [f"__s{i}" for i in range(len(products) + 1)]
+    per = known.groupBy("team").agg(*[F.sum(p).alias(n) for n, p in zip(names, [F.lit(1.0), *products])])
+    whole = per.agg(*[F.sum(n).alias(f"{n}_all") for n in names])
+    left = per.select("team", F.lit(1).alias("__one"), *names).join(whole.withColumn("__one", F.lit(1)), "__one")
+    rest = left.select("team", *[(F.col(f"{n}_all") - F.col(n)).alias(n) for n in names])
+
+    def solve(batches):
+        for pdf in batches:
+            m = pdf[names].to_numpy(dtype=float)
+            n, mean_x, mean_y = m[:, 0], m[:, 1 : k + 1] / m[:, :1], m[:, k + 1] / m[:, 0]
+            square = np.empty((len(m), k, k))
+            upper = [(i, j) for i in range(k) for j in range(i, k)]
+            for place, (i, j) in enumerate(upper):
+                square[:, i, j] = square[:, j, i] = m[:, k + 2 + place] - n * mean_x[:, i] * mean_x[:, j]
+            sd = np.sqrt(np.maximum(np.einsum("nii->ni", square) / n[:, None], 0))
+            sd = np.where(sd > 0, sd, 1.0)
+            cross = (m[:, k + 2 + len(upper) :] - mean_x * (n * mean_y)[:, None]) / sd
+            w = np.linalg.solve(square / (sd[:, :, None] * sd[:, None, :]) + alpha * np.eye(k), cross[:, :, None])[:, :, 0] / sd
+            yield pdf[["team"]].assign(__w=w.tolist(), __b=mean_y - (w * mean_x).sum(axis=1))
+
+    models = rest.filter(F.col(names[0]) > 0).mapInPandas(solve, "team string, __w array<double>, __b double")
+    out = df.join(models, "team", "left")
+    return out.withColumn("predicted", reduce(lambda a, i: a + x[i] * F.col("__w")[i], range(k), F.col("__b"))).drop("__w", "__b")
 
 
 def poisson_ratings(tm: DataFrame, now: str, half_life_days: float = 140.0, reg: float = 0.02) -> PipelineModel:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.functions.ordered import task_spread, top_n
+from touchline.functions.ordered import top_n
 from touchline.functions.words import lead_gram, normalize_name, short_grams
 
 # Vector features with their ranges, words of positions
@@ -88,21 +88,26 @@ def correct_typos(words: DataFrame, vocabulary: DataFrame, cutoff: float = 0.8,
     return best.groupBy("word").agg(F.min(F.struct((-F.round("ratio", 9)).alias("r"), F.col("v"))).alias("b")).select("word", F.col("b.v").alias("corrected"), (-F.col("b.r")).alias("ratio"))
 
 
-def mentions(texts: DataFrame, names: DataFrame, key: str, max_words: int = 3) -> DataFrame:
+def mentions(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """Mentions of known names in whole texts, as word positions; a mention inside a longer one is
-    dropped. ``names``: name, popularity; a shared form belongs to the most popular name."""
+    dropped. ``names``: name, popularity; a shared form belongs to the most popular name. Names may have
+    any number of words: runs of every length that occurs are cut inside the row, so the text never moves."""
     n = names.select(normalize_name(F.col("name")).alias("form"), "name", "popularity").filter(F.col("form") != "")
     n = n.groupBy("form").agg(F.min_by("name", F.struct((-F.col("popularity")).alias("p"), "name")).alias("name"))
-    w = texts.select(key, F.posexplode(tokens(F.col("text"))).alias("at", "word"))
-    seq = Window.partitionBy(key).orderBy("at")  # words of one text
-    grams = w.select(key, "at", *[F.lead("word", i).over(seq).alias(f"w{i}") for i in range(max_words)])
-    forms = F.array(*[
-        F.struct(F.lit(k).alias("words"), F.when(F.col(f"w{k - 1}").isNotNull(), F.concat_ws(" ", *[f"w{i}" for i in range(k)])).alias("form")) for k in range(1, max_words + 1)
-    ])
-    hit = grams.select(key, "at", F.explode(forms).alias("f")).select(key, "at", "f.words", "f.form").join(n, "form")
+    lengths = [r["k"] for r in n.select(F.size(F.split("form", " ")).alias("k")).distinct().orderBy("k").collect()]  # a row per length
+    if not lengths:
+        lengths = [1]
+
+    def runs(k: int) -> Column:
+        cut = lambda i: F.struct(i.alias("at"), F.lit(k).alias("words"), F.array_join(F.slice("__t", i + 1, F.lit(k)), " ").alias("form"))
+        starts = F.filter(F.sequence(F.lit(0), F.size("__t")), lambda i: i <= F.size("__t") - k)
+        return F.transform(starts, cut)
+
+    w = texts.select(key, tokens(F.col("text")).alias("__t")).filter(F.col("__t").isNotNull())
+    hit = w.select(key, F.inline(F.concat(*[runs(k) for k in lengths]))).join(n, "form")
     # longest mention per start, then drop those reaching no further than an earlier one
     far = hit.groupBy(key, "at").agg(F.max_by(F.struct("words", "form", "name"), "words").alias("m")).select(key, "at", "m.*")
-    reach = F.max(F.col("at") + F.col("words")).over(Window.partitionBy(key).orderBy("at").rangeBetween(-max_words, -1))
+    reach = F.max(F.col("at") + F.col("words")).over(Window.partitionBy(key).orderBy("at").rangeBetween(-max(lengths), -1))
     return far.withColumn("__r", reach).filter(F.col("__r").isNull() | (F.col("at") + F.col("words") > F.col("__r"))).drop("__r")
 
 
@@ -221,7 +226,8 @@ def describe(df: DataFrame) -> DataFrame:
 
 def link_players(other: DataFrame, ours: DataFrame) -> DataFrame:
     """Players of another source linked one-to-one to ours per season and club, by minutes that
-    agree on shared dates and by the name. ``other``: season, team, player_id, player_name, date,
+    agree on shared dates and by the name, or by an unambiguous name alone where one side has no
+    dated minutes. ``other``: season, team, player_id, player_name, date,
     minutes; ``ours``: season, team, name, date, minutes. Pairs only form inside one club's squad
     on one date."""
     by = ["season", "team"]
@@ -231,28 +237,36 @@ def link_players(other: DataFrame, ours: DataFrame) -> DataFrame:
     on = o.groupBy(*by, "player_id").agg(F.count_distinct("date").alias("__no"))
     pn = p.groupBy(*by, "name").agg(F.count_distinct("date").alias("__np"))
     who = other.groupBy(*by, "player_id").agg(F.min("player_name").alias("player_name"))
-    c = agree.join(on, [*by, "player_id"]).join(pn, [*by, "name"]).join(who, [*by, "player_id"])
+    own = ours.select(*by, "name").distinct()
+    # pairs of one squad that share a date or a word of the name; any other pair is no link
+    word = lambda c: F.explode(F.array_distinct(tokens(F.col(c)))).alias("word")
+    alike = who.select(*by, "player_id", word("player_name")).join(own.select(*by, "name", word("name")), [*by, "word"]).select(*by, "player_id", "name")
+    pairs = alike.unionByName(agree.filter("agree > 0").select(*by, "player_id", "name")).distinct()
+    c = pairs.join(who, [*by, "player_id"])
+    for side, keys in ((agree, ["player_id", "name"]), (on, ["player_id"]), (pn, ["name"])):
+        c = c.join(side, [*by, *keys], "left")
     x, y = normalize_name(F.col("player_name")), normalize_name(F.col("name"))
     sim = F.round(100 * (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y))), 6)
     last = lambda t: F.element_at(F.split(t, " "), -1)
-    c = c.withColumn("sim", F.when(last(x) == last(y), F.greatest(sim, F.lit(float(MIN_NAME_ONLY)))).otherwise(sim))
-    c = c.withColumn("share", F.col("agree") / F.greatest("__no", "__np"))
+    c = c.withColumn("sim", F.when(last(x) == last(y), F.greatest(sim, F.lit(float(MIN_NAME_ONLY)))).otherwise(sim)).fillna(0, ["agree"])
+    both = F.col("__no").isNotNull() & F.col("__np").isNotNull()
+    c = c.withColumn("share", F.when(both, F.col("agree") / F.greatest("__no", "__np")).otherwise(0.0))
     backed = (F.col("agree") >= 2) & (F.col("share") >= MIN_AGREEMENT) & ((F.col("sim") >= MIN_NAME_WITH_MINUTES) | ((F.col("share") >= 0.8) & (F.col("agree") >= 5)))
-    named = (F.col("sim") >= MIN_NAME_ONLY) & (F.col("agree") >= 1)
+    named = (F.col("sim") >= MIN_NAME_ONLY) & (~both | (F.col("agree") >= 1))
     c = c.withColumns({"kind": F.when(backed, 1).when(named, 0), "score": F.when(backed, 100 * F.col("share") + F.col("sim")).otherwise(F.col("sim"))}).filter(F.col("kind").isNotNull())
-    c = c.select(*by, "player_id", "name", "kind", F.round("score", 6).alias("score"))
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["kind", "score", "player_id", "name"], ascending=[False, False, True, True])
-        ids, names, keep = set(), set(), []
-        for i, pid, name in zip(rows.index, rows["player_id"], rows["name"]):
-            if pid not in ids and name not in names:
-                keep.append(i)
-                ids.add(pid)
-                names.add(name)
-        return rows.loc[keep]
-
-    return task_spread(c, *by).groupBy(*by).applyInPandas(choose, c.schema)
+    # a name alone must be the player's one best name
+    rank = F.count(F.lit(1)).over(Window.partitionBy(*by, "player_id", "kind", F.round("score", 6)))
+    top = F.max(F.when(F.col("kind") == 0, F.col("score"))).over(Window.partitionBy(*by, "player_id"))
+    c = c.withColumns({"__same": rank, "__top": top}).filter((F.col("kind") == 1) | ((F.col("score") == F.col("__top")) & (F.col("__same") == 1)))
+    order = F.struct((-F.col("kind")).alias("k"), (-F.round("score", 6)).alias("s"), "player_id", "name")
+    squad = c.groupBy(*by).agg(F.array_sort(F.collect_list(order)).alias("pairs"))
+
+    def take(done: Column, x: Column) -> Column:
+        taken = F.exists(done, lambda d: (d["player_id"] == x["player_id"]) | (d["name"] == x["name"]))
+        return F.when(taken, done).otherwise(F.array_append(done, x))
+
+    linked = squad.select(*by, F.explode(F.aggregate("pairs", F.filter("pairs", lambda _: F.lit(False)), take)).alias("x"))
+    return linked.select(*by, "x.player_id", "x.name", (-F.col("x.k")).alias("kind"), (-F.col("x.s")).alias("score"))
 
 
 def match_event_names(events: DataFrame, players: DataFrame) -> DataFrame:

@@ -217,10 +217,28 @@ def _side_rows(s, d):
     return f.select("id", "season", "GW", "kickoff_time", "home_team", "away_team", "x.*")
 
 
-add("F23_odds_features", lambda s, d: six(X.odds_features(_side_rows(s, d), X.goal_expectations(odds(s, d))).select("id", "team", "odds_win", "odds_draw")),
-    ctes("col", "od", extra={"q": "SELECT season, gameweek, min(kt) - INTERVAL 90 MINUTE AS dl FROM col GROUP BY season, gameweek"})
-    + "SELECT col.id, CASE WHEN w THEN home_team ELSE away_team END AS team, round(CASE WHEN ca <= dl THEN CASE WHEN w THEN p_home ELSE p_away END END, 6) AS odds_win, round(CASE WHEN ca <= dl THEN p_draw END, 6) AS odds_draw FROM col JOIN q USING (season, gameweek) LEFT JOIN od ON od.season = col.season AND od.home = col.home_team AND od.away = col.away_team, (SELECT unnest([true, false]) AS w)")
-add("F24_goal_expectations", lambda s, d: six(X.goal_expectations(odds(s, d)).select("season", "home", "away", "lam_h", "lam_a")))
+_CHANCE = "(exp(-({r})) * power({r}, {k}) / factorial(CAST({k} AS INTEGER)))"
+_UP_TO = "list_sum([" + _CHANCE.format(r="{r}", k="j") + " FOR j IN range(0, i)])"
+_H, _A = "((t + lo + w / 2) / 2)", "((t - lo - w / 2) / 2)"
+_LEAD = f"list_sum([{_CHANCE.format(r=_H, k='i')} * {_UP_TO.format(r=_A)} - {_CHANCE.format(r=_A, k='i')} * {_UP_TO.format(r=_H)} FOR i IN range(1, 16)])"
+_GOALS = {
+    "tot": "SELECT season, home, away, p_home - p_away AS goal, p_over, CAST(0.05 AS DOUBLE) AS lo, CAST(9.95 AS DOUBLE) AS w, 0 AS k FROM od WHERE p_home IS NOT NULL AND p_away IS NOT NULL AND p_over IS NOT NULL UNION ALL "
+    "SELECT season, home, away, goal, p_over, CASE WHEN 1 - exp(-(lo + w / 2)) * (1 + (lo + w / 2) + (lo + w / 2) * (lo + w / 2) / 2) < p_over THEN lo + w / 2 ELSE lo END, w / 2, k + 1 FROM tot WHERE k < 60",
+    "gap": "SELECT season, home, away, goal, lo + w / 2 AS t, -0.999 * (lo + w / 2) AS lo, 1.998 * (lo + w / 2) AS w, 0 AS k FROM tot WHERE k = 60 UNION ALL "
+    f"SELECT season, home, away, goal, t, CASE WHEN {_LEAD} < goal THEN lo + w / 2 ELSE lo END, w / 2, k + 1 FROM gap WHERE k < 60",
+    "lam": "SELECT od.*, (t + lo + w / 2) / 2 AS lam_h, (t - lo - w / 2) / 2 AS lam_a FROM od LEFT JOIN (SELECT * FROM gap WHERE k = 60) USING (season, home, away)",
+}
+
+
+def recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+add("F23_odds_features", lambda s, d: six(X.odds_features(_side_rows(s, d), X.goal_expectations(odds(s, d))).select("id", "team", "odds_win", "odds_draw", "odds_gf", "odds_ga", "odds_cs")),
+    recursive(ctes("col", "od", extra=_GOALS | {"q": "SELECT season, gameweek, min(kt) - INTERVAL 90 MINUTE AS dl FROM col GROUP BY season, gameweek"}))
+    + "SELECT col.id, CASE WHEN w.w THEN home_team ELSE away_team END AS team, round(CASE WHEN ca <= dl THEN CASE WHEN w.w THEN p_home ELSE p_away END END, 6) AS odds_win, round(CASE WHEN ca <= dl THEN p_draw END, 6) AS odds_draw, round(CASE WHEN ca <= dl THEN CASE WHEN w.w THEN lam_h ELSE lam_a END END, 6) AS odds_gf, round(CASE WHEN ca <= dl THEN CASE WHEN w.w THEN lam_a ELSE lam_h END END, 6) AS odds_ga, round(CASE WHEN ca <= dl THEN exp(-CASE WHEN w.w THEN lam_a ELSE lam_h END) END, 6) AS odds_cs FROM col JOIN q USING (season, gameweek) LEFT JOIN lam AS od ON od.season = col.season AND od.home = col.home_team AND od.away = col.away_team, (SELECT unnest([true, false]) AS w) w")
+add("F24_goal_expectations", lambda s, d: six(X.goal_expectations(odds(s, d)).select("season", "home", "away", "lam_h", "lam_a")),
+    recursive(ctes("od", extra=_GOALS)) + "SELECT season, home, away, round(lam_h, 6) AS lam_h, round(lam_a, 6) AS lam_a FROM lam")
 
 
 # ------------------------------------------------------------------ other competitions on the event table

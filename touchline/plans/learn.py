@@ -89,7 +89,7 @@ def _quant(s, d):
 
 add("M6_conditional_quantiles", lambda s, d: six(_quant(s, d).select(*ROW, "p10", "p50", "p90")), ctes("er", extra=_CELL) + "SELECT element, fixture, line, round(p10, 6) AS p10, round(p50, 6) AS p50, round(p90, 6) AS p90 FROM qq")
 add("M6_pinball_loss", lambda s, d: six(M.pinball_loss(_quant(s, d))), ctes("er", extra=_CELL) + "SELECT position, count(*) AS n, " + ", ".join(f"round(avg(greatest((y - p{q}) * {q / 100}, (y - p{q}) * ({q / 100} - 1))), 6) AS loss_p{q}" for q in (10, 50, 90)) + " FROM qq GROUP BY position")
-STATS = ("goals_scored", "assists", "bonus", "bps", "saves", "influence", "threat")
+STATS = ("goals_scored", "assists", "clean_sheets", "goals_conceded", "saves", "bonus", "bps", "influence", "creativity", "threat", "ict_index", "expected_goals", "expected_assists", "total_points")
 
 
 def _vectors(s, d):
@@ -98,7 +98,7 @@ def _vectors(s, d):
 
 
 def _m7(s, d):
-    out, score = M.cluster(_vectors(s, d), STATS, 4)
+    out, score = M.cluster(_vectors(s, d).na.fill(0.0), STATS)
     return six(out.groupBy("cluster").agg(F.count("*").alias("n"), F.avg("v_bps").alias("bps")).withColumn("silhouette", F.lit(score)))
 
 
@@ -107,10 +107,20 @@ add("M7_cluster", _m7)
 
 def _m8(s, d):
     t = D.team_season_estimates(app(s, d)).select("team", "season", F.col("goals_per_game").alias("a"), F.col("clean_sheets").cast("double").alias("b"), F.col("points_per_game").alias("y"))
-    return six(M.leave_one_out(t, ["a", "b"], "y", 4).select("team", "season", "y", "predicted"))
-
-
-add("M8_leave_one_out", _m8)
+    return six(M.leave_one_out(t, ["a", "b"], "y").select("team", "season", "y", "predicted"))
+
+
+_RIDGE = {
+    "g": "SELECT season, team, GW, sum(goals_scored) AS g, max(clean_sheets) FILTER (WHERE position = 'DEF') AS cs FROM app GROUP BY season, team, GW",
+    "u": "SELECT season, team, count(*) AS m, sum(g) AS goals, coalesce(sum(cs), 0) AS cs, count(cs) AS nd FROM g GROUP BY season, team",
+    "t": "SELECT season, team, CAST(goals AS DOUBLE) / m AS a, CAST(cs AS DOUBLE) AS b, CAST(cs * 3 + m - cs - greatest(0, m - cs - (m - cs) // 3) AS DOUBLE) / m AS y FROM u",
+    "p": "SELECT team, count(*) AS n, sum(a) AS a, sum(b) AS b, sum(y) AS y, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS by_ FROM t GROUP BY team",
+    "r": "SELECT p.team, " + ", ".join(f"w.{c} - p.{c} AS {c}" for c in ("n", "a", "b", "y", "aa", "ab", "bb", "ay", "by_")) + " FROM p, (SELECT " + ", ".join(f"sum({c}) AS {c}" for c in ("n", "a", "b", "y", "aa", "ab", "bb", "ay", "by_")) + " FROM p) w",
+    "c": "SELECT team, a / n AS ma, b / n AS mb, y / n AS my, aa - a * a / n AS saa, ab - a * b / n AS sab, bb - b * b / n AS sbb, ay - a * y / n AS say, by_ - b * y / n AS sby, sqrt((aa - a * a / n) / n) AS da, sqrt((bb - b * b / n) / n) AS db FROM r WHERE n > 0",
+    "z": "SELECT *, saa / (da * da) + 1 AS k1, sbb / (db * db) + 1 AS k2, sab / (da * db) AS k3, say / da AS t1, sby / db AS t2 FROM c",
+    "w": "SELECT *, (k2 * t1 - k3 * t2) / (k1 * k2 - k3 * k3) / da AS wa, (k1 * t2 - k3 * t1) / (k1 * k2 - k3 * k3) / db AS wb FROM z",
+}
+add("M8_leave_one_out", _m8, ctes("app", extra=_RIDGE) + "SELECT t.team, season, round(y, 6) AS y, round(my + wa * (a - ma) + wb * (b - mb), 6) AS predicted FROM t LEFT JOIN w USING (team)")
 
 
 def _m9(s, d):

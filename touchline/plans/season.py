@@ -256,5 +256,14 @@ add("L29_purchase_prices", _purchase,
 add("L30_prices_at", lambda s, d: L.prices_at(app(s, d), 6), ctes("app") + "SELECT season, element, value AS price FROM (SELECT *, row_number() OVER (PARTITION BY season, element ORDER BY GW DESC, kickoff_time DESC, fixture DESC, line DESC) AS rn FROM app WHERE GW <= 6) WHERE rn = 1")
 add("L31_projected_by_element", lambda s, d: L.projected_by_element(app(s, d), 1, 4),
     ctes("app") + "SELECT e.season, e.element, g.GW, coalesce(p, 0) AS points FROM (SELECT DISTINCT season, element FROM app) e JOIN (SELECT season, GW FROM (SELECT DISTINCT season, GW, dense_rank() OVER (PARTITION BY season ORDER BY GW) AS r FROM app) WHERE r <= 4 AND season IN (SELECT season FROM app GROUP BY season HAVING min(GW) = 1)) g ON g.season = e.season LEFT JOIN (SELECT season, element, GW, round(sum(predicted_points), 2) AS p FROM app GROUP BY ALL) p ON p.season = e.season AND p.element = e.element AND p.GW = g.GW")
-add("L32_template_squad", lambda s, d: L.template_squad(pool(s, d), GW))
+_GREEDY = {
+    "po": "SELECT pool.*, pl.selected_by_percent AS ownership FROM pool JOIN pl USING (element) WHERE selected_by_percent IS NOT NULL",
+    "ls": "SELECT *, row_number() OVER (PARTITION BY season, GW ORDER BY list_position(['GK', 'DEF', 'MID', 'FWD'], position), ownership DESC, points DESC, element) AS i FROM (SELECT *, row_number() OVER (PARTITION BY season, GW, position, team ORDER BY ownership DESC, points DESC, element) AS c FROM po) WHERE c <= 3",
+    "gr": "SELECT DISTINCT season, GW, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS els, CAST([] AS VARCHAR[]) AS clubs, CAST([] AS VARCHAR[]) AS poss FROM ls UNION ALL "
+    "SELECT season, GW, i, CASE WHEN ok THEN list_append(els, element) ELSE els END, CASE WHEN ok THEN list_append(clubs, team) ELSE clubs END, CASE WHEN ok THEN list_append(poss, position) ELSE poss END FROM ("
+    "SELECT gr.season, gr.GW, ls.i, els, clubs, poss, element, team, position, len(list_filter(clubs, lambda c: c = team)) < 3 AND len(list_filter(poss, lambda p: p = position)) < CASE position WHEN 'GK' THEN 2 WHEN 'FWD' THEN 3 ELSE 5 END AS ok FROM gr JOIN ls ON ls.season = gr.season AND ls.GW = gr.GW AND ls.i = gr.i + 1)",
+    "fi": "SELECT season, GW, unnest(els) AS element FROM (SELECT *, row_number() OVER (PARTITION BY season, GW ORDER BY i DESC) AS k FROM gr) WHERE k = 1 AND len(els) = 15",
+}
+add("L32_template_squad", lambda s, d: L.template_squad(pool(s, d), GW),
+    ctes("pool", "pl", extra=_GREEDY).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT season, GW, position, element, team, ownership FROM ls JOIN fi USING (season, GW, element)")
 _RUN = "SELECT season, team, count(*) AS {n} FROM (SELECT *, max(CASE WHEN NOT ({t}) THEN kickoff_time END) OVER (PARTITION BY season, team) AS bk, max(CASE WHEN NOT ({t}) THEN rn END) OVER (PARTITION BY season, team) AS bad FROM r) WHERE bad IS NULL OR rn > bad GROUP BY season, team"

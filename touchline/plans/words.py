@@ -75,7 +75,7 @@ def _names(s, d):
     return two.unionByName(one).groupBy("name").agg(F.max("popularity").alias("popularity"))
 
 
-add("T5_mentions", lambda s, d: X.mentions(docs(s, d), _names(s, d), "doc_id", 2),
+add("T5_mentions", lambda s, d: X.mentions(docs(s, d), _names(s, d), "doc_id"),
     f"WITH b AS (SELECT string_split({_N.format(c='text')}, ' ') AS t FROM benchmark), n AS (SELECT DISTINCT t[1] || ' ' || t[2] AS form FROM b UNION SELECT DISTINCT t[2] FROM b), "
     f"l AS (SELECT doc_id, list_filter(string_split({_N.format(c='text')}, ' '), lambda x: x <> '') AS t FROM documents), "
     "w AS (SELECT doc_id, CAST(i - 1 AS INT) AS at_, t[i] AS w0, t[i + 1] AS w1 FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM l)), "

@@ -67,11 +67,9 @@ def view_counters(views: DataFrame) -> DataFrame:
     return views.select("ts", F.explode(bumps).alias("b")).select("ts", "b.kind", "b.key")
 
 
-def daily_counts(views: DataFrame, watermark: str = "2 days") -> DataFrame:
-    """Counts per UTC day, kind and key; works on a stream and on a table."""
+def daily_counts(views: DataFrame) -> DataFrame:
+    """Counts per UTC day, kind and key of a table, or of one batch of a stream."""
     rows = view_counters(views)
-    if views.isStreaming:
-        rows = rows.withWatermark("ts", watermark)
     return rows.groupBy(F.window("ts", "1 day").alias("w"), "kind", "key").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_seen")).select(
         F.to_date("w.start").alias("day"), "kind", "key", "n", "first_seen")
 
@@ -105,12 +103,13 @@ def top_keys(counts: DataFrame, last_day: str, days: int = 30, n: int = 20, coun
 
 # ------------------------------------------------------------------ running a stream
 
-def run_available(stream: DataFrame, mode: str, name: str) -> str:
-    """Process what is available, one partition per micro-batch, and return the folder."""
+def run_available(stream: DataFrame, mode: str, name: str, each: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> str:
+    """Process what is available, one partition per micro-batch after ``each``, and return the folder. A
+    batch that runs again replaces its own partition."""
     base = f"{shared_folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        each(batch).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
@@ -125,17 +124,21 @@ def latest_batches(spark: SparkSession, path: str, keys: Sequence[str]) -> DataF
 
 
 def page_view_stream(views: DataFrame) -> DataFrame:
-    """Run the page-view counters over a stream of views."""
-    path = run_available(daily_counts(views), "update", "page-views")
-    return latest_batches(views.sparkSession, path, ["day", "kind", "key"])
+    """Run the page-view counters over a stream of views. Every batch leaves its own increments, which are
+    added up on reading, so a view counts however late it arrives."""
+    path = run_available(views, "append", "page-views", daily_counts)
+    parts = views.sparkSession.read.option("basePath", path).parquet(path)
+    return parts.groupBy("day", "kind", "key").agg(F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"))
 
 
-def capture_stream(captures: DataFrame, deadlines: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Captures before their gameweek's deadline, repeats dropped."""
+def capture_stream(captures: DataFrame, deadlines: DataFrame) -> DataFrame:
+    """Captures before their gameweek's deadline; of repeats, also in different batches, the first one."""
     ok = captures.join(deadlines.select("season", "GW", "deadline"), ["season", "GW"]).filter(F.col("captured_at") < F.col("deadline"))
-    kept = ok.withWatermark("captured_at", watermark).dropDuplicatesWithinWatermark(["capture_id", "element"])
-    path = run_available(kept, "append", "captures")
-    return captures.sparkSession.read.option("basePath", path).parquet(path).drop("batch")
+    path = run_available(ok, "append", "captures")
+    rest = [c for c in ok.columns if c not in ("capture_id", "element", "captured_at")]
+    rows = captures.sparkSession.read.option("basePath", path).parquet(path)
+    first = rows.groupBy("capture_id", "element").agg(F.min(F.struct("captured_at", *rest)).alias("r"))
+    return first.select("capture_id", "element", "r.*").select(*ok.columns)
 
 
 def latest_state_stream(feed: DataFrame, keys: Sequence[str], at: str, values: Sequence[str]) -> DataFrame:
