@@ -5,13 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.session import shared_folder
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the given tables."""
@@ -36,9 +35,16 @@ def fresh_name(columns: Iterable[str], stem: str) -> str:
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The rows with a number of their own, written once, and the number's column name. Repeated rows
-    and rows without an id can then be told apart by every later step."""
-    row = fresh_name(docs.columns, "row_no")
+    """The rows with a key of their own and the key's column name, so that later steps tell repeated rows
+    and rows without an id apart. Rows read from files are named by file and place in it, which every
+    reader sees alike; any other frame is written once with a running number."""
+    row = fresh_name(docs.columns, "row_key")
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        place = F.concat(F.substring(F.md5("_metadata.file_path"), 1, 16), F.lit(":"), F.col("_metadata.row_index").cast("string"))
+        try:
+            return docs.select("*", place.alias(row)), row
+        except AnalysisException:  # a source without row numbers
+            pass
     return kept(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 

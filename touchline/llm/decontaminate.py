@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,7 +77,8 @@ def word_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
                 words = words_of(text)
                 if words:
                     seen.update([words[i] for i in np.flatnonzero(reach.value[_slots(words)]).tolist()])
-            yield pd.DataFrame({"word": [w.decode() for w in seen], "c": list(seen.values())})
+            if seen:
+                yield pd.DataFrame({"word": [w.decode() for w in seen], "c": list(seen.values())})
 
     return docs.select(F.col("text").alias("t")).mapInPandas(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("occurrences"))
 
@@ -125,7 +125,7 @@ def postings(docs: DataFrame, row: str, terms: DataFrame) -> DataFrame:
                 yield pd.DataFrame(out, columns=cols).astype({"n_words": "Int64", "pos": "Int64"})
 
     slim = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("t"))
-    return slim.mapInPandas(run, "row long, doc_id string, n_words long, word string, pos int, before string, after string")
+    return slim.mapInPandas(run, f"row {docs.schema[row].dataType.simpleString()}, doc_id string, n_words long, word string, pos int, before string, after string")
 
 
 def _anchored(words: DataFrame, pairs: DataFrame, window: int) -> DataFrame:
@@ -172,9 +172,12 @@ def exact_spans(candidates: DataFrame, window: int = WINDOW) -> DataFrame:
                 right = _same(a.split(), ia.split())
                 if left + 1 + right >= window or n < window and left == p and right == n - 1 - p:
                     out.append((r, item, pos - left, pos + right))
-            yield pd.DataFrame(out, columns=["row", "item_id", "lo", "hi"])
+            if out:
+                yield pd.DataFrame(out, columns=["row", "item_id", "lo", "hi"])
 
-    return candidates.select("row", "item_id", "pos", "p", "n", "before", "after", "item_before", "item_after").mapInPandas(run, "row long, item_id string, lo long, hi long")
+    return candidates.select("row", "item_id", "pos", "p", "n", "before", "after", "item_before", "item_after").mapInPandas(
+        run, f"row {candidates.schema['row'].dataType.simpleString()}, item_id string, lo long, hi long"
+    )
 
 
 def _same(a: list[str], b: list[str]) -> int:

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -56,7 +55,7 @@ def fingerprints(docs: DataFrame, row: str, words_in_shingle: int = 4) -> DataFr
             yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "fp": np.array(fps, np.uint64).astype(np.int64)})
 
     slim = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("t"))
-    out = slim.mapInPandas(run, "row long, doc_id string, fp long")
+    out = slim.mapInPandas(run, f"row {docs.schema[row].dataType.simpleString()}, doc_id string, fp long")
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
