@@ -295,14 +295,18 @@ def sums_before(
     ).select(*lcols, *sums)
 
 
+def trailing_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], tests: dict[str, Column]) -> DataFrame:
+    """Per key and test, how many of its latest rows pass the test without a break: the last failing row
+    of every test in one aggregation, the rows after it in a second one."""
+    place = F.struct(*order)
+    failed = df.groupBy(*keys).agg(*[F.max(F.when(~F.coalesce(t, F.lit(False)), place)).alias(f"__{n}") for n, t in tests.items()])
+    rows = match_keys(df.select(*dict.fromkeys([*keys, *order])), failed, keys)
+    return rows.groupBy(*keys).agg(*[F.count_if(F.col(f"__{n}").isNull() | (place > F.col(f"__{n}"))).alias(n) for n in tests])
+
+
 def trailing_run(df: DataFrame, keys: Sequence[str], order: Sequence[str], test: Column, out: str) -> DataFrame:
     """Per key, how many of its latest rows pass ``test`` without a break."""
-    marked = df.select(*keys, F.struct(*order).alias("__o"), F.coalesce(test, F.lit(False)).alias("__ok"))
-    last_bad = marked.groupBy(*keys).agg(F.max(F.when(~F.col("__ok"), F.col("__o"))).alias("__bad"))
-    after = match_keys(marked, last_bad, keys).groupBy(*keys)
-    return after.agg(
-        F.sum(F.when(F.col("__bad").isNull() | (F.col("__o") > F.col("__bad")), 1).otherwise(0)).cast("long").alias(out)
-    )
+    return trailing_runs(df, keys, order, {out: test})
 
 
 def latest_lists(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str], cols: Sequence[str], n: int, out: str) -> DataFrame:

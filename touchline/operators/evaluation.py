@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.ordered import exact_quantiles, match_keys, row_positions, top_n, value_bin, value_positions, value_ranks
+from touchline.session import written
 
 KS = (1, 10, 20, 50)
 GWK = ["season", "GW"]
@@ -65,7 +66,8 @@ def pick_metrics(rows: DataFrame, min_players: int = 30, spearman: bool = True,
     """Per gameweek the mean outcome of the top predictions, hits among the best twenty, rank
     correlation and mean error; small gameweeks are left out."""
     g = [*group, *GWK]
-    pg = player_gameweeks(rows, group=group)
+    off = F.abs(F.col("pred") - F.col("y"))
+    pg = written(player_gameweeks(rows, [F.sum(off).alias("off"), F.count(off).alias("known"), F.count(F.lit(1)).alias("rows")], group), "player-gameweeks")
     size = pg.groupBy(*g).agg(F.count(F.lit(1)).alias("players"))
     top = top_n(pg, g, [F.col("pred").desc(), F.col("name")], max(KS), "__p")
     best = top_n(pg.select(*g, "name", "actual"), g, [F.col("actual").desc(), F.col("name")], 20, "__a")
@@ -74,7 +76,7 @@ def pick_metrics(rows: DataFrame, min_players: int = 30, spearman: bool = True,
     cut = lambda k: F.sum(F.when(F.col("__p") <= k, F.col("actual"))) / F.least(F.lit(k), F.max("players"))
     hit = F.sum(F.when((F.col("__p") <= 20) & (F.col("__line").isNull() | (F.col("actual") >= F.col("__line"))), 1).otherwise(0)) / F.least(F.lit(20), F.max("players"))
     out = t.groupBy(*g).agg(F.max("players").alias("players"), *[cut(k).alias(f"top{k}") for k in KS], hit.alias("hit20"))
-    err = rows.groupBy(*g).agg(F.avg(F.abs(F.col("pred") - F.col("y"))).alias("mae"), F.count(F.lit(1)).alias("rows"))
+    err = pg.groupBy(*g).agg((F.sum("off") / F.nullif(F.sum("known"), F.lit(0))).alias("mae"), F.sum("rows").alias("rows"))
     out = match_keys(out, err, g)
     if spearman:
         out = match_keys(out, rank_correlation(pg, g), g)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.numbers import settle
-from touchline.functions.ordered import asof_join, latest_lists, match_keys, top_n, trailing_run
+from touchline.functions.ordered import asof_join, latest_lists, match_keys, top_n, trailing_runs
 
 # Statuses and their order, squad rules, awards
 STATUSES = ("scheduled", "in_progress", "finished")
@@ -609,9 +609,6 @@ def template_squad(pool: DataFrame, group: Sequence[str], cap: int = MAX_PER_CLU
 
 def win_runs(rows: DataFrame) -> DataFrame:
     """Current runs of each club in a season: wins, unbeaten, losses, winless (rows of ``team_rows``)."""
-    done = rows.filter(F.col("result").isNotNull())
-    out = done.select("season", "team").distinct()
     r = F.col("result")
-    for name, test in (("won", r == "W"), ("unbeaten", r != "L"), ("lost", r == "L"), ("winless", r != "W")):
-        out = out.join(trailing_run(done, ["season", "team"], ["kickoff_time", "id"], test, name), ["season", "team"])
-    return out
+    tests = {"won": r == "W", "unbeaten": r != "L", "lost": r == "L", "winless": r != "W"}
+    return trailing_runs(rows.filter(r.isNotNull()), ["season", "team"], ["kickoff_time", "id"], tests)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.numbers import settle
-from touchline.functions.ordered import match_keys, top_n, trailing_run, value_bin, value_positions, value_ranks
+from touchline.functions.ordered import match_keys, top_n, trailing_runs, value_bin, value_positions, value_ranks
 from touchline.operators.league import chance_of_playing
 
 # Scoring rules, ownership bands, price caps (tenths of a million)
@@ -142,8 +142,7 @@ def head_to_head_records(fixtures: DataFrame) -> DataFrame:
         F.max(F.when(r == "W", F.struct(margin.alias("m"), "kickoff_time", "id"))).alias("__b"),
     )
     order = ["kickoff_time", "id"]
-    rec = match_keys(rec, trailing_run(rows, keys, order, r != "L", "unbeaten"), keys)
-    rec = match_keys(rec, trailing_run(rows, keys, order, r != "W", "winless"), keys)
+    rec = match_keys(rec, trailing_runs(rows, keys, order, {"unbeaten": r != "L", "winless": r != "W"}), keys)
     return rec.select(*[c for c in rec.columns if c != "__b"], F.col("__b.m").alias("biggest_margin"), F.col("__b.id").alias("biggest_win_id"))
 
 
@@ -295,11 +294,10 @@ def player_highlights(app: DataFrame) -> DataFrame:
     last = top_n(on.select("element", *order, "total_points"), key, [F.col(c).desc() for c in order], 5)
     last = last.groupBy("element").agg(F.avg("total_points").alias("last5"))
     out = out.join(best, "element", "left").join(last, "element", "left")
-    runs = (("goal_run", g > 0), ("return_run", g + a > 0), ("clean_run", F.col("clean_sheets") > 0), ("blank_run", F.col("total_points") <= BLANK_POINTS))
-    for name, test in runs:
-        out = out.join(trailing_run(on, key, order, test, name), "element", "left")
+    runs = {"goal_run": g > 0, "return_run": g + a > 0, "clean_run": F.col("clean_sheets") > 0, "blank_run": F.col("total_points") <= BLANK_POINTS}
+    out = out.join(trailing_runs(on, key, order, runs), "element", "left")
     return out.select(
-        "element", *[F.coalesce(n, F.lit(0)).alias(n) for n, _ in runs], F.col("__best.total_points").alias("best_points"),
+        "element", *[F.coalesce(n, F.lit(0)).alias(n) for n in runs], F.col("__best.total_points").alias("best_points"),
         F.col("__best.fixture").alias("best_fixture"), "best_season", "big_scores", "appearances",
         settle("last5", 6).alias("last5"), F.when(F.col("appearances") > 0, settle(F.col("points") / F.col("appearances"), 6)).alias("per_game"),
     )

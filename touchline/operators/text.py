@@ -150,10 +150,11 @@ def similar_to(items: DataFrame, query: Sequence[float], k: int, id_col: str, ve
 
 
 def similar_to_item(items: DataFrame, item: int, k: int, id_col: str, vec: str) -> DataFrame:
-    """Items most similar to a given one, itself left out; the item's vector is joined as one row."""
-    ref = items.filter(F.col(id_col) == item).select(F.col(vec).alias("__v"), F.lit(1).alias("__k"))
-    d = items.filter(F.col(id_col) != item).withColumn("__k", F.lit(1)).join(ref, "__k")
-    return d.select(id_col, F.round(cosine(F.col(vec), F.col("__v")), 6).alias("similarity")).orderBy(F.col("similarity").desc(), id_col).limit(k)
+    """Items most similar to a given one, itself left out; its vector is looked up and then a constant
+    of the scan. Without the item there is no result."""
+    found = items.filter(F.col(id_col) == item).select(vec).first()
+    others = items.filter(F.col(id_col) != item) if found and found[0] is not None else items.limit(0)
+    return similar_to(others, found[0] if found and found[0] is not None else [0.0], k, id_col, vec)
 
 
 def nearest(queries: DataFrame, items: DataFrame, id_col: str, vec: str, k: int, block: int = 4096) -> DataFrame:

@@ -12,6 +12,7 @@ from touchline.plans import roles
 from touchline.plans.features import KEY, ROW, pct, roll, six, snap_rows, snaps, tm, windows, match_events
 from touchline.plans.registry import add
 from touchline.plans.roles import CTES, CURRENT, ctes
+from touchline.session import written
 
 app, fx, pl, sided, cap = roles.appearances, roles.fixtures, roles.players, roles.sided_appearances, roles.captures
 
@@ -244,7 +245,7 @@ add("E30_earlier_mean_baseline", lambda s, d: six(E.earlier_mean_baseline(app(s,
 
 def _seed_tables(s, d):
     a = [E.pick_metrics(app(s, d).withColumns({"pred": F.col("predicted_points") + F.pmod(F.col("fixture") * k, F.lit(7)) / 7.0, "y": F.col("total_points").cast("double")}), spearman=False) for k in (3, 5)]
-    return a[0].unionByName(a[1])
+    return written(a[0], "seed").unionByName(written(a[1], "seed"))  # a row per gameweek
 
 
 _SD = {}

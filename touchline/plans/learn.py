@@ -14,6 +14,7 @@ from touchline.plans.assess import CTES, er, form_rows
 from touchline.plans.features import KEY, ROW, app, fx, pl, six, snap_rows, match_events, tm
 from touchline.plans.registry import add
 from touchline.plans.roles import CURRENT, ctes
+from touchline.session import written
 
 COLS = ["total_points_r3", "total_points_r6", "minutes_r3", "season_ppg", "value", "selected"]
 SEASONS = ["1995-96", "1996-97", "1997-98", "1998-99", "1999-00", "2000-01", "2001-02"]
@@ -207,8 +208,9 @@ def _probs(s, d):
 
 
 def _m18(s, d):
+    """Fitted on documents with an even number, judged on the others."""
     p = _probs(s, d)
-    return six(M.calibration_gap(M.platt(p, p), "calibrated"))
+    return six(M.calibration_gap(M.platt(p.filter("doc_id % 2 = 0"), p.filter("doc_id % 2 = 1")), "calibrated"))
 
 
 add("M18_platt", _m18)
@@ -246,8 +248,7 @@ add("M20_blended", lambda s, d: six(M.blended(_scaled(s, d)).select(*ROW, "blend
 # ---------------------------------------------------------------- evaluations with a model
 def _e11(s, d):
     m, te = trained(s, d)
-    te = te.persist()
-    return six(E.permutation_importance(m.predict, te, {"form": COLS[:3], "season_to_date": COLS[3:4], "price_ownership": COLS[4:]}, ROW))
+    return six(E.permutation_importance(m.predict, written(te, "test-rows"), {"form": COLS[:3], "season_to_date": COLS[3:4], "price_ownership": COLS[4:]}, ROW))
 
 
 add("E11_permutation_importance", _e11)

@@ -10,6 +10,7 @@ from touchline.operators import readlib as R
 from touchline.plans import roles
 from touchline.plans.registry import add
 from touchline.plans.roles import CURRENT, CTES, ctes
+from touchline.session import written
 
 app, fx, pl, sided = roles.appearances, roles.fixtures, roles.players, roles.sided_appearances
 
@@ -181,7 +182,14 @@ def _scored(s, d, which=squads):
 
 
 add("L24_score_squads", lambda s, d: _scored(s, d))
-add("L25_compare_squads", lambda s, d: L.compare_squads(squads(s, d), shadow_squads(s, d), _scored(s, d), _scored(s, d, shadow_squads), GW))
+
+
+def _l25(s, d):
+    live, shadow, actual = written(squads(s, d), "live"), written(shadow_squads(s, d), "shadow"), written(act(s, d), "actual")
+    return L.compare_squads(live, shadow, L.score_squads(live, actual, GW), L.score_squads(shadow, actual, GW), GW)
+
+
+add("L25_compare_squads", _l25)
 
 
 def _compared(s, d):
