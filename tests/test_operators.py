@@ -343,3 +343,10 @@ def test_leave_one_out_is_exact(spark):
         for r in rows:
             if r[0] == team:
                 assert abs(got[team, r[1]] - (y.mean() + ((np.array(r[1:3]) - x.mean(0)) / x.std(0)) @ w)) < 1e-9
+
+
+def test_typos_leave_beginnings_alone(spark):
+    vocabulary = spark.createDataFrame([(w,) for w in ("haaland", "salah", "bruno", "saka")], "word string")
+    words = spark.createDataFrame([(w,) for w in ("haalan", "haland", "salahh", "brun", "bruns", "sak", "xxxx", None)], "word string")
+    got = {r["word"]: r["corrected"] for r in T.correct_typos(words, vocabulary).collect()}
+    assert got == {"haland": "haaland", "salahh": "salah", "bruns": "bruno"}

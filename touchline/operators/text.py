@@ -67,22 +67,35 @@ def resolve_names(queries: DataFrame, entries: DataFrame, limit: int = 10) -> Da
 
 
 def correct_typos(words: DataFrame, vocabulary: DataFrame, cutoff: float = 0.8, min_length: int = 4) -> DataFrame:
-    """Closest vocabulary word for unknown words, by edit distance relative to the longer word.
+    """Closest vocabulary word for unknown words, by edit distance relative to the longer word. A word that
+    begins a vocabulary word is not unknown: it may be still being typed.
 
-    Words within the cut-off differ in few letters, so one of the pieces a word is cut into must
-    stand unchanged in the other word: pairs meet on such pieces and none is lost.
+    Words within the cut-off differ in few letters, so one of the pieces a word is cut into stands
+    unchanged in the other word, shifted by no more letters than may differ: pairs meet on the word's
+    length, the piece and its number, and none is lost.
     """
-    v = vocabulary.select(F.col("word").alias("v")).distinct()
-    w = words.select("word").distinct().filter(F.length("word") >= min_length).join(v, words["word"] == v["v"], "left_anti")
+    v = vocabulary.select(F.col("word").alias("v")).filter(F.length("v") > 0).distinct()
+    begins = v.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("v")), lambda k: F.left(F.col("v"), k))).alias("word")).distinct()
+    w = words.select("word").distinct().filter(F.length("word") >= min_length).join(begins, "word", "left_anti")
+    allowed = lambda n: F.floor(n * ((1 - cutoff) / cutoff) + 1e-9).cast("int")
+    cut = lambda n: F.ceil(n / (allowed(n) + 1)).cast("int")
+    long = lambda n, i: F.least(cut(n), n - i * cut(n))
+
+    def piece(word: Column, n: Column, i: Column, at: Column) -> Column:
+        return F.struct(n.alias("n"), i.alias("i"), F.substring(word, at, long(n, i)).alias("piece"))
+
+    def of_length(n: Column) -> Column:
+        numbers, shifts = F.sequence(F.lit(0), allowed(n)), F.sequence(-allowed(n), allowed(n))
+        own = F.transform(numbers, lambda i: F.transform(F.filter(shifts, lambda s: i * cut(n) + s >= 0), lambda s: piece(F.col("v"), n, i, i * cut(n) + 1 + s)))
+        return F.flatten(own)
+
     size = F.length("word")
-    allowed = F.floor(size * ((1 - cutoff) / cutoff) + 1e-9).cast("int")
-    cut = F.ceil(size / (allowed + 1)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), allowed), lambda i: F.substring(F.col("word"), i * cut + 1, cut))
-    left = w.select("word", F.explode(F.array_distinct(F.filter(pieces, lambda p: p != ""))).alias("piece"))
-    at = F.sequence(F.lit(1), F.length("v"))
-    subs = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.length("v") - i + 1), lambda k: F.substring(F.col("v"), i, k))))
-    right = v.filter(F.length("v") > 0).select("v", F.explode(F.array_distinct(subs)).alias("piece"))
-    pair = left.join(right, "piece").select("word", "v").distinct()
+    mine = F.transform(F.sequence(F.lit(0), allowed(size)), lambda i: piece(F.col("word"), size, i, i * cut(size) + 1))
+    left = w.select("word", F.inline(F.filter(mine, lambda p: p["piece"] != "")))
+    sizes = F.sequence(F.ceil(F.length("v") * cutoff - 1e-9).cast("int"), F.floor(F.length("v") / cutoff + 1e-9).cast("int"))
+    theirs = F.array_distinct(F.flatten(F.transform(sizes, of_length)))
+    right = v.select("v", F.inline(F.filter(theirs, lambda p: F.length(p["piece"]) == long(p["n"], p["i"]))))
+    pair = left.join(right, ["n", "i", "piece"]).select("word", "v").distinct()
     ratio = 1 - F.levenshtein("word", "v") / F.greatest(F.length("word"), F.length("v"))
     best = pair.withColumn("ratio", ratio).filter(F.round("ratio", 9) >= cutoff)
     return best.groupBy("word").agg(F.min(F.struct((-F.round("ratio", 9)).alias("r"), F.col("v"))).alias("b")).select("word", F.col("b.v").alias("corrected"), (-F.col("b.r")).alias("ratio"))

@@ -62,7 +62,7 @@ def _vocab(s, d):
 
 _TOK = "SELECT DISTINCT unnest(string_split(" + _N + ", ' ')) AS word FROM {t}"
 add("T4_correct_typos", lambda s, d: six(X.correct_typos(_words(s, d), _vocab(s, d))),
-    f"WITH v AS (SELECT word FROM ({_TOK.format(c='text', t='benchmark')}) WHERE word <> ''), w AS (SELECT word FROM ({_TOK.format(c='text', t='documents')}) WHERE length(word) >= 4 AND word NOT IN (SELECT word FROM v)), "
+    f"WITH v AS (SELECT word FROM ({_TOK.format(c='text', t='benchmark')}) WHERE word <> ''), w AS (SELECT word FROM ({_TOK.format(c='text', t='documents')}) WHERE length(word) >= 4 AND word NOT IN (SELECT word[:k] FROM v, range(1, 64) t(k))), "
     "p AS (SELECT w.word, v.word AS v, 1 - levenshtein(w.word, v.word) / greatest(length(w.word), length(v.word)) AS r FROM w JOIN v ON abs(length(w.word) - length(v.word)) <= 0.25 * length(w.word) + 1 AND round(1 - levenshtein(w.word, v.word) / greatest(length(w.word), length(v.word)), 9) >= 0.8) "
     "SELECT word, v AS corrected, round(r, 6) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY round(r, 9) DESC, v) AS k FROM p) WHERE k = 1")
 
