@@ -140,9 +140,13 @@ def match_clubs(source: DataFrame, teams: DataFrame, aliases: DataFrame) -> Data
 
 
 def pair_matches(source: DataFrame, ours: DataFrame, days: int = 2) -> DataFrame:
-    """Our match for each source match: same clubs and sides, kick-offs within ``days``."""
+    """Our match for each source match: same clubs and sides, kick-offs within ``days``. Matches meet on
+    the slot of ``days`` days they start in, or a neighbouring one, not on the clubs alone."""
+    slot = lambda c: F.floor(F.unix_timestamp(c) / (days * 86400))
     s = source.select(F.col("id").alias("source_id"), "home_team", "away_team", F.col("kickoff_time").alias("__t"))
-    j = s.join(ours.select("id", "home_team", "away_team", "kickoff_time"), ["home_team", "away_team"])
+    s = s.withColumn("slot", F.explode(F.sequence(slot("__t") - 1, slot("__t") + 1)))
+    o = ours.select("id", "home_team", "away_team", "kickoff_time", slot("kickoff_time").alias("slot"))
+    j = s.join(o, ["home_team", "away_team", "slot"]).drop("slot")
     gap = F.abs(F.unix_timestamp("kickoff_time") - F.unix_timestamp("__t"))
     return top_n(j.withColumn("gap", gap).filter(F.col("gap") <= days * 86400), ["source_id"], [F.col("gap"), F.col("id")], 1).select("source_id", "id", "gap")
 
@@ -185,14 +189,12 @@ def nearest(queries: DataFrame, items: DataFrame, id_col: str, vec: str, k: int,
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "item_id": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
+        b = b.sort_values("id", kind="stable")  # equal similarities then come in the order of the ids
         unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
         sims = np.round(unit(np.stack(a["v"].to_list())) @ unit(np.stack(b["v"].to_list())).T, 6)
-        ids = b["id"].to_numpy()
-        out = []
-        for row, one in zip(a["id"], sims):
-            best = np.lexsort((ids, -one))[:k]
-            out.append(pd.DataFrame({"query_id": row, "item_id": ids[best], "similarity": one[best]}))
-        return pd.concat(out)
+        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        found = {"query_id": np.repeat(a["id"].to_numpy(), best.shape[1]), "item_id": b["id"].to_numpy()[best.ravel()]}
+        return pd.DataFrame(found | {"similarity": np.take_along_axis(sims, best, axis=1).ravel()})
 
     near = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(product, "query_id long, item_id long, similarity double")
     return top_n(near, ["query_id"], [F.col("similarity").desc(), F.col("item_id")], k)
