@@ -80,6 +80,8 @@ def close_edges(fps: DataFrame, bits: int = 4, blocks: int = 7, dense: int = 409
     """
     if bits % 2 or not 0 < bits < blocks:
         raise ValueError("bits must be even, positive and less than blocks")
+    # a fingerprint becomes as many rows as there are choices, so the few bytes are dealt out first
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     masks = _block_masks(blocks, blocks - bits)
     keys = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])
     entries = fps.select("fp", F.posexplode(keys).alias("choice", "key"))
