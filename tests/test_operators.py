@@ -350,3 +350,38 @@ def test_typos_leave_beginnings_alone(spark):
     words = spark.createDataFrame([(w,) for w in ("haalan", "haland", "salahh", "brun", "bruns", "sak", "xxxx", None)], "word string")
     got = {r["word"]: r["corrected"] for r in T.correct_typos(words, vocabulary).collect()}
     assert got == {"haland": "haaland", "salahh": "salah", "bruns": "bruno"}
+
+
+def test_poisson_ratings_are_the_optimum(spark):
+    rng = np.random.default_rng(4)
+    clubs = [f"c{i}" for i in range(6)]
+    rows, k = [], 0
+    for season, own in (("2020-21", clubs), ("2021-22", clubs[:5] + ["new"])):
+        strength = {c: 0.5 - 0.2 * i for i, c in enumerate(own)}
+        for gw in range(1, 11):
+            for i, h in enumerate(own):
+                a = own[(i + gw) % 6]
+                if a != h:
+                    played = season == "2020-21" or gw < 9
+                    g = [int(rng.poisson(np.exp(0.2 + s))) for s in (0.2 + strength[h] - strength[a], strength[a] - strength[h])]
+                    rows.append((k, season, gw, f"{season[:4]}-08-{gw + 1:02d}", "finished" if played else "scheduled", h, a, *(g if played else (None, None))))
+                    k += 1
+    df = spark.createDataFrame(rows, "id long, season string, gameweek int, kickoff_time string, status string, home_team string, away_team string, home_score int, away_score int").withColumn("kickoff_time", F.to_timestamp("kickoff_time"))
+    got = {(r["season"], r["team"]): r for r in M.poisson_ratings(df).collect()}
+    assert len(got) == 12 and [t for (s, t), r in got.items() if r["promoted"]] == ["new"]
+    order = sorted(clubs, key=lambda c: -got["2020-21", c]["attack"] - got["2020-21", c]["defence"])
+    assert order[0] in clubs[:2] and order[-1] in clubs[-2:]
+    # at the optimum of the first season the penalised score is zero: each club's missing goals equal the pull to the prior
+    season = [r for r in rows if r[1] == "2020-21"]
+    for c in clubs:
+        pull, keep = 0.0, 0.0
+        for _, _, gw, _, _, h, a, hg, ag in season:
+            w, R = 0.5 ** ((10 - gw) / 20.0), {x: got["2020-21", x] for x in (h, a)}
+            lam_h = np.exp(R[h]["level"] + R[h]["home_edge"] + R[h]["attack"] - R[a]["defence"])
+            lam_a = np.exp(R[h]["level"] + R[a]["attack"] - R[h]["defence"])
+            pull += w * ((hg - lam_h) * (c == h) + (ag - lam_a) * (c == a))
+            keep += w * ((lam_a - ag) * (c == h) + (lam_h - hg) * (c == a))
+        assert abs(pull - got["2020-21", c]["attack"] / 0.3**2) < 1e-6
+        assert abs(keep - got["2020-21", c]["defence"] / 0.3**2) < 1e-6
+    lam = M.expected_goals(M.poisson_ratings(df), df.filter("status = 'scheduled'")).collect()
+    assert len(lam) == sum(r[4] == "scheduled" for r in rows) and all(r["lam_h"] > 0 and r["lam_a"] > 0 for r in lam)

@@ -17,14 +17,16 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.ordered import exact_quantiles, match_keys, top_n
+from touchline.operators.league import league_table
 from touchline.operators.players import CLEAN_SHEET_POINTS, DC_THRESHOLD, GOAL_POINTS, per_position
+from touchline.session import written
 
 # Flags, league scaling, baselines, limits
 COP_FLAGS = {"d75": 0.75, "d50": 0.5, "d25": 0.25, "out": 0.0}
@@ -37,6 +39,11 @@ LEAGUE_SCALARS = {
 }
 MAX_REGRESSION = 0.10
 TREE_FRACTION, MAX_TREES = 0.5, 4000
+# Fixed values of the team ratings: half-life in gameweeks, deviations and share of the priors, usual goals
+HALF_LIFE, PRIOR_SD, FIRST_SD, PRIOR_CARRY, LEVEL_SD, EDGE_SD = 20.0, 0.30, 0.35, 0.7, 0.30, 0.20
+DEFAULT_LEVEL, DEFAULT_EDGE = math.log(1.25), math.log(1.55 / 1.25)
+RELEGATED = 3
+RATING_ROUNDS = 1000
 
 
 # ------------------------------------------------------------------ points
@@ -197,28 +204,98 @@ def leave_one_out(df: DataFrame, cols: Sequence[str], target: str, alpha: float
     return out.withColumn("predicted", reduce(lambda a, i: a + x[i] * F.col("__w")[i], range(k), F.col("__b"))).drop("__w", "__b")
 
 
-def poisson_ratings(tm: DataFrame, now: str, half_life_days: float = 140.0, reg: float = 0.02) -> PipelineModel:
-    """Attack, defence and home effects of goals with recency weights: two rows per match."""
-    age = F.greatest(F.datediff(F.lit(now).cast("date"), F.to_date("kickoff_time")), F.lit(0))
-    rows = tm.filter(F.col("gf").isNotNull()).select(
-        "team", "opponent", F.col("gf").cast("double").alias("goals"), F.col("was_home").cast("double").alias("home"), F.pow(F.lit(0.5), age / half_life_days).alias("weight")
-    )
-    return Pipeline(stages=[
-        StringIndexer(inputCols=["team", "opponent"], outputCols=["ti", "oi"], handleInvalid="keep"),
-        OneHotEncoder(inputCols=["ti", "oi"], outputCols=["attack", "defence"]),
-        VectorAssembler(inputCols=["attack", "defence", "home"], outputCol="features"),
-        GeneralizedLinearRegression(family="poisson", link="log", labelCol="goals", featuresCol="features", weightCol="weight", regParam=reg, maxIter=10),
-    ]).fit(rows)
-
-
-def expected_goals(model: PipelineModel, matches: DataFrame) -> DataFrame:
-    """Expected goals of both sides. Matches: id, home_team, away_team."""
-    two = F.array(
-        F.struct(F.col("home_team").alias("team"), F.col("away_team").alias("opponent"), F.lit(1.0).alias("home")),
-        F.struct(F.col("away_team").alias("team"), F.col("home_team").alias("opponent"), F.lit(0.0).alias("home")),
-    )
-    r = model.transform(matches.select("id", F.explode(two).alias("s")).select("id", "s.*"))
-    return r.groupBy("id").agg(F.max(F.when(F.col("home") == 1, F.col("prediction"))).alias("lam_h"), F.max(F.when(F.col("home") == 0, F.col("prediction"))).alias("lam_a"))
+def _fit_ratings(home: np.ndarray, away: np.ndarray, sums: np.ndarray, attack: np.ndarray, defence: np.ndarray, level: float, edge: float, sd: float) -> tuple:
+    """Attack, defence, goal level and home edge that maximise the penalised Poisson likelihood.
+
+    ``sums`` has, per pairing, the weight of its matches and the weighted goals of both sides; the given
+    ratings are the priors and the start. The likelihood is concave, so Newton steps in one block of
+    unknowns after the other climb to its only maximum. Work and memory follow the number of pairings.
+    """
+    weight, goals = sums[:, 0], sums[:, 1:].T
+    clubs, scorer, keeper = len(attack), np.append(home, away), np.append(away, home)
+    at_home = np.append(np.ones(len(home)), np.zeros(len(away)))
+    scored, twice = goals.ravel(), np.append(weight, weight)
+    a, d, mu, h = attack.copy(), defence.copy(), level, edge
+    for _ in range(RATING_ROUNDS):
+        def missing() -> tuple:
+            expected = twice * np.exp(mu + h * at_home + a[scorer] - d[keeper])
+            return scored - expected, expected
+
+        over, expected = missing()
+        step = (over.sum() - (mu - level) / LEVEL_SD**2) / (expected.sum() + 1 / LEVEL_SD**2)
+        mu += step
+        over, expected = missing()
+        step_h = ((over * at_home).sum() - (h - edge) / EDGE_SD**2) / ((expected * at_home).sum() + 1 / EDGE_SD**2)
+        h += step_h
+        over, expected = missing()
+        step_a = (np.bincount(scorer, over, clubs) - (a - attack) / sd**2) / (np.bincount(scorer, expected, clubs) + 1 / sd**2)
+        a = a + step_a
+        over, expected = missing()
+        step_d = (-np.bincount(keeper, over, clubs) - (d - defence) / sd**2) / (np.bincount(keeper, expected, clubs) + 1 / sd**2)
+        d = d + step_d
+        if max(abs(step), abs(step_h), np.abs(step_a).max(initial=0), np.abs(step_d).max(initial=0)) < 1e-10:
+            break
+    return a, d, mu, h
+
+
+def poisson_ratings(fixtures: DataFrame, half_life: float = HALF_LIFE) -> DataFrame:
+    """(season, team, attack, defence, level, home_edge, promoted): ratings of every season's clubs.
+
+    ``fixtures``: id, season, gameweek, kickoff_time, status, teams and scores. A match counts by its age
+    in gameweeks. The prior is a share of last season's ratings, themselves from a fit in which all
+    matches count alike; a club that was not there takes the average of those that went down. Seasons are
+    fitted apart, each from one row per pairing, which is bounded by its clubs.
+    """
+    done = (F.col("status") == "finished") & F.col("home_score").isNotNull() & F.col("away_score").isNotNull()
+    latest = fixtures.filter(done).groupBy("season").agg(F.max("gameweek").alias("__last"))
+    age = F.greatest(F.coalesce(F.col("__last") - F.col("gameweek"), F.lit(0)), F.lit(0))
+    one = done.cast("double")
+    weight = F.when(done, F.pow(F.lit(0.5), age / half_life)).otherwise(0.0)
+    total = lambda w, c: F.sum(w * F.coalesce(c, F.lit(0))).cast("double")
+    pairs = written(fixtures.join(latest, "season", "left").groupBy("season", "home_team", "away_team").agg(
+        *[total(w, c).alias(f"{n}{i}") for n, w in (("plain", one), ("aged", weight)) for i, c in enumerate((F.lit(1), F.col("home_score"), F.col("away_score")))]
+    ), "pairings")
+    out = "season string, team string, attack double, defence double, level double, home_edge double"
+
+    def fit(rows: pd.DataFrame, priors: pd.DataFrame | None, kind: str) -> pd.DataFrame:
+        names = pd.Index(pd.unique(rows[["home_team", "away_team"]].to_numpy().ravel())).sort_values()
+        home, away = names.get_indexer(rows["home_team"]), names.get_indexer(rows["away_team"])
+        zero, level, edge, sd = np.zeros(len(names)), DEFAULT_LEVEL, DEFAULT_EDGE, FIRST_SD
+        a0, d0 = zero, zero
+        if priors is not None:
+            p = priors.set_index("team").loc[names]
+            a0, d0, sd = p["attack0"].to_numpy(float), p["defence0"].to_numpy(float), PRIOR_SD
+            level, edge = float(p["level0"].iloc[0]), float(p["edge0"].iloc[0])
+        a, d, mu, h = _fit_ratings(home, away, rows[[f"{kind}{i}" for i in range(3)]].to_numpy(float), a0, d0, level, edge, sd)
+        return pd.DataFrame({"season": rows["season"].iloc[0], "team": names, "attack": a, "defence": d, "level": mu, "home_edge": h})
+
+    played = pairs.groupBy("season").agg(F.sum("plain0").alias("n")).filter("n > 0")
+    first = written(pairs.join(played, "season", "left_semi").groupBy("season").applyInPandas(lambda rows: fit(rows, None, "plain"), out), "season-ratings")
+    unrated = {c: F.lit(None).cast("int") for c in ("home_difficulty", "away_difficulty")}
+    table = league_table(fixtures.filter(done).withColumns(unrated))
+    clubs = table.groupBy("season").agg(F.count(F.lit(1)).alias("n"))
+    down = table.join(clubs, "season").filter((F.col("n") > RELEGATED) & (F.col("position") > F.col("n") - RELEGATED)).select("season", "team")
+    low = first.join(down, ["season", "team"]).groupBy("season").agg(F.avg("attack").alias("low_a"), F.avg("defence").alias("low_d"))
+    seasons = pairs.select("season").distinct()  # a row per season
+    before = seasons.select("season", F.lag("season").over(Window.orderBy("season")).alias("last"))
+    base = first.groupBy(F.col("season").alias("last")).agg(F.max("level").alias("level0"), F.max("home_edge").alias("edge0"))
+    own = pairs.select("season", F.explode(F.array("home_team", "away_team")).alias("team")).distinct().join(before, "season").join(base, "last", "left")
+    old = first.select(F.col("season").alias("last"), "team", "attack", "defence")
+    own = own.join(old, ["last", "team"], "left").join(low.withColumnRenamed("season", "last"), "last", "left")
+    new = F.col("level0").isNotNull() & F.col("attack").isNull()
+    carry = lambda mine, fallen: PRIOR_CARRY * F.coalesce(mine, F.when(new, fallen), F.lit(0.0))
+    priors = own.select("season", "team", carry(F.col("attack"), F.col("low_a")).alias("attack0"), carry(F.col("defence"), F.col("low_d")).alias("defence0"),
+                        F.coalesce("level0", F.lit(DEFAULT_LEVEL)).alias("level0"), F.coalesce("edge0", F.lit(DEFAULT_EDGE)).alias("edge0"), new.alias("promoted"))
+    priors = written(priors, "priors")
+    rated = pairs.groupBy("season").cogroup(priors.groupBy("season")).applyInPandas(lambda rows, p: fit(rows, p, "aged"), out)
+    return rated.join(priors.select("season", "team", "promoted"), ["season", "team"])
+
+
+def expected_goals(ratings: DataFrame, matches: DataFrame) -> DataFrame:
+    """Expected goals of both sides. Matches: id, season, home_team, away_team."""
+    side = lambda s: ratings.select("season", F.col("team").alias(f"{s}_team"), F.col("attack").alias(f"{s}_a"), F.col("defence").alias(f"{s}_d"), *(["level", "home_edge"] if s == "home" else []))
+    r = matches.select("id", "season", "home_team", "away_team").join(side("home"), ["season", "home_team"]).join(side("away"), ["season", "away_team"])
+    return r.select("id", F.exp(F.col("level") + F.col("home_edge") + F.col("home_a") - F.col("away_d")).alias("lam_h"), F.exp(F.col("level") + F.col("away_a") - F.col("home_d")).alias("lam_a"))
 
 
 def match_probabilities(matches: DataFrame, size: int = 12, scores: int = 3) -> DataFrame:

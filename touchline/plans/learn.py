@@ -125,9 +125,7 @@ add("M8_leave_one_out", _m8, ctes("app", extra=_RIDGE) + "SELECT t.team, season,
 
 
 def _m9(s, d):
-    t = tm(s, d).select("season", "fixture", "team", "kickoff_time", "gf", "was_home").join(D.opponents(sided(s, d)), ["season", "fixture", "team"])
-    m = M.poisson_ratings(t, "2001-07-01")
-    return six(M.expected_goals(m, fx(s, d).filter("status = 'scheduled'").select("id", "home_team", "away_team")))
+    return six(M.expected_goals(M.poisson_ratings(fx(s, d)), fx(s, d).filter("status = 'scheduled'")))
 
 
 sided = roles.sided_appearances
