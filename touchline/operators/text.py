@@ -111,13 +111,14 @@ def mentions(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
     if not lengths:
         lengths = [1]
 
-    def runs(k: int) -> Column:
-        cut = lambda i: F.struct(i.alias("at"), F.lit(k).alias("words"), F.array_join(F.slice("__t", i + 1, F.lit(k)), " ").alias("form"))
-        starts = F.filter(F.sequence(F.lit(0), F.size("__t")), lambda i: i <= F.size("__t") - k)
-        return F.transform(starts, cut)
-
-    w = texts.select(key, tokens(F.col("text")).alias("__t")).filter(F.col("__t").isNotNull())
-    hit = w.select(key, F.inline(F.concat(*[runs(k) for k in lengths]))).join(n, "form")
+    # runs of k words grow by one word at a time over the whole text; a run past its end is null
+    w = texts.select(key, tokens(F.col("text")).alias("__g1")).filter(F.col("__g1").isNotNull())
+    for k in range(2, max(lengths) + 1):
+        longer = F.zip_with(f"__g{k - 1}", F.slice("__g1", F.lit(k), F.greatest(F.size("__g1"), F.lit(1))), lambda one, word: F.concat(one, F.lit(" "), word))
+        w = w.withColumn(f"__g{k}", longer)
+    w = w.select(key, F.posexplode(F.arrays_zip(*[f"__g{k}" for k in lengths])).alias("at", "__z"))
+    forms = F.array(*[F.struct(F.lit(k).alias("words"), F.col(f"__z.__g{k}").alias("form")) for k in lengths])
+    hit = w.select(key, "at", F.inline(forms)).join(n, "form")
     # longest mention per start, then drop those reaching no further than an earlier one
     far = hit.groupBy(key, "at").agg(F.max_by(F.struct("words", "form", "name"), "words").alias("m")).select(key, "at", "m.*")
     reach = F.max(F.col("at") + F.col("words")).over(Window.partitionBy(key).orderBy("at").rangeBetween(-max(lengths), -1))
