@@ -63,6 +63,23 @@ def test_against_a_plain_search(spark):
     assert sorted((str(r.doc_id) for r in kept.collect())) == sorted(str(r[0]) for r in brute(docs, items) if not r[5])
 
 
+def test_white_space_beyond_ascii(spark):
+    """White space beyond ASCII is part of a word: alone, inside and at either end of one."""
+    rng = random.Random(5)
+    spaces = ["\u00a0", "\u3000", "\u0085", "\u2003", "\u202f", "\u2028"]
+    vocabulary = [*spaces, *(f"w{s}w" for s in spaces), *(f"w{s}" for s in spaces), *(f"{s}w" for s in spaces), "w", "v"]
+    pick = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, pick(n)) for i, n in enumerate([1, 2, 3, 5, 12, 13, 14, 20, 30])] + [(50, "a \u00a0 b"), (51, "\u3000"), (52, "c d\u00a0e f g h i j k l m n"), (53, "p\u00a0 q r")]
+    docs = [(i, pick(rng.randint(0, 40)) + " - " + items[rng.randrange(len(items))][1] + ". " + pick(rng.randint(0, 40))) for i in range(60)]
+    docs += [(70, "a \u00a0 b"), (71, "x \u3000"), (72, "c d\u00a0e f g h i j k l m n o"), (73, "p q r"), (74, "a b"), (75, "c d e f g h i j k l m n")]
+    for i in range(9):  # one word short of a window, with words that hold white space
+        w = words(items[8][1])
+        docs.append((80 + i, "x " + " ".join(w[i : i + 12]) + " y"))
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "monotonically_increasing_id() as k")
+    got = dc.contamination(df, "k", spark.createDataFrame(items, "item_id long, text string")).drop("row").collect()
+    assert sorted(map(tuple, got), key=str) == brute(docs, items)
+
+
 def test_empty_tables(spark):
     docs, items = fixture()
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "monotonically_increasing_id() as k")

@@ -168,8 +168,8 @@ def exact_spans(candidates: DataFrame, window: int = WINDOW) -> DataFrame:
         for pdf in batches:
             out = []
             for r, item, pos, p, n, b, a, ib, ia in zip(*(pdf[c] for c in ("row", "item_id", "pos", "p", "n", "before", "after", "item_before", "item_after"))):
-                left = _same(b.split()[::-1], ib.split()[::-1])
-                right = _same(a.split(), ia.split())
+                left = _same(_words(b)[::-1], _words(ib)[::-1])
+                right = _same(_words(a), _words(ia))
                 if left + 1 + right >= window or n < window and left == p and right == n - 1 - p:
                     out.append((r, item, pos - left, pos + right))
             if out:
@@ -180,6 +180,11 @@ def exact_spans(candidates: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
+def _words(joined: str) -> list[str]:
+    """Words joined by ASCII spaces; white space beyond ASCII is part of a word."""
+    return joined.split(" ") if joined else []
+
+
 def _same(a: list[str], b: list[str]) -> int:
     k = 0
     while k < len(a) and k < len(b) and a[k] == b[k]:
