@@ -53,3 +53,29 @@ def test_query(spark):
     lines = {n: licenses.TEMPLATES[n] for n in ("Apache-2.0", "CC-BY-NC-4.0", "GPL-3.0", "MIT")}
     for r in licenses.op2_licenses(spark, folder).collect():
         assert set(filter(None, r.licenses.split(","))) == {n for n, line in lines.items() if line in texts[r.doc_id]}
+
+
+def test_neighbours_are_told_apart(spark):
+    """Licences whose notices differ in a name or a number; None: not in the catalogue."""
+    filler = " ".join(f"some other x{i} words" for i in range(40))
+    bodies = {name: text for name, text, _ in licenses.BODIES}
+    lines = {
+        "Released under the BSD License.": "BSD", "Released under the MIT License.": "MIT", "Released under the Foo License.": None, "Released under the MIT-0 License.": "MIT-0", "Licensed under CC BY 4.0.": "CC-BY-4.0",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "Licensed under CC BY-SA 3.0": "CC-BY-SA-3.0",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1", "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0", "Licensed under the Apache License, Version 1.1.": "Apache-1.1",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under the Mozilla Public License, version 2.0": "MPL-2.0", "Released under the ISC License": "ISC", "Licensed under the BSD 3-Clause License": "BSD-3-Clause",
+        "Licensed under the BSD 2-Clause License": "BSD-2-Clause", "SPDX-License-Identifier: MIT": "MIT", "Licensed under the GNU General Public License, version 3. 2 more": "GPL-3.0", "Licensed under the GNU General Public License, version 2. 3 more": "GPL-2.0", "SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause", "Licensed under the GPLv3": "GPL-3.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0", bodies["BSD-2-Clause"]: "BSD-2-Clause", bodies["BSD-3-Clause"]: "BSD-3-Clause", bodies["ISC"]: "ISC", bodies["MPL-2.0"]: "MPL-2.0",
+        bodies["MIT"]: "MIT", bodies["MIT-0"]: "MIT-0", bodies["GPL-2.0"]: "GPL-2.0", bodies["GPL-3.0"]: "GPL-3.0", bodies["LGPL-2.1"]: "LGPL-2.1", bodies["LGPL-3.0"]: "LGPL-3.0", bodies["AGPL-3.0"]: "AGPL-3.0", bodies["0BSD"]: "0BSD",
+    }
+    df = spark.createDataFrame([(i, f"{filler}\n{text}\n{filler}") for i, text in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: [n.name for n in r.notices] for r in licenses.catalogue_notices(df).collect()}
+    assert {text: got[i] for i, text in enumerate(lines)} == {text: [name] if name else [] for text, name in lines.items()}
+
+
+def test_catalogue_is_sound():
+    templates, telling, names = licenses.catalogue()
+    own = licenses.template_words(templates)
+    assert all(licenses.tells([(i, i) for i in range(len(own[k]))], own[k], telling[k]) and telling[k] for k in own)
+    assert all(own[k] for k in own) and set(names) == set(own)
