@@ -79,3 +79,17 @@ def test_catalogue_is_sound():
     own = licenses.template_words(templates)
     assert all(licenses.tells([(i, i) for i in range(len(own[k]))], own[k], telling[k]) and telling[k] for k in own)
     assert all(own[k] for k in own) and set(names) == set(own)
+
+
+def test_runs_of_copies():
+    """Copies back to back after other text are found one by one, whichever words are the cues."""
+    other = words_of("some other text of twelve words that has nothing to do here")
+    for name, text in [*licenses.TEMPLATES.items(), ("line", "Licensed under the Boost Software License, Version 1.0")]:
+        own = words_of(text)
+        for rare in [set(own[:1]), set(own[-1:]), *({w} for w in own), set(own)]:
+            for copies in (1, 2, 3, 7):
+                got = licenses.scan(other + own * copies + other, {name: own}, {name: rare})
+                assert [x[2:] for x in got] == [(len(other) + k * len(own), len(other) + (k + 1) * len(own) - 1) for k in range(copies)], (name, rare, copies)
+    gpl = words_of(licenses.TEMPLATES["GPL-3.0"])
+    cut = [w for w in gpl if w != b"work"]
+    assert len(licenses.scan(other + cut + gpl + cut + other, {"GPL-3.0": gpl}, {"GPL-3.0": {b"gnu", b"general", b"public"}})) == 3

@@ -6,7 +6,8 @@ way. Coverage is the share of template words matched within a stretch not much l
 
 Where to look is decided without loss: a match of the least coverage can miss only so many template words,
 so one word more of the corpus-wide rarest ones (counted over all texts) must occur in it, and each
-occurrence of such a word is looked at. A stretch that was reported is not looked at again.
+occurrence of such a word is looked at, in windows around the places the template would then take. Words that
+were reported are not looked at again; those before and after them are.
 
 Coverage alone cannot tell licences apart whose notices differ in a name or a number. A template may have
 telling phrases: their words must all be matched, side by side in the text, whatever the coverage. The
@@ -224,6 +225,35 @@ def cues(words: dict[str, list[bytes]], counts: dict[bytes, int], least: float =
     return out
 
 
+def notice_at(words: list[bytes], own: list[bytes], i: int, low: int, least: float, phrases: list[list[bytes]]) -> tuple[int, int, int] | None:
+    """(matches, first, last) of the best match that holds word ``i`` and begins at ``low`` or later.
+
+    The windows are those in which the template would stand if ``i`` were each of its places, then these
+    with the stretch on either side, then all that a stretch may reach, cut where another match begins.
+    """
+    longest = int(STRETCH * len(own))
+    over, starts = longest - len(own), [i - j for j, w in enumerate(own) if w == words[i]]
+    windows = [(at, at + len(own)) for at in starts] + [(at - over, at + len(own) + over) for at in starts] + [(i - longest + 1, i + longest)]
+    best, tried = None, set()
+    for lo, hi in windows:
+        lo, hi = max(lo, low), min(hi, len(words))
+        while lo <= i < hi and (lo, hi) not in tried:
+            tried.add((lo, hi))
+            pairs = patience(words[lo:hi], own)
+            n, first, last = best_stretch(pairs, longest)
+            if lo + first > i:
+                hi = lo + first
+                continue
+            if n and lo + last < i:
+                lo = lo + last + 1
+                continue
+            if n >= least * len(own) - 1e-9 and (best is None or n > best[0]) and tells([p for p in pairs if first <= p[0] <= last], own, phrases):
+                best = (n, lo + first, lo + last)
+        if best is not None and best[0] == len(own):
+            break
+    return best
+
+
 def scan(
     words: list[bytes], templates: dict[str, list[bytes]], cue: dict[str, set[bytes]], least: float = LEAST_COVERAGE, telling: dict[str, list[list[bytes]]] | None = None
 ) -> list[tuple[str, float, int, int]]:
@@ -233,16 +263,14 @@ def scan(
     for name, own in templates.items():
         if there.isdisjoint(cue[name]):
             continue
-        longest, past = int(STRETCH * len(own)), -1
+        past = -1
         for i in [k for k, w in enumerate(words) if w in cue[name]]:
             if i <= past:
                 continue
-            low = max(past + 1, i - longest)
-            pairs = patience(words[low : i + longest], own)
-            n, first, last = best_stretch(pairs, longest)
-            if n >= least * len(own) - 1e-9 and tells([p for p in pairs if first <= p[0] <= last], own, (telling or {}).get(name, [])):
-                found.append((n, name, n / len(own), low + first, low + last))
-                past = low + last
+            match = notice_at(words, own, i, past + 1, least, (telling or {}).get(name, []))
+            if match is not None:
+                n, first, past = match
+                found.append((n, name, n / len(own), first, past))
     kept: list[tuple[str, float, int, int]] = []
     for _, name, coverage, first, last in sorted(found, key=lambda x: (-x[0], -x[2], x[1], x[3])):
         if all(last < f or first > t for _, _, f, t in kept):
