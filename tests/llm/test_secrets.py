@@ -49,3 +49,49 @@ def test_forest(spark):
     assert {r.label for r in judged} == {0, 1, None}
     assert secrets.fit_forest(labelled.filter("label = 1")) == 1.0 and secrets.fit_forest(labelled.limit(0)) == 0.0
     assert {r.p_secret for r in secrets.judge(found, 1.0).collect()} == {1.0}
+
+
+def planted(rng, i):
+    """A text with one value in a form of secrets or of other long strings: (form, text, value)."""
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alnum = lower + lower.upper() + digits
+    word = lambda: rng.choice(["the", "with", "and", "from", "house", "river", "green", "stone"])
+    some = lambda n: pick(alnum, n - 2) + pick(digits, 1) + pick(lower, 1)
+    short = pick(lower, 4) + pick(digits, 2) + rng.choice("!@$") + pick(lower, 2) + "." + pick(digits, 1)
+    forms = [
+        ("env", "AWS_SECRET_ACCESS_KEY={}", some(40)), ("header", "Authorization: Bearer {}", some(32)), ("url", "https://a.example.com/v1?x=1&api_key={}&y=2", some(24)), ("prose", "my api key is {} now", some(32)),
+        ("prefix", "use {} there", "ghp_" + some(36)), ("password", "db_password: {}", short), ("userinfo", "postgres://app:{}@db/x", some(12)), ("quoted", 'token = "{}"', pick("abcdef" + digits, 40)),
+        ("-words", "see {} here", "_".join(word() for _ in range(6))), ("-path", "open /{} here", "/".join(word() for _ in range(6))), ("-number", "call {} here", pick(digits, 18)), ("-placeholder", "API_KEY={}", "your_api_key_here"),
+    ]
+    form, line, value = forms[i % len(forms)]
+    fill = lambda: " ".join(word() for _ in range(20))
+    return form, f"{fill()}\n{line.format(value)}\n{fill()}", value
+
+
+def test_secrets_without_quotes(spark):
+    """Planted secrets of every form are found in texts that the rule did not label, other strings are not."""
+    rng = random.Random(2)
+    rows = [(i, *planted(rng, i)) for i in range(2400)]
+    df = spark.createDataFrame([(i, t, "s") for i, _, t, _ in rows], "doc_id long, text string, source string")
+    labelled = secrets.findings_by_rule(secrets.with_features(secrets.candidates(df, pattern=secrets.WIDE), secrets.common_words(df)))
+    judged = secrets.judge(labelled, secrets.fit_forest(labelled)).select("doc_id", "value", "label", "p_secret").collect()
+    by = {(r.doc_id, r.value): r for r in judged}
+    of = {}
+    for i, form, _, value in rows:
+        r = by.get((i, value.strip("/")), by.get((i, "/" + value)))
+        assert r is not None, (form, value)
+        if r.label is None:
+            of.setdefault(form, []).append(r.p_secret >= 0.5)
+    share = {form: sum(x) / len(x) for form, x in of.items()}
+    print(share, {form: len(x) for form, x in of.items()})
+    assert len(of) == 12
+    assert all(x <= 0.02 if form.startswith("-") else x >= 0.95 for form, x in share.items()), share
+
+
+def test_rule_abstains(spark):
+    h = hashlib.sha1(b"x").hexdigest()
+    texts = [(i, t, "s") for i in range(9) for t in (f"commit {h} by", "password: sometimes,")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    rows = secrets.findings_by_rule(secrets.with_features(secrets.candidates(df, pattern=secrets.WIDE), [])).collect()
+    assert len(rows) == 18 and {r.label for r in rows} == {None}

@@ -1,6 +1,8 @@
 """Secret scans: candidate strings judged by a random forest, all in DataFrame expressions.
 
-A candidate is a run of 16 or more letters, digits, ``+ / _ -``. The forest sees its length, the kinds of
+A candidate is a run of 16 or more letters, digits, ``+ / _ -``; the registered query also takes shorter values and
+those with other signs where the text says what they are (``WIDE``): after a secret's name and ``=`` or ``:``, in URL
+parameters and user information, after ``Bearer``, and signed tokens with dots. The forest sees its length, the kinds of
 its characters, how surprising its character transitions are (against transitions inside the corpus's common
 short words), how much of it those words cover, the path of its document, and the words next to it.
 It is trained from labelled findings and removes false positives.
@@ -23,6 +25,20 @@ from pyspark.sql import functions as F
 from touchline.llm.common import kept, table
 
 CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}"
+_NAME = r"(?i:secret|token|passw(?:or)?d|passphrase|passwd|pwd|api.?key|access.?key|private.?key|account.?key|credential|auth)"
+#: Runs as above, and before them the forms that tell a value of any signs.
+WIDE = "|".join((
+    r"eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
+    r"(?<==)(?<=[?&][A-Za-z0-9_.\-]{0,16}" + _NAME + r"[A-Za-z0-9_\-]{0,8}=)[^\s\"'`&#<>]{5,}[^\s\"'`&#<>.,;:)]",
+    r"(?<=:)(?<=://[A-Za-z0-9_.%\-]{0,40}:)[^\s\"'`@/<>]{4,}(?=@)",
+    r"(?<=[=:][>\s\"'`]{0,4})(?<=" + _NAME + r"[A-Za-z0-9_.\-]{0,12}[\"'`\]]{0,2}\s{0,2}(?:=>|:=|=|:)\s{0,2}[\"'`]?)(?!(?i:bearer|basic)\s)(?![A-Za-z][a-z+]{0,9}://)[^\s\"'`,;<>]{5,}[^\s\"'`,;<>.:)]",
+    r"(?<= )(?<=(?i:bearer|basic) {1,2})(?=[^\s]*[0-9])[A-Za-z0-9._~+/=\-]{7,}[A-Za-z0-9_~+/=\-]",
+    CANDIDATE,
+))
+#: Beginnings that issuers give their keys.
+KNOWN = r"^((AKIA|ASIA)[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|glpat-[A-Za-z0-9_\-]{16,}|sk[-_](live_|test_|ant-|proj-)?[A-Za-z0-9_\-]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}|AIza[0-9A-Za-z_\-]{30,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.)"
+#: Values that stand for a secret without being one.
+PLACEHOLDER = r"(?i)(your|example|changeme|change_me|placeholder|dummy)|^(x+|\*+|\.+|(.)\3{5,})$|^\$[({]|^\$[A-Z_]+$"
 #: Letters before and after a candidate that count as its neighbourhood.
 AROUND = 48
 #: Common short words that make up the dictionary.
@@ -31,21 +47,23 @@ DICTIONARY = 200
 PER_CLASS = 5000
 TREES, DEPTH = 20, 6
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
-FEATURES = ("length", "digits", "uppers", "changes", "surprise", "in_words", "in_path", "test_path", "assigned", "named", "quoted")
+FEATURES = ("length", "digits", "uppers", "changes", "surprise", "in_words", "in_path", "test_path", "assigned", "named", "quoted", "signs", "known", "header", "told", "placeholder")
 
 
-def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
+def candidates(docs: DataFrame, path: str | None = "source", pattern: str = CANDIDATE) -> DataFrame:
     """(doc_id, nth, value, before, after, path): every candidate of every whole text with what is around it."""
-    pieces = F.split("text", CANDIDATE, -1)
+    pieces = F.split("text", pattern, -1)
+    other = lambda i: F.coalesce(F.get("found", i), F.lit(""))
     near = F.transform(
         F.col("found"),
         lambda c, i: F.struct(
             i.alias("nth"), c.alias("value"),
-            F.right(F.get("pieces", i), F.lit(AROUND)).alias("before"), F.left(F.get("pieces", i + 1), F.lit(AROUND)).alias("after"),
+            F.right(F.concat(F.right(other(i - 1), F.lit(AROUND)), F.get("pieces", i)), F.lit(AROUND)).alias("before"),
+            F.left(F.concat(F.get("pieces", i + 1), F.left(other(i + 1), F.lit(AROUND))), F.lit(AROUND)).alias("after"),
         ),
     )
     own = F.col(path).cast("string") if path else F.lit(None).cast("string")
-    rows = docs.select("doc_id", own.alias("path"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), pieces.alias("pieces"))
+    rows = docs.select("doc_id", own.alias("path"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("found"), pieces.alias("pieces"))
     return rows.filter(F.size("found") > 0).select("doc_id", "path", F.inline(near)).select("doc_id", "nth", "value", "before", "after", "path")
 
 
@@ -75,7 +93,7 @@ def with_features(found: DataFrame, words: list[tuple[str, int]]) -> DataFrame:
     def without(pattern: str, of: Column = value) -> Column:
         return F.length(of) - F.length(F.regexp_replace(of, pattern, ""))
 
-    known = F.translate(low, "+/_-", "")
+    known = F.regexp_replace(low, "[^a-z0-9]", "")
     lookup = F.lit(transition_table(words))
     place = lambda i: F.instr(F.lit(ALPHABET), F.substring(known, i, F.lit(1)))
     step = lambda i: F.ascii(F.substring(lookup, (place(i) - 1) * len(ALPHABET) + place(i + 1), F.lit(1))) - 65
@@ -95,6 +113,11 @@ def with_features(found: DataFrame, words: list[tuple[str, int]]) -> DataFrame:
         .withColumn("assigned", flag(F.col("before").rlike(r"[=:]\s*[\"']?$")))
         .withColumn("named", flag(F.lower("before").rlike(r"(secret|token|passw|pwd|api.?key|access.?key|private|credential|auth)[\w\s\"'=:.>\-]{0,12}$")))
         .withColumn("quoted", flag(F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")))
+        .withColumn("signs", without(r"[^A-Za-z0-9]") / length)
+        .withColumn("known", flag(value.rlike(KNOWN)))
+        .withColumn("header", flag(F.lower("before").rlike(r"(bearer|basic)\s+$|(authorization|x-[a-z\-]*(key|token))[\"']?\s*:\s*[\"']?(\w+\s+)?$") | (F.col("before").rlike(r"://[^\s/@:]*:$") & F.col("after").startswith("@"))))
+        .withColumn("told", flag(F.lower("before").rlike(r"(secret|token|passw(or)?d|pwd|api.?key|access.?key|private.?key|credential)\s+(is|was|are)?:?\s*[\"'`]?$")))
+        .withColumn("placeholder", flag(value.rlike(PLACEHOLDER)))
     )
 
 
@@ -122,15 +145,23 @@ def judge(found: DataFrame, forest) -> DataFrame:
 
 
 def findings_by_rule(found: DataFrame) -> DataFrame:
-    """Labels where no one has labelled findings: for two thirds of the documents, a value with digits that is
-    assigned to a secret's name, in quotes and not all digits, is a secret, anything else is not."""
-    rule = (F.col("assigned") == 1) & (F.col("named") == 1) & (F.col("quoted") == 1) & F.col("digits").between(0.05, 0.95)
+    """Labels where no one has labelled findings, for two thirds of the documents; null where the rule does not know.
+
+    Secrets are values with an issuer's beginning, and mixed values after a secret's name and ``=`` or ``:``, quoted or
+    not, in headers, URLs, or told in prose. Not secrets are placeholders and, where nothing says secret, words,
+    identifiers, paths and numbers. Other mixed values, such as a bare hash, and plain words after a name have no label.
+    """
+    yes = lambda c: F.col(c) == 1
+    mixed = F.col("value").rlike("[A-Za-z]") & ((F.col("value").rlike("[0-9]") & F.col("digits").between(0.02, 0.95)) | F.col("value").rlike(r"[^A-Za-z0-9+/_.\-]"))
+    stated = (yes("assigned") & yes("named")) | yes("header") | yes("told")
+    plain = F.col("value").rlike(r"^[A-Za-z+/_\-]+$") | ~F.col("value").rlike("[A-Za-z]") | (yes("in_path") & (F.col("in_words") >= 0.3) & (F.col("digits") < 0.2))
+    rule = F.when(yes("placeholder"), 0).when(yes("known") | (stated & mixed), 1).when(~stated & ~yes("named") & plain, 0)
     learn = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 != 1
-    return found.withColumn("label", F.when(learn, rule.cast("int"))).withColumn("pick", F.xxhash64("doc_id", "nth"))
+    return found.withColumn("label", F.when(learn, rule)).withColumn("pick", F.xxhash64("doc_id", "nth"))
 
 
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    found = kept(with_features(candidates(docs), common_words(docs)), "candidates")
+    found = kept(with_features(candidates(docs, pattern=WIDE), common_words(docs)), "candidates")
     out = judge(found, fit_forest(findings_by_rule(found)))
     return out.select("doc_id", "nth", F.col("length").cast("int").alias("length"), F.sha2("value", 256).alias("value_sha256"), F.round("p_secret", 6).alias("p_secret"), (F.col("p_secret") >= 0.5).alias("is_secret"))
