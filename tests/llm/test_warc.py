@@ -59,3 +59,16 @@ def test_several_archives_and_damage(spark):
     bad = spark.createDataFrame([("a", bytearray(broken))], "name string, data binary")
     with pytest.raises(Exception, match="digest"):
         warc.read_archives(bad).count()
+
+
+def test_page_urls_like_a_version_block(spark):
+    """A page whose url begins with filedesc:// is a page, and the records after it keep their own keys."""
+    rows = [(i, "filedesc://old.arc" if i % 3 == 1 else "http://a/", f"page {i % 7}") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = sorted((int(r.page_id), r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(warc.page_archives(df)).collect())
+    assert got == [(i, warc.digest(html.encode()), "response" if i < 7 else "revisit", None if i < 7 else str(i % 7)) for i, _, html in rows]
+    arcs = warc.write_arc(df)
+    for keys in ("slice(keys, 1, 29)", "concat(keys, array('x'))"):
+        wrong = arcs.selectExpr("name", "data", f"{keys} as keys", f"{keys.replace('keys', 'originals')} as originals")
+        with pytest.raises(Exception, match="keys"):
+            warc.convert_archives(wrong).count()

@@ -113,12 +113,13 @@ def record_id(key: str, payload_digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'urn:sha1:{payload_digest}#{key}')}>"
 
 
-def convert(fields: dict[str, str], block: bytes, key: str, original: str | None = None) -> bytes:
-    """The WARC record of an ARC record. ``original`` is the key of the record with an equal payload that it repeats."""
+def convert(fields: dict[str, str], block: bytes, key: str, original: str | None = None, opens: bool = False) -> bytes:
+    """The WARC record of an ARC record. ``original`` is the key of the record with an equal payload that it
+    repeats; ``opens`` marks the version block, which no other record is, whatever its URL."""
     url, date = fields["URL"], warc_date(fields["Archive-date"])
     head, body = http_payload(block)
     lines = [("WARC-Record-ID", record_id(key, digest(body))), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-IP-Address", fields["IP-address"])]
-    if url.startswith("filedesc://"):
+    if opens:
         kind, mime, content = "warcinfo", "application/warc-fields", b"software: ARC conversion\r\nformat: WARC File Format 1.1\r\n"
         lines = [x for x in lines if x[0] not in ("WARC-Target-URI", "WARC-IP-Address")] + [("WARC-Filename", url.removeprefix("filedesc://"))]
     else:
@@ -196,14 +197,17 @@ def convert_archives(arcs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, data, keys, originals in zip(pdf["name"], pdf["data"], pdf["keys"], pdf["originals"]):
-                members, named = [], iter(zip(keys, originals))
-                for fields, block in parse_arc(data):
-                    if fields["URL"].startswith("filedesc://"):
-                        record = convert(fields, block, name)
-                    else:
+                records = parse_arc(data)
+                members = [gzip.compress(convert(*next(records), name, opens=True), 6, mtime=0)]
+                named = iter(zip(keys, originals, strict=True))
+                for fields, block in records:
+                    try:
                         key, original = next(named)
-                        record = convert(fields, block, key, original)
-                    members.append(gzip.compress(record, 6, mtime=0))
+                    except StopIteration:
+                        raise ValueError(f"{name}: more records than keys") from None
+                    members.append(gzip.compress(convert(fields, block, key, original), 6, mtime=0))
+                if next(named, None) is not None:
+                    raise ValueError(f"{name}: more keys than records")
                 yield pd.DataFrame({"name": [name.removesuffix(".arc") + ".warc.gz"], "data": [b"".join(members)]})
 
     return arcs.mapInPandas(run, "name string, data binary")
