@@ -72,3 +72,30 @@ def test_documents(spark):
         times[r.doc_id] = times.get(r.doc_id, 0) + 1
     assert max(n for i, n in times.items() if i not in (5, None)) <= 2
     assert mixing.mixed_documents(df.limit(0)).count() == 0
+
+
+def test_registered_shards_follow_the_draw(spark):
+    """The blocks of a source in a shard are as many as the tree drew, in the registered result."""
+    folder = "/root/testdata/sf0.001"
+    got = mixing.op8_mixing_shards(spark, folder).collect()
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("doc_id", "source", "text", "monotonically_increasing_id() as row")
+    targets = mixing.source_targets(mixing.kept(mixing.slim_rows(docs, "row"), "test")).collect()
+    quotas = spark.createDataFrame([(r.place, -(-int(r.target + 0.5) // mixing.BLOCK_WORDS)) for r in targets], "place long, blocks long")
+    ends = {r.place: r.ends for r in mixing.shard_ends(quotas).collect()}
+    most = {(r.source, j): b - a for r in targets for j, (a, b) in enumerate(zip([0, *ends[r.place]], ends[r.place]))}
+    blocks = {}
+    for r in got:
+        blocks.setdefault((r.source, r.shard), set()).add(r.block)
+    assert blocks and all(len(b) <= most[k] for k, b in blocks.items())  # a block in which no document begins has no row
+    taken = {}
+    for r in got:
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.words
+    assert taken == {r.doc_id: r.taken for r in mixing.op8_mixing(spark, folder).collect() if r.taken}
+
+
+def test_documents_lie_shard_by_shard(spark):
+    """The partitions of the mixed documents, one after the other, hold the shards in their order."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.mixed_documents(df).select("doc_id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at")).collect()
+    laps = mixing.op8_mixing_shards(spark, "/root/testdata/sf0.01").filter("2 * words >= size").collect()
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r["at"])] == [r.doc_id for r in sorted(laps, key=lambda r: (r.shard, r.order))]

@@ -128,8 +128,8 @@ def shard_ends(quotas: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFr
     return own.join(sizes, "part").groupBy("part").applyInPandas(members, "place long, ends array<long>")
 
 
-def mix(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """Rows of :func:`slim_rows` with source_size, target and ``laps``: for each of the two runs of the
+def dealt(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = 0) -> DataFrame:
+    """Rows of :func:`slim_rows` with source, source_size, target and ``laps``: for each of the two runs of the
     line, the words taken of the document, its block, its output shard and its order in the shard."""
     targets = source_targets(rows, weights, share).withColumn("words", F.floor(F.col("target") + 0.5).cast("long"))
     targets = targets.withColumn("blocks", F.ceil(F.col("words") / block_words).cast("long"))
@@ -144,23 +144,40 @@ def mix(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, block_w
         start = F.col("start") + k * F.col("source_size")
         words = F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - start))
         block = F.floor(start / block_words).cast("long")
-        dealt = (block * F.col("prime") + F.col("turn")) % F.greatest("blocks", F.lit(1))
-        shard = F.size(F.filter("ends", lambda end: end <= dealt))
+        place = (block * F.col("prime") + F.col("turn")) % F.greatest("blocks", F.lit(1))
+        shard = F.size(F.filter("ends", lambda end: end <= place))
         taken = F.struct(F.lit(k).alias("lap"), words.cast("long").alias("words"), block.alias("block"), shard.alias("shard"), F.xxhash64("key", F.lit(k), F.lit(seed)).alias("order"))
         return F.when(words > 0, taken)
 
     laps = F.filter(F.array(*[lap(k) for k in range(MOST)]), lambda x: x.isNotNull())
-    return placed.select("row", "doc_id", "size", "source_size", "target", laps.alias("laps"))
+    return placed.select("row", "doc_id", "source", "size", "source_size", "target", laps.alias("laps"))
+
+
+def mix(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = 0) -> DataFrame:
+    """:func:`dealt` without the source."""
+    return dealt(rows, weights, share, block_words, shards, seed).drop("source")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents in the mix, each as often as it is taken, shard by shard in the order of the mix.
+    """The documents in the mix, each as often as it is taken, shard by shard in the order of the mix: a
+    partition holds one shard or a piece of it that follows the piece in the partition before.
     A document that the target cuts counts as taken if at least half of its words are."""
     rows, row = numbered(docs)
     laps = mix(kept(slim_rows(rows, row), "sizes")).select(F.col("row").alias(row), "size", F.explode("laps").alias("lap"))
     shard, order = "mix_shard" + row, "mix_order" + row
     taken = laps.filter(2 * F.col("lap.words") >= F.col("size")).select(row, F.col("lap.shard").alias(shard), F.col("lap.order").alias(order))
-    return rows.join(taken, row).sortWithinPartitions(shard, order).select(*docs.columns)
+    pieces = -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SHARDS)
+    piece = F.shiftright((F.shiftright(order, 32) + F.lit(1 << 31)) * pieces, 32)  # the orders are hashes, so the pieces are alike
+    mixed = rows.join(taken, row).repartitionById(SHARDS * pieces, (F.col(shard) * pieces + piece).cast("int"))
+    return mixed.sortWithinPartitions(shard, order).select(*docs.columns)
+
+
+def op8_mixing_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, source, size, lap, words, block, shard, order): where the draw puts every document that is
+    taken, a row for each time; the ``words`` of a document add up to ``taken`` of :func:`op8_mixing`."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text").withColumn("row", F.monotonically_increasing_id())
+    rows = kept(slim_rows(docs, "row"), "sizes")
+    return dealt(rows).select("doc_id", "source", "size", F.inline("laps"))
 
 
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:

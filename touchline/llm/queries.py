@@ -6,7 +6,7 @@ from touchline.llm.decontaminate import OP5_SQL, op5_decontaminate
 from touchline.llm.language import op4_language
 from touchline.llm.licenses import op2_licenses
 from touchline.llm.media import op7_media
-from touchline.llm.mixing import OP8_SQL, op8_mixing
+from touchline.llm.mixing import OP8_SQL, op8_mixing, op8_mixing_shards
 from touchline.llm.secrets import op6_secrets
 from touchline.llm.sharding import OP1_SQL, op1_sharding
 from touchline.llm.simhash import op9_simhash
@@ -22,6 +22,7 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_media": op7_media,
     "op8_mixing": op8_mixing,
+    "op8_mixing_shards": op8_mixing_shards,
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
 }

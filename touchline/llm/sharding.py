@@ -84,7 +84,8 @@ def shards(docs: DataFrame, row: str, limit: int = LIMIT, bits_at_once: int = RO
 
 
 def sharded_documents(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """The documents with the columns ``shard`` and ``shard_bytes``, those of a shard together in one file."""
+    """The documents with the columns ``shard`` and ``shard_bytes``, in no order; :func:`write_shards`
+    writes those of a shard together."""
     rows, row = numbered(docs)
     shard, size = fresh_name(docs.columns, "shard"), fresh_name(docs.columns, "shard_bytes")
     own = shards(rows, row, limit).select(F.col("row").alias(row), F.col("shard").alias(shard), F.col("shard_bytes").alias(size))
