@@ -6,6 +6,9 @@ By default one query per operator family and a spread of the rest run; FULL=1 ru
 from __future__ import annotations
 
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -38,3 +41,17 @@ def test_entry(spark):
 
 def test_checks_belong_to_queries():
     assert set(CHECKS) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("pipeline_stays", [True, False])
+def test_imports_without_the_optional_subpackage(tmp_path, pipeline_stays):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/touchline", tmp_path / "touchline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    if pipeline_stays and os.path.exists(f"{root}/corpus_pipeline.py"):
+        shutil.copy(f"{root}/corpus_pipeline.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    own = [k for k in entry.queries() if not k.startswith("op") and k != "pipeline"]
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.split() == [str(len(own)), str(sum(k in CHECKS for k in own))]
