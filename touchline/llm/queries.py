@@ -7,6 +7,7 @@ from touchline.llm.language import op4_language
 from touchline.llm.licenses import op2_licenses
 from touchline.llm.media import op7_media
 from touchline.llm.mixing import OP8_SQL, op8_mixing, op8_mixing_shards
+from touchline.llm.recompression import OP13_SQL, op13_recompression
 from touchline.llm.secrets import op6_secrets
 from touchline.llm.sharding import OP1_SQL, op1_sharding
 from touchline.llm.simhash import op9_simhash
@@ -25,10 +26,12 @@ QUERIES = {
     "op8_mixing_shards": op8_mixing_shards,
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
+    "op13_recompression": op13_recompression,
 }
 ORACLES: dict[str, str] = {
     "op1_sharding": OP1_SQL,
     "op5_decontaminate": OP5_SQL,
     "op8_mixing": OP8_SQL,
     "op10_warc": OP10_SQL,
+    "op13_recompression": OP13_SQL,
 }
