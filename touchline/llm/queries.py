@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from touchline.llm.alignment import op12_alignment
+from touchline.llm.bag_ranking import OP11_SQL, op11_bag_ranking
 from touchline.llm.decontaminate import OP5_SQL, op5_decontaminate
 from touchline.llm.language import op4_language
 from touchline.llm.licenses import op2_licenses
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_mixing_shards": op8_mixing_shards,
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
+    "op11_bag_ranking": op11_bag_ranking,
+    "op12_alignment": op12_alignment,
     "op13_recompression": op13_recompression,
 }
 ORACLES: dict[str, str] = {
@@ -33,5 +37,6 @@ ORACLES: dict[str, str] = {
     "op5_decontaminate": OP5_SQL,
     "op8_mixing": OP8_SQL,
     "op10_warc": OP10_SQL,
+    "op11_bag_ranking": OP11_SQL,
     "op13_recompression": OP13_SQL,
 }
