@@ -8,9 +8,9 @@ longest symbol settled inside it, so equal windows have equal symbols at equal p
 
 Spark then works in three rounds, each on what the one before left open:
 
-1. neighbouring windows known by one symbol form a range, named by its symbol and by all its words; a range
-   that an earlier document has too is repeated whole, and only the first of its holders goes on;
-2. ranges whose symbol no other document's open range has are done;
+1. neighbouring windows known by one symbol form a range; symbols of one document only are left out;
+2. ranges are named by symbol and all their words: one that an earlier document has is repeated whole, and
+   only the first of its holders goes on, if another document's open range has the symbol;
 3. the windows of the others are named one by one (128 bits of all their words), and those that an earlier
    document has are repeated.
 
@@ -33,12 +33,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import kept, numbered, table
+from touchline.llm.common import forget, kept, numbered, table
 
 WINDOW = 50
 #: Bytes of text whose arrays are in memory at once; a longer text is a chunk of its own.
 CHUNK = 1 << 21
 _U = np.uint64
+_NONE = _U((1 << 64) - 1)
+#: Words of the symbols that windows are known by where there are any.
+LONG = 4
+#: Runs are named in every RUNS-th round; pairs in all.
+RUNS = 3
 _BASES = (_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93))
 
 
@@ -108,14 +113,14 @@ def symbols(line: Line, window: int = WINDOW) -> dict[str, np.ndarray]:
     # symbols only ever need more words to be settled, so the last round is the same whatever else is in line
     turn = 0
     while (high - low <= window).any():
-        # runs: a symbol, or a run of it, ends where another symbol stands on either side
-        head = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | wall[1:] | wall[:-1]]))
-        tail = np.append(head[1:], len(name)) - 1
-        count = tail - head + 1
-        new = np.where(count > 1, mix(name[head] ^ mix(count.astype(_U), 7), 5), name[head])
-        low, high = low[np.maximum(head - 1, 0)], high[np.minimum(tail + 1, len(name) - 1)]
-        start, stop, wall, name = start[head], stop[tail], wall[head], new
-        keep((count > 1) & ~wall)
+        if turn % RUNS == 0:  # a symbol, or a run of it, ends where another symbol stands on either side
+            head = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | wall[1:] | wall[:-1]]))
+            tail = np.append(head[1:], len(name)) - 1
+            count = tail - head + 1
+            low, high = low[np.maximum(head - 1, 0)], high[np.minimum(tail + 1, len(name) - 1)]
+            name = np.where(count > 1, mix(name[head] ^ mix(count.astype(_U), 7), 5), name[head])
+            start, stop, wall = start[head], stop[tail], wall[head]
+            keep((count > 1) & ~wall)
         # pairs: a left symbol takes the right symbol behind it
         right = (mix(name, 100 + turn) >> _U(63)).astype(bool) & ~wall
         left = ~right & ~wall
@@ -138,33 +143,43 @@ def symbols(line: Line, window: int = WINDOW) -> dict[str, np.ndarray]:
 
 
 def known_by(line: Line, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all windows and the name of the symbol each is known by: of the longest class of symbols
-    settled inside the window (lengths up to a power of two form a class) the last one. A window that
-    settles none, such as the inside of a long run, is known by its first word."""
+    """Places of all windows and the name of the symbol each is known by: the least name among the symbols of
+    LONG words or more that are settled inside the window, so that neighbouring windows mostly agree. A window
+    without one takes the least name of its shorter symbols, and one that settles none, such as the inside of
+    a long run, its first word."""
     places = line.window_starts(window)
     names = mix(line.names[places], 17)
     if not len(places):
         return places, names
     s = symbols(line, window)
     length = s["stop"] - s["start"]
-    todo = np.ones(len(places), bool)
-    for k in range(int(length.max()).bit_length() if len(length) else 0, 0, -1):
-        own = np.flatnonzero((length > (1 << (k - 1))) & (length <= (1 << k)))
-        if not len(own):
-            continue
-        last = np.full(len(line.names), -1)
-        last[np.maximum(s["high"][own] - window, 0)] = np.arange(len(own))  # the last of those at one place counts
-        last = np.maximum.accumulate(last)
-        at = np.flatnonzero(todo)
-        best = last[places[at]]
-        fits = (best >= 0) & (s["low"][own[best]] >= places[at])
-        names[at[fits]] = s["name"][own[best[fits]]]
-        todo[at[fits]] = False
-        if not todo.any():
+    todo = np.arange(len(places))
+    for own in (length >= LONG, length < LONG):
+        first, last = np.maximum(s["high"][own] - window, 0), s["low"][own]
+        best = least_over(first, last, s["name"][own], len(line.names), window)[places[todo]]
+        found = best != _NONE
+        names[todo[found]] = best[found]
+        todo = todo[~found]
+        if not len(todo):
             break
     return places, names
 
 
+def least_over(first: np.ndarray, last: np.ndarray, value: np.ndarray, n: int, longest: int) -> np.ndarray:
+    """The least value among the intervals ``first`` to ``last`` over each of ``n`` places. An interval is two
+    overlapping stretches whose length is a power of two; long stretches hand their value down to halves."""
+    power = np.frexp((last - first + 1).astype(np.float64))[1] - 1
+    below = np.full(n, _NONE)
+    for k in range(longest.bit_length(), -1, -1):
+        own = power == k
+        np.minimum.at(below, first[own], value[own])
+        np.minimum.at(below, last[own] - (1 << k) + 1, value[own])
+        if k:
+            half = 1 << (k - 1)
+            below[half:] = np.minimum(below[half:], below[:-half].copy()) if half < n else below[half:]
+    return below
+
+
 def ranges(line: Line, window: int = WINDOW) -> dict[str, np.ndarray]:
     """Neighbouring windows known by one symbol: ``document``, ``name``, first and last place ``lo`` and ``hi``
     within the document, and the hash ``content`` of all words from the first to the last window."""
@@ -232,19 +247,23 @@ def later(doc_id: Column, first: Column) -> Column:
 
 
 def sort_ranges(index: DataFrame) -> DataFrame:
-    """(key, doc_id, lo, hi, whole) of ranges that an earlier document has whole and, ``whole`` false, of those
-    whose windows have to be compared one by one."""
+    """(key, lo, hi, whole) of ranges that an earlier document has whole and, ``whole`` false, of those whose
+    windows have to be compared one by one."""
+    own = index.filter(F.size("name") > 0)
+    # a symbol of one document only is no repeat; most are
+    names = own.select("doc_id", F.explode("name").alias("name")).groupBy("name")
+    names = names.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max(F.col("doc_id").isNull()).alias("n"))
+    several = names.filter((F.col("a") != F.col("b")) | F.col("n") & F.col("a").isNotNull()).select("name")
     zipped = F.explode(F.arrays_zip("name", "content", "lo", "hi")).alias("z")
-    entries = index.filter(F.size("name") > 0).select("key", "doc_id", zipped).select("key", "doc_id", "z.*")
-    firsts = entries.groupBy("name", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("nameless"))
-    firsts = kept(firsts, "ranges")
+    entries = kept(own.select("key", "doc_id", zipped).select("key", "doc_id", "z.*").join(several, "name", "left_semi"), "entries")
+    firsts = kept(entries.groupBy("name", "content").agg(F.min("doc_id").alias("first")), "firsts")
     none = F.col("first").isNull()
-    several = firsts.groupBy("name").agg(F.min("first").alias("a"), F.max("first").alias("b"), F.max(none).alias("n"))
-    several = several.filter((F.col("a") != F.col("b")) | F.col("n") & F.col("a").isNotNull()).select("name", F.lit(True).alias("open"))
-    shared = (F.col("first") != F.col("last")) | F.col("nameless") & ~none
-    asked = firsts.join(several, "name", "left").withColumn("open", F.coalesce("open", F.lit(False))).filter(F.col("open") | shared)
-    met = entries.join(asked.select("name", "content", "first", "open"), ["name", "content"]).withColumn("whole", later(F.col("doc_id"), F.col("first")))
-    return met.filter("whole or open").select("key", "lo", "hi", "whole")
+    open_names = firsts.groupBy("name").agg(F.min("first").alias("a"), F.max("first").alias("b"), F.max(none).alias("n"))
+    open_names = open_names.filter((F.col("a") != F.col("b")) | F.col("n") & F.col("a").isNotNull()).select("name", F.lit(True).alias("open"))
+    met = entries.join(firsts, ["name", "content"]).withColumn("whole", later(F.col("doc_id"), F.col("first")))
+    met = kept(met.join(open_names, "name", "left").filter("whole or open").select("key", "lo", "hi", "whole"), "met")
+    forget(entries, firsts)
+    return met
 
 
 def compared_windows(suspects: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -289,7 +308,7 @@ def repeated_words(docs: DataFrame, row: str, window: int = WINDOW) -> DataFrame
     of windows that an earlier document has; ``kept`` is null where nothing goes. ``row`` names the rows of
     ``docs`` and must be the same on every reading."""
     index = kept(range_index(docs, row, window), "index")
-    met = kept(sort_ranges(index), "met")
+    met = sort_ranges(index)
     span = F.struct("lo", "hi")
     lists = met.groupBy("key").agg(F.collect_list(F.when(F.col("whole"), span)).alias("w"), F.collect_list(F.when(~F.col("whole"), span)).alias("o"))
     lists = lists.select("key", F.col("w.lo").alias("whole_lo"), F.col("w.hi").alias("whole_hi"), F.col("o.lo").alias("lo"), F.col("o.hi").alias("hi"))
