@@ -66,65 +66,6 @@ def resolve_names(queries: DataFrame, entries: DataFrame, limit: int = 10) -> Da
         "query_id", "entry_id", "name", "tier", "matched", "rank_no")
 
 
-def correct_typos(words: DataFrame, vocabulary: DataFrame, cutoff: float = 0.8, min_length: int = 4) -> DataFrame:
-    """Closest vocabulary word for unknown words, by edit distance relative to the longer word. A word that
-    begins a vocabulary word is not unknown: it may be still being typed.
-
-    Words within the cut-off differ in few letters, so one of the pieces a word is cut into stands
-    unchanged in the other word, shifted by no more letters than may differ: pairs meet on the word's
-    length, the piece and its number, and none is lost.
-    """
-    v = vocabulary.select(F.col("word").alias("v")).filter(F.length("v") > 0).distinct()
-    begins = v.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("v")), lambda k: F.left(F.col("v"), k))).alias("word")).distinct()
-    w = words.select("word").distinct().filter(F.length("word") >= min_length).join(begins, "word", "left_anti")
-    allowed = lambda n: F.floor(n * ((1 - cutoff) / cutoff) + 1e-9).cast("int")
-    cut = lambda n: F.ceil(n / (allowed(n) + 1)).cast("int")
-    long = lambda n, i: F.least(cut(n), n - i * cut(n))
-
-    def piece(word: Column, n: Column, i: Column, at: Column) -> Column:
-        return F.struct(n.alias("n"), i.alias("i"), F.substring(word, at, long(n, i)).alias("piece"))
-
-    def of_length(n: Column) -> Column:
-        numbers, shifts = F.sequence(F.lit(0), allowed(n)), F.sequence(-allowed(n), allowed(n))
-        own = F.transform(numbers, lambda i: F.transform(F.filter(shifts, lambda s: i * cut(n) + s >= 0), lambda s: piece(F.col("v"), n, i, i * cut(n) + 1 + s)))
-        return F.flatten(own)
-
-    size = F.length("word")
-    mine = F.transform(F.sequence(F.lit(0), allowed(size)), lambda i: piece(F.col("word"), size, i, i * cut(size) + 1))
-    left = w.select("word", F.inline(F.filter(mine, lambda p: p["piece"] != "")))
-    sizes = F.sequence(F.ceil(F.length("v") * cutoff - 1e-9).cast("int"), F.floor(F.length("v") / cutoff + 1e-9).cast("int"))
-    theirs = F.array_distinct(F.flatten(F.transform(sizes, of_length)))
-    right = v.select("v", F.inline(F.filter(theirs, lambda p: F.length(p["piece"]) == long(p["n"], p["i"]))))
-    pair = left.join(right, ["n", "i", "piece"]).select("word", "v").distinct()
-    ratio = 1 - F.levenshtein("word", "v") / F.greatest(F.length("word"), F.length("v"))
-    best = pair.withColumn("ratio", ratio).filter(F.round("ratio", 9) >= cutoff)
-    return best.groupBy("word").agg(F.min(F.struct((-F.round("ratio", 9)).alias("r"), F.col("v"))).alias("b")).select("word", F.col("b.v").alias("corrected"), (-F.col("b.r")).alias("ratio"))
-
-
-def mentions(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    """Mentions of known names in whole texts, as word positions; a mention inside a longer one is
-    dropped. ``names``: name, popularity; a shared form belongs to the most popular name. Names may have
-    any number of words: runs of every length that occurs are cut inside the row, so the text never moves."""
-    n = names.select(normalize_name(F.col("name")).alias("form"), "name", "popularity").filter(F.col("form") != "")
-    n = n.groupBy("form").agg(F.min_by("name", F.struct((-F.col("popularity")).alias("p"), "name")).alias("name"))
-    lengths = [r["k"] for r in n.select(F.size(F.split("form", " ")).alias("k")).distinct().orderBy("k").collect()]  # a row per length
-    if not lengths:
-        lengths = [1]
-
-    # runs of k words grow by one word at a time over the whole text; a run past its end is null
-    w = texts.select(key, tokens(F.col("text")).alias("__g1")).filter(F.col("__g1").isNotNull())
-    for k in range(2, max(lengths) + 1):
-        longer = F.zip_with(f"__g{k - 1}", F.slice("__g1", F.lit(k), F.greatest(F.size("__g1"), F.lit(1))), lambda one, word: F.concat(one, F.lit(" "), word))
-        w = w.withColumn(f"__g{k}", longer)
-    w = w.select(key, F.posexplode(F.arrays_zip(*[f"__g{k}" for k in lengths])).alias("at", "__z"))
-    forms = F.array(*[F.struct(F.lit(k).alias("words"), F.col(f"__z.__g{k}").alias("form")) for k in lengths])
-    hit = w.select(key, "at", F.inline(forms)).join(n, "form")
-    # longest mention per start, then drop those reaching no further than an earlier one
-    far = hit.groupBy(key, "at").agg(F.max_by(F.struct("words", "form", "name"), "words").alias("m")).select(key, "at", "m.*")
-    reach = F.max(F.col("at") + F.col("words")).over(Window.partitionBy(key).orderBy("at").rangeBetween(-max(lengths), -1))
-    return far.withColumn("__r", reach).filter(F.col("__r").isNull() | (F.col("at") + F.col("words") > F.col("__r"))).drop("__r")
-
-
 def match_clubs(source: DataFrame, teams: DataFrame, aliases: DataFrame) -> DataFrame:
     """Source club names to ours: alias, then exact, then one contained in the other."""
     norm = lambda c: F.trim(F.regexp_replace(F.regexp_replace(normalize_name(F.col(c)), r"\b(a?fc)\b", ""), " +", " "))

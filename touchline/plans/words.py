@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.words import normalize_name, slugify
 from touchline.operators import derived as D
+from touchline.operators import mentions as M
 from touchline.operators import readlib as R
 from touchline.operators import text as X
 from touchline.plans import roles
@@ -29,10 +30,12 @@ add("T2_slugify", lambda s, d: pl(s, d).select("element", slugify(F.concat(F.lit
 
 
 def _queries(s, d):
-    """Typed queries from the parts: a full name, two beginnings, an inside piece, one word."""
-    p = pl(s, d).filter("element % 50 = 0").select("element", "name")
+    """Typed queries from the parts whose id is divisible by 100, against all names: a full name, two
+    beginnings, an inside piece, one word, a name with a letter left out."""
+    p = pl(s, d).filter("element % 100 = 0").select("element", "name")
     a, b = F.element_at(F.split("name", " "), 1), F.element_at(F.split("name", " "), 2)
-    q = F.array(F.col("name"), F.concat_ws(" ", F.substring(a, 1, 2), F.substring(b, 1, 3)), F.substring(b, 2, 3), F.concat_ws(" ", b, F.lit("zzz")))
+    q = F.array(F.col("name"), F.concat_ws(" ", F.substring(a, 1, 2), F.substring(b, 1, 3)), F.substring(b, 2, 3), F.concat_ws(" ", b, F.lit("zzz")),
+                F.concat_ws(" ", a, F.concat(F.substring(b, 1, 2), F.substring(b, 4, 20))))
     return p.select("element", F.posexplode(q).alias("k", "query")).select((F.col("element") * 10 + F.col("k")).alias("query_id"), "query")
 
 
@@ -40,16 +43,53 @@ def _entries(s, d):
     return pl(s, d).select(F.col("element").alias("entry_id"), "name", F.col("selected_by_percent").alias("popularity"))
 
 
-_QRY = "SELECT element * 10 + k AS query_id, CASE k WHEN 0 THEN name WHEN 1 THEN substr(a, 1, 2) || ' ' || substr(b, 1, 3) WHEN 2 THEN substr(b, 2, 3) ELSE b || ' zzz' END AS query FROM (SELECT element, name, split_part(name, ' ', 1) AS a, split_part(name, ' ', 2) AS b FROM pl WHERE element % 50 = 0), (SELECT unnest([0, 1, 2, 3]) AS k)"
+_QRY = "SELECT element * 10 + k AS query_id, CASE k WHEN 0 THEN name WHEN 1 THEN substr(a, 1, 2) || ' ' || substr(b, 1, 3) WHEN 2 THEN substr(b, 2, 3) WHEN 3 THEN b || ' zzz' ELSE a || ' ' || substr(b, 1, 2) || substr(b, 4, 20) END AS query FROM (SELECT element, name, split_part(name, ' ', 1) AS a, split_part(name, ' ', 2) AS b FROM pl WHERE element % 100 = 0), (SELECT unnest([0, 1, 2, 3, 4]) AS k)"
+
+def _ranked(of):
+    """CTEs that rank all names for the queries of one CTE."""
+    return {
+        f"{of}qq": f"SELECT query_id, string_split(query, ' ') AS qt, query FROM {of}",
+        f"{of}j": f"SELECT query_id, qt, query, element AS entry_id, name, selected_by_percent AS pop, string_split(name, ' ') AS nt FROM {of}qq, pl",
+        f"{of}t": f"SELECT *, len(list_filter(qt, lambda w: len(list_filter(nt, lambda t: starts_with(t, w))) > 0)) AS np, len(list_filter(qt, lambda w: len(list_filter(nt, lambda t: starts_with(t, w) OR (length(w) >= 3 AND contains(t, w)))) > 0)) AS ni FROM {of}j",
+        f"{of}o": f"SELECT *, CASE WHEN np = len(qt) THEN CASE WHEN len(qt) = 1 THEN true WHEN len(qt) = 3 THEN starts_with(nt[1], qt[1]) AND starts_with(nt[2], qt[2]) AND starts_with(nt[3], qt[3]) ELSE (starts_with(nt[1], qt[1]) AND (starts_with(nt[2], qt[2]) OR starts_with(nt[3], qt[2]))) OR (starts_with(nt[2], qt[1]) AND starts_with(nt[3], qt[2])) END ELSE false END AS ord FROM {of}t WHERE ni > 0",
+        f"{of}z": f"SELECT *, CAST(CASE WHEN name = query THEN 4 WHEN ord THEN 3 WHEN ni = len(qt) THEN 2 ELSE 1 END AS INT) AS tier, CAST(CASE WHEN name = query THEN len(qt) ELSE ni END AS INT) AS matched FROM {of}o",
+        f"{of}y": f"SELECT *, max(tier) OVER (PARTITION BY query_id) AS mt FROM {of}z",
+        f"{of}x": f"SELECT query_id, query, entry_id, name, tier, matched, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tier DESC, matched DESC, pop DESC, entry_id) AS INT) AS rank_no FROM {of}y WHERE mt < 2 OR tier >= 2",
+    }
+
+
 add("T3_resolve_names", lambda s, d: X.resolve_names(_queries(s, d), _entries(s, d)),
-    ctes("pl", extra={"q": _QRY, "qq": "SELECT query_id, string_split(query, ' ') AS qt, query FROM q",
-        "j": "SELECT query_id, qt, query, element AS entry_id, name, selected_by_percent AS pop, string_split(name, ' ') AS nt FROM qq, pl",
-        "t": "SELECT *, len(list_filter(qt, lambda w: len(list_filter(nt, lambda t: starts_with(t, w))) > 0)) AS np, len(list_filter(qt, lambda w: len(list_filter(nt, lambda t: starts_with(t, w) OR (length(w) >= 3 AND contains(t, w)))) > 0)) AS ni FROM j",
-        "o": "SELECT *, CASE WHEN np = len(qt) THEN CASE WHEN len(qt) = 1 THEN true WHEN len(qt) = 3 THEN starts_with(nt[1], qt[1]) AND starts_with(nt[2], qt[2]) AND starts_with(nt[3], qt[3]) ELSE (starts_with(nt[1], qt[1]) AND (starts_with(nt[2], qt[2]) OR starts_with(nt[3], qt[2]))) OR (starts_with(nt[2], qt[1]) AND starts_with(nt[3], qt[2])) END ELSE false END AS ord FROM t WHERE ni > 0",
-        "z": "SELECT *, CAST(CASE WHEN name = query THEN 4 WHEN ord THEN 3 WHEN ni = len(qt) THEN 2 ELSE 1 END AS INT) AS tier, CAST(CASE WHEN name = query THEN len(qt) ELSE ni END AS INT) AS matched FROM o",
-        "y": "SELECT *, max(tier) OVER (PARTITION BY query_id) AS mt FROM z",
-        "x": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier DESC, matched DESC, pop DESC, entry_id) AS rn FROM y WHERE mt < 2 OR tier >= 2"})
-    + "SELECT query_id, entry_id, name, tier, matched, CAST(rn AS INT) AS rank_no FROM x WHERE rn <= 10")
+    ctes("pl", extra={"q": _QRY, **_ranked("q")}) + "SELECT query_id, entry_id, name, tier, matched, rank_no FROM qx WHERE rank_no <= 10")
+
+
+def _closest(cutoff):
+    """CTEs with the closest of the word pairs in ``pr``: common letters row by row of the table that compares
+    all beginnings of one word with all of the other."""
+    return {
+        "dp": "SELECT word, v, CAST(0 AS BIGINT) AS i, list_transform(range(0, length(v) + 1), lambda x: CAST(0 AS BIGINT)) AS r FROM pr UNION ALL "
+        "SELECT word, v, i + 1, list_prepend(CAST(0 AS BIGINT), list_transform(range(1, length(v) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN v[k] = word[i + 1] THEN r[k] + 1 ELSE r[k + 1] END)))) FROM dp WHERE i < length(word)",
+        "ra": "SELECT word, v, 2 * r[length(v) + 1] / (length(word) + length(v)) AS ratio FROM dp WHERE i = length(word)",
+        "cl": f"SELECT word, v AS corrected, ratio FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY ratio DESC, v) AS k FROM ra WHERE ratio >= {cutoff} - 1e-12) WHERE k = 1",
+    }
+
+
+def _listed(frames):
+    return ", ".join(f"{n} AS ({b})" for n, b in frames.items())
+
+
+# as many letters changed as may come and go at most
+_NEAR = "abs(length(w.word) - length(v.word)) <= {e} * (length(w.word) + length(v.word)) + 1e-9 AND levenshtein(w.word, v.word) <= {e} * (length(w.word) + length(v.word)) + 1e-9"
+add("T3_search", lambda s, d: M.search(_queries(s, d), _entries(s, d)),
+    ctes("pl", extra={"q": _QRY, **_ranked("q"),
+        "known": "SELECT DISTINCT unnest(string_split(name, ' ')) AS word FROM pl",
+        "weak": "SELECT query_id, unnest(string_split(query, ' ')) AS word, generate_subscripts(string_split(query, ' '), 1) AS at_ FROM q WHERE query_id NOT IN (SELECT query_id FROM qx WHERE tier >= 2)",
+        "w": "SELECT DISTINCT word FROM weak WHERE length(word) >= 4 AND NOT EXISTS (SELECT 1 FROM known k WHERE length(k.word) >= 4 AND starts_with(k.word, weak.word)) AND word NOT IN (SELECT word FROM known)",
+        "pr": f"SELECT w.word, v.word AS v FROM w JOIN known v ON length(v.word) >= 4 AND {_NEAR.format(e=0.2)}",
+        **_closest(0.8),
+        "c": "SELECT query_id, string_agg(coalesce(corrected, word), ' ' ORDER BY at_) AS query FROM weak LEFT JOIN cl USING (word) GROUP BY query_id HAVING count(corrected) > 0",
+        **_ranked("c")}).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT query_id, entry_id, name, tier, matched, rank_no, CAST(NULL AS VARCHAR) AS corrected FROM qx WHERE rank_no <= 10 AND query_id NOT IN (SELECT query_id FROM cx) "
+      "UNION ALL SELECT query_id, entry_id, name, tier, matched, rank_no, query FROM cx WHERE rank_no <= 10")
 
 
 def _words(s, d):
@@ -61,28 +101,40 @@ def _vocab(s, d):
 
 
 _TOK = "SELECT DISTINCT unnest(string_split(" + _N + ", ' ')) AS word FROM {t}"
-add("T4_correct_typos", lambda s, d: six(X.correct_typos(_words(s, d), _vocab(s, d))),
-    f"WITH v AS (SELECT word FROM ({_TOK.format(c='text', t='benchmark')}) WHERE word <> ''), w AS (SELECT word FROM ({_TOK.format(c='text', t='documents')}) WHERE length(word) >= 4 AND word NOT IN (SELECT word[:k] FROM v, range(1, 64) t(k))), "
-    "p AS (SELECT w.word, v.word AS v, 1 - levenshtein(w.word, v.word) / greatest(length(w.word), length(v.word)) AS r FROM w JOIN v ON abs(length(w.word) - length(v.word)) <= 0.25 * length(w.word) + 1 AND round(1 - levenshtein(w.word, v.word) / greatest(length(w.word), length(v.word)), 9) >= 0.8) "
-    "SELECT word, v AS corrected, round(r, 6) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY round(r, 9) DESC, v) AS k FROM p) WHERE k = 1")
+add("T4_correct_typos", lambda s, d: six(M.correct_typos(_words(s, d), _vocab(s, d))),
+    f"WITH RECURSIVE known AS (SELECT word FROM ({_TOK.format(c='text', t='benchmark')}) WHERE word <> ''), v AS (SELECT word FROM known WHERE length(word) >= 4), "
+    f"w AS (SELECT word FROM ({_TOK.format(c='text', t='documents')}) WHERE length(word) >= 4 AND word NOT IN (SELECT word FROM known) AND word NOT IN (SELECT word[:k] FROM v, range(1, 64) t(k))), "
+    f"pr AS (SELECT w.word, v.word AS v FROM w JOIN v ON {_NEAR.format(e=0.2)}), {_listed(_closest(0.8))} SELECT word, corrected, round(ratio, 6) AS ratio FROM cl")
 
 
 def _names(s, d):
-    """Names of one and two words taken from the benchmark texts."""
+    """Names of one, two and three to seven words taken from the benchmark texts."""
     b = roles.table(s, d, "benchmark").select("item_id", X.tokens(F.col("text")).alias("t"))
-    two = b.select(F.concat_ws(" ", F.element_at("t", 1), F.element_at("t", 2)).alias("name"), F.col("item_id").alias("popularity"))
-    one = b.select(F.element_at("t", 2).alias("name"), F.col("item_id").alias("popularity"))
-    return two.unionByName(one).groupBy("name").agg(F.max("popularity").alias("popularity"))
-
-
-add("T5_mentions", lambda s, d: X.mentions(docs(s, d), _names(s, d), "doc_id"),
-    f"WITH b AS (SELECT string_split({_N.format(c='text')}, ' ') AS t FROM benchmark), n AS (SELECT DISTINCT t[1] || ' ' || t[2] AS form FROM b UNION SELECT DISTINCT t[2] FROM b), "
-    f"l AS (SELECT doc_id, list_filter(string_split({_N.format(c='text')}, ' '), lambda x: x <> '') AS t FROM documents), "
-    "w AS (SELECT doc_id, CAST(i - 1 AS INT) AS at_, t[i] AS w0, t[i + 1] AS w1 FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM l)), "
-    "h AS (SELECT doc_id, at_, 1 AS words, form FROM w JOIN n ON form = w0 UNION ALL SELECT doc_id, at_, 2, form FROM w JOIN n ON form = w0 || ' ' || w1), "
-    "f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, at_ ORDER BY words DESC) AS k FROM h) WHERE k = 1), "
-    "r AS (SELECT *, max(at_ + words) OVER (PARTITION BY doc_id ORDER BY at_ RANGE BETWEEN 2 PRECEDING AND 1 PRECEDING) AS reach FROM f) "
-    "SELECT doc_id, at_ AS \"at\", words, form, form AS name FROM r WHERE reach IS NULL OR at_ + words > reach")
+    name = F.explode(F.array(F.array_join(F.slice("t", 1, 2), " "), F.element_at("t", 2), F.array_join(F.slice("t", F.lit(1), (F.col("item_id") % 5 + 3).cast("int")), " "))).alias("name")
+    return b.select(name, F.col("item_id").alias("popularity")).groupBy("name").agg(F.max("popularity").alias("popularity"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in M.STOP_WORDS)
+_MENTIONS = (
+    f"WITH RECURSIVE b AS (SELECT item_id, string_split({_N.format(c='text')}, ' ') AS t FROM benchmark), "
+    "nm AS (SELECT form, max(item_id) AS pop FROM (SELECT item_id, unnest([array_to_string(t[1:2], ' '), t[2], array_to_string(t[1:3 + CAST(item_id % 5 AS INT)], ' ')]) AS form FROM b) GROUP BY form), "
+    "parts AS (SELECT word, name FROM (SELECT word, form AS name, row_number() OVER (PARTITION BY word ORDER BY pop DESC, form) AS k FROM (SELECT form, pop, unnest(string_split(form, ' ')) AS word FROM nm)) WHERE k = 1), "
+    f"txt AS (SELECT doc_id, norm, ' ' || norm || ' ' AS p FROM (SELECT doc_id, {_N.format(c='text')} AS norm FROM documents) WHERE norm <> ''), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(form) DESC, at_, form) AS rn FROM (SELECT doc_id, form, len(string_split(left(p, instr(p, ' ' || form || ' ')), ' ')) - 2 AS at_, len(string_split(form, ' ')) AS words "
+    "FROM txt JOIN nm ON contains(p, ' ' || form || ' '))), "
+    "g AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(at_ BIGINT, words BIGINT, form VARCHAR)[]) AS spans FROM o UNION ALL "
+    "SELECT g.doc_id, o.rn, CASE WHEN len(list_filter(g.spans, lambda c: c.at_ < o.at_ + o.words AND o.at_ < c.at_ + c.words)) > 0 THEN g.spans ELSE list_append(g.spans, {'at_': CAST(o.at_ AS BIGINT), 'words': CAST(o.words AS BIGINT), 'form': o.form}) END FROM g JOIN o ON o.doc_id = g.doc_id AND o.rn = g.rn + 1), "
+    "f AS (SELECT doc_id, unnest(spans, recursive := true) FROM (SELECT doc_id, arg_max(spans, rn) AS spans FROM g GROUP BY doc_id)), "
+    f"l AS (SELECT doc_id, at_, word FROM (SELECT doc_id, unnest(string_split(norm, ' ')) AS word, generate_subscripts(string_split(norm, ' '), 1) - 1 AS at_ FROM txt) WHERE length(word) >= 4 AND word NOT IN ({_STOP})), "
+    "w AS (SELECT DISTINCT word FROM l WHERE length(word) >= 5 AND word NOT IN (SELECT word FROM parts)), "
+    f"pr AS (SELECT w.word, v.word AS v FROM w JOIN parts v ON length(v.word) >= 4 AND {_NEAR.format(e=0.12)}), {_listed(_closest(0.88))}, "
+    "hit AS (SELECT word, word AS form, name FROM parts UNION ALL SELECT cl.word, corrected, name FROM cl JOIN parts ON parts.word = corrected), "
+    "m AS (SELECT doc_id, CAST(at_ AS INT) AS \"at\", CAST(words AS INT) AS words, form, form AS name, true AS full_name FROM f UNION ALL "
+    "SELECT l.doc_id, CAST(l.at_ AS INT), 1, hit.form, hit.name, false FROM l JOIN hit USING (word) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = l.doc_id AND l.at_ >= f.at_ AND l.at_ < f.at_ + f.words)) "
+)
+add("T5_mentions", lambda s, d: M.mentions(docs(s, d), _names(s, d), "doc_id"), _MENTIONS + "SELECT * FROM m")
+add("T5_mentioned_names", lambda s, d: M.mentioned_names(M.mentions(docs(s, d), _names(s, d), "doc_id"), "doc_id"),
+    _MENTIONS + "SELECT doc_id, name, CAST(k AS INT) AS rank_no FROM (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY min(\"at\"), name) AS k FROM m GROUP BY doc_id, name) WHERE k <= 2")
 
 
 def _clubs(s, d):
