@@ -171,6 +171,7 @@ def ranked(docs: DataFrame, items: DataFrame, depth: int = DEPTH, block_words: i
     equal scores by ascending doc_id."""
     context = docs.sparkSession.sparkContext
     terms = kept(item_terms(items), "item_terms")
+    first = Window.partitionBy("place").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     parts = []
     for block in item_blocks(terms, block_words):
         own = terms.filter(block).select("item", "term", "times").toArrow()
@@ -186,11 +187,9 @@ def ranked(docs: DataFrame, items: DataFrame, depth: int = DEPTH, block_words: i
         lists = (weights(holding(found, n_terms), documents), start, names.indices.to_numpy()[order].astype(np.int64), own["times"].to_numpy()[order], n_items)
         top = best_documents(bag_classes(found, documents, total, depth), context.broadcast(lists), depth)
         place = docs.sparkSession.createDataFrame(pa.table({"place": pa.array(np.arange(n_items)), "item": names.dictionary}))
-        parts.append(top.join(F.broadcast(place), "place").select("item", "doc_id", "score"))
-    none = docs.sparkSession.createDataFrame([], "item long, doc_id long, score long")
-    first = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
-    out = reduce(DataFrame.unionByName, parts, none).withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= depth)
-    return out.join(terms.select("item", "item_id").distinct(), "item").select(
+        parts.append(top.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= depth).join(F.broadcast(place), "place").drop("place"))
+    none = docs.sparkSession.createDataFrame([], "item long, rank int, doc_id long, score long")
+    return reduce(DataFrame.unionByName, parts, none).join(terms.select("item", "item_id").distinct(), "item").select(
         "item", "item_id", "rank", F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "score"
     )
 
