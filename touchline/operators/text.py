@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,32 +113,6 @@ def similar_to_item(items: DataFrame, item: int, k: int, id_col: str, vec: str)
     return similar_to(others, found[0] if found and found[0] is not None else [0.0], k, id_col, vec)
 
 
-def nearest(queries: DataFrame, items: DataFrame, id_col: str, vec: str, k: int, block: int = 4096) -> DataFrame:
-    """The ``k`` most similar items of every query vector, exactly.
-
-    Both sides are cut into blocks; each pair of blocks is one matrix product inside a task and
-    gives at most ``k`` rows per query, so no pair list is ever written.
-    """
-    qb = max(1, math.ceil(queries.count() / block))
-    ib = max(1, math.ceil(items.count() / block))
-    cut = lambda df, n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
-    q = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), cut(queries, qb).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(ib - 1))).alias("ib"))
-    i = items.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), cut(items, ib).alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
-
-    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "item_id": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
-        b = b.sort_values("id", kind="stable")  # equal similarities then come in the order of the ids
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        sims = np.round(unit(np.stack(a["v"].to_list())) @ unit(np.stack(b["v"].to_list())).T, 6)
-        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        found = {"query_id": np.repeat(a["id"].to_numpy(), best.shape[1]), "item_id": b["id"].to_numpy()[best.ravel()]}
-        return pd.DataFrame(found | {"similarity": np.take_along_axis(sims, best, axis=1).ravel()})
-
-    near = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(product, "query_id long, item_id long, similarity double")
-    return top_n(near, ["query_id"], [F.col("similarity").desc(), F.col("item_id")], k)
-
-
 def numeric_vector(df: DataFrame) -> DataFrame:
     """Fourteen statistics scaled to 0..1; missing ones count as 0."""
     def scale(c: str, lo: float, hi: float) -> Column:

@@ -217,8 +217,8 @@ add("M18_calibration_gap", lambda s, d: six(M.calibration_gap(_probs(s, d), "pro
 
 
 def _neigh(s, d):
-    """Vectors of the last label find their five most similar vectors of the others."""
-    from touchline.operators.text import nearest
+    """Vectors of the first label find their five most similar vectors of the others."""
+    from touchline.operators.neighbours import nearest
 
     e = roles.table(s, d, "embeddings")
     new, old = e.filter("label = 0"), e.filter("label <> 0")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from touchline.functions.words import normalize_name, slugify
 from touchline.operators import derived as D
 from touchline.operators import mentions as M
+from touchline.operators import neighbours as N
 from touchline.operators import readlib as R
 from touchline.operators import text as X
 from touchline.plans import roles
@@ -169,8 +170,25 @@ add("T7_similar_to_vector", lambda s, d: X.similar_to(roles.table(s, d, "embeddi
     f"SELECT b.vec_id, {_COS} AS similarity FROM {_E} a, {_E} b WHERE a.vec_id = 3 AND b.label = 2 ORDER BY similarity DESC, b.vec_id LIMIT 10")
 add("T8_similar_to_item", lambda s, d: X.similar_to_item(roles.table(s, d, "embeddings"), 3, 10, "vec_id", "embedding"),
     f"SELECT b.vec_id, {_COS} AS similarity FROM {_E} a, {_E} b WHERE a.vec_id = 3 AND b.vec_id <> 3 ORDER BY similarity DESC, b.vec_id LIMIT 10")
-add("T8_nearest", lambda s, d: X.nearest(roles.table(s, d, "embeddings").filter("label = 1"), roles.table(s, d, "embeddings").filter("label <> 1"), "vec_id", "embedding", 3, 100),
-    f"SELECT query_id, item_id, similarity, CAST(k AS INT) AS rank_no FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {_COS} AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS k FROM {_E} a JOIN {_E} b ON a.label = 1 AND b.label <> 1) WHERE k <= 3")
+
+
+def _vectors(s, d):
+    return roles.table(s, d, "embeddings")
+
+
+def _asked(s, d):
+    return _vectors(s, d).filter(N.divisible("vec_id"))
+
+
+_NEAREST = (
+    f"SELECT query_id, item_id, similarity, CAST(k AS INT) AS rank_no FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {_COS} AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS k "
+    f"FROM {_E} a JOIN {_E} b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id {{and_}}) WHERE k <= 3")
+add("T8_nearest", lambda s, d: N.nearest(_asked(s, d), _vectors(s, d), "vec_id", "embedding", 3, apart="vec_id"), _NEAREST.format(and_=""))
+add("T8_nearest_within", lambda s, d: N.nearest(_asked(s, d), _vectors(s, d), "vec_id", "embedding", 3, ["label"], "vec_id"), _NEAREST.format(and_="AND a.label = b.label"))
+add("T8_nearest_apart", lambda s, d: N.nearest(_asked(s, d), _vectors(s, d), "vec_id", "embedding", 3, apart="label"), _NEAREST.format(and_="AND a.label <> b.label"))
+add("T8_index", lambda s, d: N.nearest(_vectors(s, d), _vectors(s, d), "vec_id", "embedding", 3, apart="vec_id", exact=False))
+add("T8_index_recall", lambda s, d: N.recall(
+    N.nearest(_vectors(s, d), _vectors(s, d), "vec_id", "embedding", 10, apart="vec_id", exact=False), N.nearest(_asked(s, d), _vectors(s, d), "vec_id", "embedding", 10, apart="vec_id")))
 
 
 def _emb(s, d):
