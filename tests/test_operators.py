@@ -108,8 +108,9 @@ def _absence_by_hand(minutes, started, points):
     return out
 
 
-@pytest.mark.parametrize("slot_rows", [12, 40, 5000])
-def test_absence_form_in_pieces_equals_one_pass(spark, slot_rows):
+@pytest.mark.parametrize("days", [7, 60, 4 * 364])
+@pytest.mark.parametrize("batch", [10, 10000])
+def test_absence_form_in_slots_equals_one_pass(spark, days, batch):
     rng = np.random.default_rng(5)
     data = []
     for el, n in ((1, 400), (2, 60), (3, 9)):
@@ -120,8 +121,14 @@ def test_absence_form_in_pieces_equals_one_pass(spark, slot_rows):
             k = pd.Timestamp("2000-01-01") + pd.Timedelta(days=5 * i)
             data.append((el, str(k.year), i, i, 1, k, m, int(m > 0), int(rng.integers(0, 12))))
     pdf = pd.DataFrame(data, columns=["element", "season", "GW", "fixture", "line", "kickoff_time", "minutes", "starts", "total_points"])
-    got = X.absence_form(spark.createDataFrame(pdf).withColumn("GW", F.col("GW").cast("int")), ("total_points",), slot_rows=slot_rows)
-    got = {(r["element"], r["GW"]): r for r in got.collect()}
+    got = X.absence_form(spark.createDataFrame(pdf).withColumn("GW", F.col("GW").cast("int")), ("total_points",), slot=days * 86400)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = spark.conf.get(size)
+    spark.conf.set(size, str(batch))
+    try:
+        got = {(r["element"], r["GW"]): r for r in got.collect()}
+    finally:
+        spark.conf.set(size, given)
     assert len(got) == len(pdf)
     for el, g in pdf.groupby("element"):
         want = _absence_by_hand(g["minutes"].tolist(), g["starts"].tolist(), g["total_points"].tolist())

@@ -350,7 +350,27 @@ add("F34_rotation", lambda s, d: six(X.rotation(app(s, d))),
                       "v": "SELECT *, lag(nm) OVER (PARTITION BY team ORDER BY kickoff_time, fixture) AS pv FROM u",
                       "x": "SELECT *, CASE WHEN pv IS NOT NULL THEN len(list_filter(nm, lambda e: NOT list_contains(pv, e))) END AS changes, row_number() OVER (PARTITION BY team, season, GW ORDER BY kickoff_time, fixture) AS k FROM v"})
     + first_of_gw([roll("changes", 6, out="team_rotation_r6", part="team", order="kickoff_time, fixture")], "x", "team, season, GW"))
-add("F35_absence_form", lambda s, d: six(X.absence_form(app(s, d))))
+# the rule match by match: a player's last six counted matches, those waiting, his absence, matches since the last one
+_ABSENCE = {
+    "am": "SELECT element, season, GW, fixture, line, row_number() OVER (PARTITION BY element ORDER BY kickoff_time, fixture, line) AS n, minutes AS m, coalesce(starts, CASE WHEN minutes >= 60 THEN 1 ELSE 0 END) AS s FROM app",
+    "aw": "SELECT DISTINCT element, CAST(1 AS BIGINT) AS n, CAST([] AS STRUCT(n BIGINT, s BIGINT)[]) AS counted, CAST([] AS STRUCT(n BIGINT, s BIGINT)[]) AS waiting, false AS regular, 0 AS away, 10 AS back FROM am UNION ALL "
+    "SELECT a.element, a.n + 1, "
+    "CASE WHEN m > 0 THEN list_concat(list_concat(counted, waiting), [{'n': CAST(a.n AS BIGINT), 's': CAST(s AS BIGINT)}])[-6:] ELSE counted END, "
+    "CASE WHEN m > 0 OR away > 0 THEN [] WHEN len(waiting) >= 2 AND regular THEN [] ELSE list_append(waiting, {'n': CAST(a.n AS BIGINT), 's': CAST(s AS BIGINT)}) END, "
+    "CASE WHEN m = 0 AND away = 0 AND len(waiting) = 0 THEN coalesce(list_sum(list_transform(counted[-3:], lambda x: x.s)), 0) >= 2 ELSE regular END, "
+    "CASE WHEN m > 0 THEN 0 WHEN away > 0 THEN away + 1 WHEN len(waiting) >= 2 AND regular THEN len(waiting) + 1 ELSE 0 END, "
+    "CASE WHEN m > 0 AND away > 0 THEN 1 ELSE least(back + 1, 10) END "
+    "FROM aw JOIN am a ON a.element = aw.element AND a.n = aw.n",
+    "ag": "SELECT am.element, am.season, am.GW, aw.away, aw.back, list_concat(counted, waiting)[-6:] AS eff FROM (SELECT element, season, GW, min(n) AS n FROM am GROUP BY ALL) am JOIN aw ON aw.element = am.element AND aw.n = am.n",
+    "ae": "SELECT element, season, GW, unnest(list_transform(eff, lambda x: x.n)) AS n, len(eff) - generate_subscripts(eff, 1) AS ago FROM ag",
+    "av": "SELECT row_number() OVER (PARTITION BY element ORDER BY kickoff_time, fixture, line) AS n, * EXCLUDE (season, GW), CAST(minutes > 0 AS DOUBLE) AS played, coalesce(starts, CAST(minutes >= 60 AS INT)) AS started FROM app",
+}
+_ABSENCE_COLS = [(c, w) for c in X.FORM_STATS if c in ("played", "started") or c in roles.APPEARANCE for w in (1, *X.FORM_WINDOWS) if w > 1 or c in X.LAST_MATCH_STATS]
+_ABSENCE["aa"] = "SELECT ae.element, ae.season, ae.GW, " + ", ".join(f"avg(av.{c}) FILTER (ago < {w}) AS {c}_r{w}_a" for c, w in _ABSENCE_COLS) + " FROM ae JOIN av ON av.element = ae.element AND av.n = ae.n GROUP BY ALL"
+add("F35_absence_form", lambda s, d: six(X.absence_form(app(s, d))),
+    ctes("app", extra=_ABSENCE).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT ag.element, ag.season, ag.GW, " + ", ".join(f"round({c}_r{w}_a, 6) AS {c}_r{w}_a" for c, w in _ABSENCE_COLS)
+    + ", CAST(away AS DOUBLE) AS absent_run, CAST(back AS DOUBLE) AS since_return FROM ag LEFT JOIN aa USING (element, season, GW)")
 _DCP = "CASE WHEN defensive_contribution IS NULL THEN NULL WHEN position = 'GK' THEN 0 WHEN defensive_contribution >= CASE position WHEN 'DEF' THEN 10 ELSE 12 END THEN 2 ELSE 0 END"
 add("F36_dc_points", lambda s, d: app(s, d).select(*ROW, X.dc_points().alias("dc_points")), ctes("app") + f"SELECT element, fixture, line, CAST({_DCP} AS DOUBLE) AS dc_points FROM app")
 add("F37_dc_expectation", lambda s, d: six(X.dc_expectation(app(s, d), "1998-99").select(*ROW, "dc_pts", "dc_hat")),

@@ -186,9 +186,10 @@ _NEAREST = (
 add("T8_nearest", lambda s, d: N.nearest(_asked(s, d), _vectors(s, d), "vec_id", "embedding", 3, apart="vec_id"), _NEAREST.format(and_=""))
 add("T8_nearest_within", lambda s, d: N.nearest(_asked(s, d), _vectors(s, d), "vec_id", "embedding", 3, ["label"], "vec_id"), _NEAREST.format(and_="AND a.label = b.label"))
 add("T8_nearest_apart", lambda s, d: N.nearest(_asked(s, d), _vectors(s, d), "vec_id", "embedding", 3, apart="label"), _NEAREST.format(and_="AND a.label <> b.label"))
-add("T8_index", lambda s, d: N.nearest(_vectors(s, d), _vectors(s, d), "vec_id", "embedding", 3, apart="vec_id", exact=False))
+# these vectors lie in no clusters: at 8 lists of 45 the recall is 0.58, at 32 it is above 0.9
+add("T8_index", lambda s, d: N.nearest(_vectors(s, d), _vectors(s, d), "vec_id", "embedding", 3, apart="vec_id", probes=32, exact=False))
 add("T8_index_recall", lambda s, d: N.recall(
-    N.nearest(_vectors(s, d), _vectors(s, d), "vec_id", "embedding", 10, apart="vec_id", exact=False), N.nearest(_asked(s, d), _vectors(s, d), "vec_id", "embedding", 10, apart="vec_id")))
+    N.nearest(_vectors(s, d), _vectors(s, d), "vec_id", "embedding", 10, apart="vec_id", probes=32, exact=False), N.nearest(_asked(s, d), _vectors(s, d), "vec_id", "embedding", 10, apart="vec_id")))
 
 
 def _emb(s, d):
