@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.functions.ordered import task_spread
 from touchline.functions.words import normalize_name
 from touchline.operators.text import resolve_names, tokens
 from touchline.session import written
@@ -85,7 +86,7 @@ def similar_words(words: DataFrame, vocabulary: DataFrame, cutoff: float) -> Dat
     low, high = cutoff / (2 - cutoff), (2 - cutoff) / cutoff
     others = lambda n: F.explode(F.sequence(F.ceil(n * low - 1e-9).cast("int"), F.floor(n * high + 1e-9).cast("int")))
     start = lambda i, n: F.floor(i * n / (F.col("d") + 1)).cast("int")
-    w = words.select("word").distinct().withColumn("n", F.length("word"))
+    w = task_spread(words.select("word"), "word").distinct().withColumn("n", F.length("word"))
     v = vocabulary.select("v").distinct().withColumn("m", F.length("v"))
     lengths = v.select("m").distinct()
     left = w.withColumn("m", others(F.col("n"))).join(lengths, "m").withColumn("d", _edits(F.col("n"), F.col("m"), cutoff)).filter("d is not null")
@@ -101,8 +102,7 @@ def similar_words(words: DataFrame, vocabulary: DataFrame, cutoff: float) -> Dat
     # few bytes but much work for each, so pairs are dealt out to all tasks; a change is a letter gone and one come
     pairs = left.join(right.distinct(), ["n", "m", "i", "piece"]).select("word", "v").filter(
         F.call_function("levenshtein", F.col("word"), F.col("v"), _edits(F.length("word"), F.length("v"), cutoff)) >= 0)
-    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    with_bits = pairs.repartition(tasks, "word", "v").distinct().join(v.withColumn("bits", letter_bits(F.col("v"))), "v")
+    with_bits = task_spread(pairs, "word", "v").distinct().join(v.withColumn("bits", letter_bits(F.col("v"))), "v")
     ratio = 2 * common_letters(F.col("word"), F.col("m"), F.col("bits")) / (F.length("word") + F.col("m"))
     return with_bits.select("word", "v", ratio.alias("ratio")).filter(F.col("ratio") >= cutoff - 1e-12)
 
@@ -155,14 +155,16 @@ def mentions(
     then to the first in the alphabet. ``key`` is unique; a text without words has no mentions.
 
     Names of any number of words meet texts on the one of their words that the fewest texts have, and are then
-    looked up in the text itself, which moves once and only if it has such a word.
+    looked up in the text itself.
     """
     n = names.select(normalize_name(F.col("name")).alias("form"), "name", "popularity").filter(F.col("form") != "")
     first = F.min(F.struct((-F.col("popularity")).alias("p"), F.col("name"))).alias("m")
     forms = n.groupBy("form").agg(first).select("form", F.col("m.name").alias("name"))
     parts = n.select(F.explode(F.array_distinct(F.split("form", " "))).alias("word"), "name", "popularity").groupBy("word").agg(first).select("word", F.col("m.name").alias("name"))
 
-    words = texts.select(key, F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
+    plain = task_spread(texts.select(key, "text"), key).select(key, normalize_name(F.col("text")).alias("norm")).filter("norm != ''")
+    plain = written(plain.select(key, F.concat(F.lit(" "), "norm", F.lit(" ")).alias("padded")), "texts")
+    words = plain.select(key, F.explode(F.array_distinct(F.split(F.trim("padded"), " "))).alias("word"))
     known = written(words.groupBy("word").agg(F.count(F.lit(1)).alias("texts")), "words")
     anchors = forms.select("form", "name", F.explode(F.array_distinct(F.split("form", " "))).alias("word")).join(known, "word", "left")
     # a name with a word that no text has is in none
@@ -176,25 +178,25 @@ def mentions(
     wanted = written(anchors.unionByName(exact).unionByName(typed), "wanted")
 
     per_text = words.join(wanted, "word").groupBy(key).agg(
-        F.collect_list(F.when(F.col("full_name"), F.struct("form", "name"))).alias("full"), F.collect_list(F.when(~F.col("full_name"), F.struct("word", "form", "name"))).alias("lone"))
-    t = texts.select(key, normalize_name(F.col("text")).alias("norm")).join(per_text, key)
-    padded = F.concat(F.lit(" "), F.col("norm"), F.lit(" "))
+        F.collect_list(F.when(F.col("full_name"), F.struct("form", "name"))).alias("full"), F.map_from_entries(F.collect_list(F.when(~F.col("full_name"), F.struct("word", F.struct("form", "name").alias("means"))))).alias("lone"))
+    t = task_spread(plain, key).join(task_spread(per_text, key), key)
+    padded = F.col("padded")
     spaces = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
     def found(x: Column) -> Column:
-        place = F.instr(padded, F.concat(F.lit(" "), x["form"], F.lit(" ")))
-        return F.struct(
-            F.length(x["form"]).alias("letters"), (spaces(F.left(padded, place)) - 1).alias("at"), (spaces(x["form"]) + 1).alias("words"),
-            x["form"].alias("form"), x["name"].alias("name"), (place > 0).alias("there"))
+        return F.struct(F.instr(padded, F.concat(F.lit(" "), x["form"], F.lit(" "))).alias("place"), x["form"].alias("form"), x["name"].alias("name"))
 
-    spans = F.filter(F.transform("full", found), lambda x: x["there"])
-    spans = F.array_sort(F.transform(spans, lambda x: F.struct((-x["letters"]).alias("l"), x["at"].alias("at"), x["form"].alias("form"), x["words"].alias("words"), x["name"].alias("name"))))
+    def span(x: Column) -> Column:
+        at, words = spaces(F.left(padded, x["place"])) - 1, spaces(x["form"]) + 1
+        return F.struct((-F.length(x["form"])).alias("l"), at.alias("at"), x["form"].alias("form"), words.alias("words"), x["name"].alias("name"))
+
+    spans = F.array_sort(F.transform(F.filter(F.transform("full", found), lambda x: x["place"] > 0), span))
     meets = lambda a, at, words: (a["at"] < at + words) & (at < a["at"] + a["words"])
     none = F.filter(spans, lambda x: F.lit(False))
     t = t.withColumn("spans", spans).withColumn(
         "spans", F.aggregate("spans", none, lambda kept, x: F.when(F.exists(kept, lambda c: meets(c, x["at"], x["words"])), kept).otherwise(F.concat(kept, F.array(x)))))
     full = F.transform("spans", lambda x: F.struct(x["at"].alias("at"), x["words"].alias("words"), x["form"].alias("form"), x["name"].alias("name"), F.lit(True).alias("full_name")))
-    single = F.transform(F.split("norm", " "), lambda w, i: F.struct(i.alias("at"), F.get(F.filter("lone", lambda x: x["word"] == w), F.lit(0)).alias("hit")))
+    single = F.transform(F.split(F.trim("padded"), " "), lambda w, i: F.struct(i.alias("at"), F.try_element_at("lone", w).alias("hit")))
     single = F.filter(single, lambda x: x["hit"].isNotNull() & ~F.exists("spans", lambda c: meets(c, x["at"], F.lit(1))))
     single = F.transform(single, lambda x: F.struct(x["at"].alias("at"), F.lit(1).alias("words"), x["hit"]["form"].alias("form"), x["hit"]["name"].alias("name"), F.lit(False).alias("full_name")))
     return t.select(key, F.inline(F.concat(full, single)))
