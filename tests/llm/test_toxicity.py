@@ -47,3 +47,26 @@ def test_without_labels(spark):
         assert toxicity.predict_chain(docs.select("text"), model).filter("p_toxic <> 0 or p_toxic_low_quality <> 0").count() == 0
     model = toxicity.fit_chain(docs, toxicity.label_categories(labels), ["toxic"])
     assert toxicity.predict_chain(docs.select("text").limit(0), model).count() == 0
+
+
+def test_sample_is_bounded_by_rows(spark):
+    """One doc_id on most rows, with equal and with different texts."""
+    docs, labels = frames(spark)
+    more = spark.range(20000).selectExpr("5L AS doc_id", "concat('many ', id) AS text").unionByName(spark.range(20000).selectExpr("10L AS doc_id", "'same' AS text"))
+    sample = toxicity.labelled_sample(docs.select("doc_id", "text").unionByName(more), toxicity.label_categories(labels), ["toxic", "toxic_low_quality"], 500)
+    assert 300 < sample.count() < 3 * 2 * 500
+
+
+def test_a_later_category_has_words_of_its_own(spark):
+    rng = random.Random(1)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
+    docs, labels = [], []
+    for i in range(600):
+        a, b = i % 3 == 0, i % 20 == 0
+        docs.append((i, " ".join(rng.choice(words) for _ in range(20)) + (" snargle" if a else "") + (" blorfing" if b else "")))
+        labels.append((i, int(a), int(b), 0))
+    d, l = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, a int, b int, never int")
+    model = toxicity.fit_chain(d, l, ["never", "a", "b"])
+    assert {"snargle", "blorfing"} <= set(model["features"])
+    rows = toxicity.predict_chain(d, model).collect()
+    assert all((r.p_a > 0.5) == (r.doc_id % 3 == 0) and (r.p_b > 0.5) == (r.doc_id % 20 == 0) and r.p_never < 0.01 for r in rows)

@@ -4,12 +4,13 @@ Categories are predicted one after the other; each model sees the words of the t
 of the categories before it. While learning, those probabilities come from models that did not see the
 row (out-of-fold), so later models learn how far the earlier ones can be trusted.
 
-Features are whole lower-cased words and word beginnings of five letters that tell the first category
-apart, chosen by the significance of their log-odds. Everything is fitted on a bounded sample of labelled rows:
-about ``per_class`` with and twice as many without the first category. Prediction reads every whole text.
+Features are whole lower-cased words and word beginnings of five letters that tell a category apart, chosen
+for each by the significance of their log-odds. Everything is fitted on a bounded sample of labelled rows:
+about ``per_class`` of every combination of categories, and twice as many without any. Prediction reads every
+whole text.
 
 Defined cases: a null or empty text has no features and gets the models' base probability; without labelled
-rows of both kinds every probability is 0. Labels with a null are not learned from; of repeated labels of
+rows that differ in a category every probability is 0, and a category of one value has that probability. Labels with a null are not learned from; of repeated labels of
 a doc_id the largest values count. Repeated documents and null ids are rows of their own. Extra columns are
 not looked at.
 """
@@ -19,6 +20,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -45,20 +48,23 @@ def text_features(text: str | None) -> set[str]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str], per_class: int = PER_CLASS) -> DataFrame:
-    """(text, fold, *categories) of a bounded share of the labelled documents."""
+    """(text, fold, *categories) of a bounded share of the labelled documents: of every combination of
+    categories about ``per_class`` rows, of that without any twice as many. A hash of doc_id and text picks
+    them, so rows that share a doc_id are counted one by one, and equal rows once."""
     known = labels.select("doc_id", *categories).dropna().groupBy("doc_id").agg(*[F.max(F.col(c).cast("int")).alias(c) for c in categories])
-    first = categories[0]
-    counts = {r[first]: r["count"] for r in known.groupBy(first).count().collect()}  # a row per class
-    rate = {c: min(1.0, per_class * (1 if c else 2) / max(1, n)) for c, n in counts.items()}
-    pick = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
-    chosen = known.filter(pick < F.when(F.col(first) == 1, rate.get(1, 0.0)).otherwise(rate.get(0, 0.0)))
+    counts = docs.select("doc_id").join(known, "doc_id").groupBy(*categories).count().collect()  # a row per combination
+    rate = {tuple(r[c] for c in categories): min(1.0, per_class * (1 if any(r[c] for c in categories) else 2) / r["count"]) for r in counts}
+    pick = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    own = F.lit(0.0)
+    for kind, share in rate.items():
+        own = F.when(reduce(and_, [F.col(c) == v for c, v in zip(categories, kind)]), F.lit(share)).otherwise(own)
+    some = docs.select("doc_id", "text").withColumn("pick", pick).filter(F.col("pick") < max(rate.values(), default=0.0))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int")
-    chosen = F.broadcast(chosen.select("doc_id", fold.alias("fold"), *categories))  # at most about 3 per_class rows
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "fold", *categories)
+    return some.join(known, "doc_id").filter(F.col("pick") < own).drop("pick").distinct().select("text", fold.alias("fold"), *categories)
 
 
 def telling_features(sample: DataFrame, first: str, n: int = FEATURES) -> list[str]:
-    """The features whose log-odds between documents with and without the category are most significant."""
+    """For one category, the features whose log-odds between documents with and without the category are most significant."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -111,11 +117,12 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], per
     """The features and, per category, weights over them, the earlier categories' probabilities and a bias."""
     categories = list(categories)
     sample = kept(labelled_sample(docs, labels, categories, per_class), "labelled")
-    seen = sample.agg(F.min(categories[0]), F.max(categories[0])).first()
+    seen = sample.agg(*[F.min(c).alias(f"a{k}") for k, c in enumerate(categories)], *[F.max(c).alias(f"b{k}") for k, c in enumerate(categories)]).first()
     model: dict = {"categories": categories, "features": [], "weights": []}
-    if seen[0] != 0 or seen[1] != 1:
+    told = [c for k, c in enumerate(categories) if seen[f"a{k}"] != seen[f"b{k}"]]  # the others have one value
+    if not told:
         return model
-    names = telling_features(sample, categories[0], features)
+    names = list(dict.fromkeys(f for c in told for f in telling_features(sample, c, features // len(told))))
     at = {f: i for i, f in enumerate(names)}
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
