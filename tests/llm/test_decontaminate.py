@@ -6,6 +6,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from touchline.llm import decontaminate as dc
 
 
@@ -99,3 +101,11 @@ def test_proximity(spark):
     near = {ids[r.row]: r.apart for r in dc.proximity_matches(df, "k", bench, 2).collect()}
     assert near == {1: 1}
     assert {ids[r.row]: r.apart for r in dc.proximity_matches(df, "k", bench, 4).collect()} == {1: 1, 2: 4}
+
+
+def test_what_is_stored_of_a_long_item_grows_with_its_words(spark):
+    words = [f"v{k}" for k in range(30000)]
+    items = spark.createDataFrame([("long", " ".join(words)), ("short", "v5 v6")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "x " + " ".join(words[200:260]) + " y"), (2, " ".join(words)), (3, "v5 v6")], "doc_id long, text string").withColumn("row", F.monotonically_increasing_id())
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in dc.contamination(docs, "row", items).collect()}
+    assert got == {1: (60, 1), 2: (30000, 2), 3: (2, 1)}

@@ -8,7 +8,9 @@ the item, rarest first, and what survives is compared word for word with the wor
 Words are runs of digits, ASCII letters in either case, and everything beyond ASCII. Defined cases: a
 null or empty text has no words and no hits; an item without words has no windows; an item without
 item_id marks words as hit but is neither counted nor listed; rows of ``benchmark`` that repeat an
-item_id count once. Repeated documents get a row each. Extra columns are not looked at.
+item_id count once. Repeated documents get a row each. A text of any length is read whole; what is stored of
+an item grows with its words, not their square. An empty table gives an empty result, or no hits. Extra columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -40,8 +42,8 @@ def _slots(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) & (SLOTS - 1)
 
 
-def item_words(items: DataFrame) -> DataFrame:
-    """(item, item_id, n, words, pos, word): one row per word of an item; ``item`` numbers the rows."""
+def item_lists(items: DataFrame) -> DataFrame:
+    """(item, item_id, n, words): the words of every item that has any; ``item`` numbers the rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -49,7 +51,12 @@ def item_words(items: DataFrame) -> DataFrame:
 
     slim = items.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("t"))
     lists = slim.mapInPandas(run, "item long, item_id string, words array<string>").filter(F.size("words") > 0)
-    return lists.select("item", "item_id", F.size("words").alias("n"), "words", F.posexplode("words").alias("pos", "word"))
+    return lists.select("item", "item_id", F.size("words").alias("n"), "words")
+
+
+def item_words(lists: DataFrame) -> DataFrame:
+    """(item, n, pos, word): one row per word of an item."""
+    return lists.select("item", "n", F.posexplode("words").alias("pos", "word"))
 
 
 def _reach(words: DataFrame) -> np.ndarray:
@@ -128,10 +135,9 @@ def postings(docs: DataFrame, row: str, terms: DataFrame) -> DataFrame:
     return slim.mapInPandas(run, f"row {docs.schema[row].dataType.simpleString()}, doc_id string, n_words long, word string, pos int, before string, after string")
 
 
-def _anchored(words: DataFrame, pairs: DataFrame, window: int) -> DataFrame:
+def _anchored(lists: DataFrame, pairs: DataFrame, window: int) -> DataFrame:
     """Pairs with their words and, around p, the item's words that a window can hold."""
     side = window - 1
-    lists = words.filter("pos = 0").select("item", "item_id", "n", "words")
     p, q = F.col("p"), F.col("q")
     low = F.greatest(p - side, F.lit(0))
     return pairs.join(lists, "item").select(
@@ -193,8 +199,9 @@ def _same(a: list[str], b: list[str]) -> int:
 
 
 def _indexed(docs: DataFrame, row: str, items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    words = kept(item_words(items), "items")
-    pairs = kept(_anchored(words, window_pairs(words, word_counts(docs, words), window), window), "anchors")
+    lists = kept(item_lists(items), "items")
+    words = item_words(lists)
+    pairs = kept(_anchored(lists, window_pairs(words, word_counts(docs, words), window), window), "anchors")
     around = F.when(F.col("n") < window, F.greatest(F.col("p"), F.col("n") - 1 - F.col("p"))).otherwise(window - 1)
     terms = pairs.select("word", around.alias("around")).unionByName(pairs.filter("q is not null").select(F.col("word_q").alias("word"), F.lit(0).alias("around")))
     return kept(postings(docs, row, terms.groupBy("word").agg(F.max("around").alias("around"))), "postings"), pairs
