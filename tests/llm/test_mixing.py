@@ -99,3 +99,13 @@ def test_documents_lie_shard_by_shard(spark):
     rows = mixing.mixed_documents(df).select("doc_id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at")).collect()
     laps = mixing.op8_mixing_shards(spark, "/root/testdata/sf0.01").filter("2 * words >= size").collect()
     assert [r.doc_id for r in sorted(rows, key=lambda r: r["at"])] == [r.doc_id for r in sorted(laps, key=lambda r: (r.shard, r.order))]
+
+
+def test_a_mix_of_any_size_has_blocks_that_can_be_drawn(spark):
+    assert mixing.words_of_a_block(10**6, 20) == mixing.BLOCK_WORDS
+    words = [2 * 10**9 * mixing.BLOCK_WORDS, 5 * 10**15, 3, 0]
+    size = mixing.words_of_a_block(sum(words), len(words))
+    quotas = [-(-w // size) for w in words]
+    assert sum(quotas) <= mixing.MOST_BLOCKS
+    ends = {r.place: r.ends for r in mixing.shard_ends(spark.createDataFrame(list(enumerate(quotas)), "place long, blocks long"), 4).collect()}
+    assert [ends[k][-1] for k in range(4)] == quotas

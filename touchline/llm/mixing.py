@@ -25,8 +25,8 @@ from touchline.llm.common import kept, numbered, table
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-#: Words of a block. The draw takes below a billion blocks, so the mix may have 4,096 billion words.
-BLOCK_WORDS = 4096
+#: Words of a block, and most blocks of a mix: the draw takes below a billion. A larger mix has larger blocks.
+BLOCK_WORDS, MOST_BLOCKS = 4096, 900_000_000
 SHARDS = 16
 #: Pieces of a source's line that are summed before they are laid end to end.
 PIECES = 4096
@@ -111,7 +111,7 @@ def shard_ends(quotas: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFr
         counts = pdf["blocks"].to_numpy(np.int64)
         total = int(counts.sum())
         if total >= 10**9:
-            raise ValueError("too many blocks; raise block_words")
+            raise ValueError("the draw takes below a billion blocks")
         sizes = np.array([total * (i + 1) // shards - total * i // shards for i in range(shards)], np.int64)
         drawn = split(counts, sizes, np.random.default_rng([seed, 0]))
         return pd.DataFrame({"part": pdf["part"], "sizes": drawn.tolist()})
@@ -128,10 +128,17 @@ def shard_ends(quotas: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFr
     return own.join(sizes, "part").groupBy("part").applyInPandas(members, "place long, ends array<long>")
 
 
+def words_of_a_block(total: int, sources: int, least: int = BLOCK_WORDS) -> int:
+    """So many words that a mix of ``total`` words has at most MOST_BLOCKS blocks, ends of sources included."""
+    return max(least, -(-total // max(1, MOST_BLOCKS - sources)))
+
+
 def dealt(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     """Rows of :func:`slim_rows` with source, source_size, target and ``laps``: for each of the two runs of the
     line, the words taken of the document, its block, its output shard and its order in the shard."""
     targets = source_targets(rows, weights, share).withColumn("words", F.floor(F.col("target") + 0.5).cast("long"))
+    total, sources = targets.agg(F.coalesce(F.sum("words"), F.lit(0)), F.count(F.lit(1))).first()
+    block_words = words_of_a_block(total, sources, block_words)
     targets = targets.withColumn("blocks", F.ceil(F.col("words") / block_words).cast("long"))
     ends = shard_ends(targets.select("place", "blocks"), shards, seed)
     plan = kept(targets.join(ends, "place"), "plan")
