@@ -95,3 +95,11 @@ def test_rule_abstains(spark):
     df = spark.createDataFrame(texts, "doc_id long, text string, source string")
     rows = secrets.findings_by_rule(secrets.with_features(secrets.candidates(df, pattern=secrets.WIDE), [])).collect()
     assert len(rows) == 18 and {r.label for r in rows} == {None}
+
+
+def test_names_of_any_usual_length(spark):
+    """A name may go on for a hundred letters before and behind the word that tells a secret."""
+    name = "x" * 60 + "_password_for_the_" + "y" * 60
+    texts = [(1, "password_for_the_backend = hunter2x\n"), (2, f"{name} = hunter2x\n"), (3, f"https://h/?{'q' * 90}_token_{'r' * 90}=hunter2x&z=1"), (4, f"https://{'u' * 100}:hunter2x@host/")]
+    found = secrets.candidates(spark.createDataFrame(texts, "doc_id long, text string"), None, secrets.WIDE).filter("value = 'hunter2x'").collect()
+    assert sorted(r.doc_id for r in found) == [1, 2, 3, 4]

@@ -26,12 +26,13 @@ from touchline.llm.common import kept, table
 
 CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}"
 _NAME = r"(?i:secret|token|passw(?:or)?d|passphrase|passwd|pwd|api.?key|access.?key|private.?key|account.?key|credential|auth)"
+#: Look-behinds need a longest match: 128 signs before and behind the word in a name that tells a secret.
 #: Runs as above, and before them the forms that tell a value of any signs.
 WIDE = "|".join((
     r"eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
-    r"(?<==)(?<=[?&][A-Za-z0-9_.\-]{0,16}" + _NAME + r"[A-Za-z0-9_\-]{0,8}=)[^\s\"'`&#<>]{5,}[^\s\"'`&#<>.,;:)]",
-    r"(?<=:)(?<=://[A-Za-z0-9_.%\-]{0,40}:)[^\s\"'`@/<>]{4,}(?=@)",
-    r"(?<=[=:][>\s\"'`]{0,4})(?<=" + _NAME + r"[A-Za-z0-9_.\-]{0,12}[\"'`\]]{0,2}\s{0,2}(?:=>|:=|=|:)\s{0,2}[\"'`]?)(?!(?i:bearer|basic)\s)(?![A-Za-z][a-z+]{0,9}://)[^\s\"'`,;<>]{5,}[^\s\"'`,;<>.:)]",
+    r"(?<==)(?<=[?&][A-Za-z0-9_.\-]{0,128}" + _NAME + r"[A-Za-z0-9_\-]{0,128}=)[^\s\"'`&#<>]{5,}[^\s\"'`&#<>.,;:)]",
+    r"(?<=:)(?<=://[A-Za-z0-9_.%\-]{0,128}:)[^\s\"'`@/<>]{4,}(?=@)",
+    r"(?<=[=:][>\s\"'`]{0,4})(?<=" + _NAME + r"[A-Za-z0-9_.\-]{0,128}[\"'`\]]{0,2}\s{0,2}(?:=>|:=|=|:)\s{0,2}[\"'`]?)(?!(?i:bearer|basic)\s)(?![A-Za-z][a-z+]{0,9}://)[^\s\"'`,;<>]{5,}[^\s\"'`,;<>.:)]",
     r"(?<= )(?<=(?i:bearer|basic) {1,2})(?=[^\s]*[0-9])[A-Za-z0-9._~+/=\-]{7,}[A-Za-z0-9_~+/=\-]",
     CANDIDATE,
 ))
