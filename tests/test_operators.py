@@ -86,6 +86,26 @@ def test_team_ratings_follow_the_recursion(spark):
             dfn[r.opp] -= 0.05 * e
 
 
+def test_team_ratings_resumed_equal_one_pass(spark):
+    tm = _matches(np.random.default_rng(4), [f"T{i}" for i in range(6)], 5, ["2001-02", "2002-03", "2003-04"])
+    schema = "division string, season string, fixture int, team string, kickoff_time timestamp, GW int, was_home boolean, gf double, ga double, xgf double, xga double"
+    clean = [tuple(x.to_pydatetime() if isinstance(x, pd.Timestamp) else None if x != x else x for x in r) for r in tm.itertuples(index=False, name=None)]
+    df = spark.createDataFrame([r for r in clean if not (r[1] == "2001-02" and r[3] == "T5")], schema)  # T5 comes up later
+    rows = lambda f, *o: {tuple(r[c] for c in o): (r["att"], r["dfn"]) for r in f.collect()}
+    whole, end = rows(X.fixture_ratings(df), "season", "fixture", "team"), rows(X.latest_ratings(df), "season", "team")
+    state, got = None, {}
+    for part in ("season = '2001-02' AND GW <= 3", "season = '2001-02' AND GW > 3", "season = '2002-03'", "season = '2003-04'"):
+        now = df.filter(part)
+        got |= rows(X.fixture_ratings(now, state=state), "season", "fixture", "team")
+        state = spark.createDataFrame(X.latest_ratings(now, state=state).collect(), "division string, season string, team string, att double, dfn double")
+    assert got.keys() == whole.keys() and all(got[k] == pytest.approx(whole[k]) for k in whole)
+    assert all(rows(state, "season", "team")[k] == pytest.approx(end[k]) for k in end)
+    ahead = spark.createDataFrame([("L", "2003-04", "T1", "T2"), ("L", "2004-05", "T1", "new")], "division string, season string, team string, opponent string")
+    same, new = X.upcoming_ratings(ahead, state).orderBy("season").collect()
+    assert (same.att, same.dfn) == pytest.approx(end["2003-04", "T1"]) and (same.opp_att, same.opp_dfn) == pytest.approx(end["2003-04", "T2"])
+    assert new.att == pytest.approx(0.7 * end["2003-04", "T1"][0]) and new.opp_att == new.opp_dfn == -0.15
+
+
 def _absence_by_hand(minutes, started, points):
     counted, waiting, away, back, regular, out = [], [], 0, 10, False, []
     for i, m in enumerate(minutes):

@@ -11,6 +11,7 @@ from touchline.plans import roles
 from touchline.plans.registry import add
 from touchline.plans.roles import CTES, CURRENT, ctes
 from touchline.plans.season import tr  # noqa: F401
+from touchline.session import written
 
 app, fx, pl, sided, cap = roles.appearances, roles.fixtures, roles.players, roles.sided_appearances, roles.captures
 KEY = ["element", "season", "GW"]
@@ -88,11 +89,41 @@ def divisions(s, d):
     return roles.table(s, d, "orders").select(F.col("o_orderkey").alias("fixture"), F.col("o_orderpriority").alias("division"))
 
 
-def ratings(s, d):
-    return X.team_ratings(tm(s, d).join(divisions(s, d), "fixture"))
+def _rated_matches(s, d):
+    return tm(s, d).join(divisions(s, d), "fixture")
+
+
+# the recursion gameweek by gameweek: every team of a division before its week's matches
+_RATINGS = {
+    "dm": "SELECT tm.*, o_orderpriority AS division, coalesce(0.7 * xgf + 0.3 * gf, gf) AS y FROM tm JOIN orders ON o_orderkey = fixture",
+    "dp": "SELECT a.division, a.season, a.GW, a.fixture, a.team, b.team AS opponent, a.was_home, a.y, a.kickoff_time FROM dm a LEFT JOIN dm b ON b.season = a.season AND b.fixture = a.fixture AND b.team <> a.team",
+    "wk": "SELECT *, row_number() OVER (PARTITION BY division ORDER BY start, season, GW) AS week FROM (SELECT division, season, GW, min(kickoff_time) AS start FROM dm GROUP BY ALL)",
+    "ws": "SELECT *, first_value(season) OVER w AS s1, CASE WHEN season <> lag(season) OVER w THEN 0.7 ELSE 1 END AS keep FROM wk WINDOW w AS (PARTITION BY division ORDER BY week)",
+    "pw": "SELECT dp.*, ws.week FROM dp JOIN ws USING (division, season, GW)",
+    "te": "SELECT e.division, e.team, e.week, CASE WHEN ws.season = s1 THEN 0 ELSE -0.15 END AS entry FROM (SELECT division, team, min(week) AS week FROM (SELECT division, team, week FROM pw UNION ALL SELECT division, opponent, week FROM pw WHERE opponent IS NOT NULL) GROUP BY ALL) e JOIN ws USING (division, week)",
+    "rt": "SELECT division, team, CAST(1 AS BIGINT) AS week, CASE WHEN week = 1 THEN CAST(entry AS DOUBLE) END AS att, CASE WHEN week = 1 THEN CAST(entry AS DOUBLE) END AS dfn FROM te UNION ALL "
+    "SELECT r.division, r.team, r.week + 1, CASE WHEN te.week = r.week + 1 THEN CAST(entry AS DOUBLE) ELSE (r.att + coalesce(da, 0)) * coalesce(ws.keep, 1) END, CASE WHEN te.week = r.week + 1 THEN CAST(entry AS DOUBLE) ELSE (r.dfn + coalesce(dd, 0)) * coalesce(ws.keep, 1) END "
+    "FROM rt r JOIN te ON te.division = r.division AND te.team = r.team JOIN (SELECT division, max(week) AS weeks FROM wk GROUP BY 1) m ON m.division = r.division AND r.week <= m.weeks LEFT JOIN ws ON ws.division = r.division AND ws.week = r.week + 1 "
+    "LEFT JOIN (SELECT p.division, p.team, sum(0.05 * (y - 1.35 * exp(a.att - b.dfn + CASE WHEN was_home THEN ln(1.08) ELSE -ln(1.08) END))) AS da FROM pw p JOIN rt a ON a.division = p.division AND a.team = p.team AND a.week = p.week JOIN rt b ON b.division = p.division AND b.team = p.opponent AND b.week = p.week GROUP BY ALL) u ON u.division = r.division AND u.team = r.team "
+    "LEFT JOIN (SELECT p.division, p.opponent AS team, -sum(0.05 * (y - 1.35 * exp(a.att - b.dfn + CASE WHEN was_home THEN ln(1.08) ELSE -ln(1.08) END))) AS dd FROM pw p JOIN rt a ON a.division = p.division AND a.team = p.team AND a.week = p.week JOIN rt b ON b.division = p.division AND b.team = p.opponent AND b.week = p.week GROUP BY ALL) v ON v.division = r.division AND v.team = r.team",
+    "fr": "SELECT p.season, p.fixture, p.team, a.att, a.dfn, b.att AS opp_att, b.dfn AS opp_dfn FROM pw p JOIN rt a ON a.division = p.division AND a.team = p.team AND a.week = p.week LEFT JOIN rt b ON b.division = p.division AND b.team = p.opponent AND b.week = p.week",
+}
+_with_ratings = lambda *names, extra=None: ctes(*names, extra={**_RATINGS, **(extra or {})}).replace("WITH ", "WITH RECURSIVE ", 1)
+add("F12_team_ratings", lambda s, d: six(X.fixture_ratings(_rated_matches(s, d))),
+    _with_ratings("tm") + "SELECT season, fixture, team, round(att, 6) AS att, round(dfn, 6) AS dfn, round(opp_att, 6) AS opp_att, round(opp_dfn, 6) AS opp_dfn FROM fr")
+add("F12_latest_ratings", lambda s, d: six(X.latest_ratings(_rated_matches(s, d))),
+    _with_ratings("tm") + "SELECT rt.division, ws.season, team, round(att, 6) AS att, round(dfn, 6) AS dfn FROM rt JOIN (SELECT division, season, week FROM ws QUALIFY row_number() OVER (PARTITION BY division ORDER BY week DESC) = 1) ws ON ws.division = rt.division AND rt.week = ws.week + 1")
+
+
+def _resumed(s, d):
+    """The seasons from 2000 on, from the ratings that those before end with."""
+    m = written(_rated_matches(s, d), "matches")
+    earlier = X.latest_ratings(m.filter("season < '2000'"))
+    return X.fixture_ratings(m.filter("season >= '2000'"), state=earlier)
 
 
-add("F12_team_ratings", ratings)
+add("F12_resumed_ratings", lambda s, d: six(_resumed(s, d)),
+    _with_ratings("tm") + "SELECT season, fixture, team, round(att, 6) AS att, round(dfn, 6) AS dfn, round(opp_att, 6) AS opp_att, round(opp_dfn, 6) AS opp_dfn FROM fr WHERE season >= '2000'")
 
 
 def model_rows(s, d):
@@ -103,17 +134,20 @@ def model_rows(s, d):
 
 
 def rated_rows(s, d):
-    r = ratings(s, d).withColumnRenamed("opponent", "opp")
     rows = model_rows(s, d).join(divisions(s, d), "fixture")
-    return X.rating_features(X.attach(rows, r, ["division", "season", "GW", "team", "opp", "was_home"]))
+    return X.rating_features(X.attach(rows, X.fixture_ratings(_rated_matches(s, d)), ["season", "fixture", "team"]))
 
 
-add("F13_rating_features", lambda s, d: six(rated_rows(s, d).select(*ROW, "rt_xgf", "rt_xga", "rt_cs", "rt_pxg", "rt_pxa")))
 _M = lambda p, c: f"coalesce(({p}_x{c} + {p}_x{c}20) / 2, {p}_x{c}, {p}_x{c}20, ({p}_{c} + {p}_{c}20) / 2)"
 CTES["mr0"] = (
     "SELECT a.element, a.fixture, a.line, a.was_home, f.*, s.* EXCLUDE (season, GW, fixture, team) FROM sided a LEFT JOIN (" + first_of_gw([roll(c, 6) for c in ("started", "goals_scored", "assists", "expected_goals", "expected_assists")], exact=True).replace("SELECT element, season, GW,", "SELECT element AS e_, season AS s_, GW AS g_,", 1)
     + ") f ON f.e_ = a.element AND f.s_ = a.season AND f.g_ = a.GW LEFT JOIN str s ON s.season = a.season AND s.fixture = a.fixture AND s.team = a.team", ("sided", "fl", "str"))
 CTES["mu"] = (f"SELECT *, {_M('team', 'gf')} * {_M('opp', 'ga')} / 1.35 * CASE WHEN was_home THEN 1.08 ELSE 0.92 END AS f, {_M('opp', 'gf')} * {_M('team', 'ga')} / 1.35 * CASE WHEN was_home THEN 0.92 ELSE 1.08 END AS g, greatest(coalesce(team_xgf, team_gf), 0.3) AS t FROM mr0", ("mr0",))
+add("F13_rating_features", lambda s, d: six(rated_rows(s, d).select(*ROW, "rt_xgf", "rt_xga", "rt_cs", "rt_pxg", "rt_pxa")),
+    _with_ratings("tm", "mr0", extra={
+        "jr": "SELECT m.*, greatest(coalesce(team_xgf, team_gf), 0.3) AS t, 1.35 * exp(att - opp_dfn + CASE WHEN m.was_home THEN ln(1.08) ELSE -ln(1.08) END) AS f, 1.35 * exp(opp_att - dfn - CASE WHEN m.was_home THEN ln(1.08) ELSE -ln(1.08) END) AS g "
+        "FROM mr0 m JOIN sided s USING (element, fixture, line) LEFT JOIN fr ON fr.season = s.season AND fr.fixture = s.fixture AND fr.team = s.team"})
+    + "SELECT element, fixture, line, round(f, 6) AS rt_xgf, round(g, 6) AS rt_xga, round(started_r6 * exp(-g), 6) AS rt_cs, round(coalesce(expected_goals_r6, goals_scored_r6) / t * f, 6) AS rt_pxg, round(coalesce(expected_assists_r6, assists_r6) / t * f, 6) AS rt_pxa FROM jr")
 add("F14_matchup_features", lambda s, d: six(X.matchup_features(model_rows(s, d)).select(*ROW, "mu_xgf", "mu_xga", "mu_xgd", "mu_pxg", "mu_pxa", "mu_cs")),
     ctes("mu") + "SELECT element, fixture, line, round(f, 6) AS mu_xgf, round(g, 6) AS mu_xga, round(f - g, 6) AS mu_xgd, round(coalesce(expected_goals_r6, goals_scored_r6) / t * f, 6) AS mu_pxg, round(coalesce(expected_assists_r6, assists_r6) / t * f, 6) AS mu_pxa, round(started_r6 * exp(-g), 6) AS mu_cs FROM mu")
 add("F15_transfer_ranks", lambda s, d: six(X.transfer_ranks(app(s, d))),
