@@ -110,3 +110,21 @@ def test_trailing_run(skewed):
                 break
             run += 1
         assert got[k] == run
+
+
+def test_ranges_hold_about_as_many_values_whatever_they_are(spark):
+    """A million distinct values between 0 and 1, and as many spread over eighteen powers of ten."""
+    df = spark.range(1_000_000).selectExpr("id", "(id * 7919 % 1000003) / 1000003D AS v").selectExpr("id % 2 AS k", "IF(id % 2 = 0, v, pow(10, 18 * v - 9)) AS v")
+    sizes = O.value_ranges(df, ["k"], "v", "r").groupBy("k", "r").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("k", "r").toPandas()
+    for _, part in sizes.groupby("k"):
+        assert len(part) > 0.95 * O.RANGES and part["n"].max() < 2.5 * 500_000 / O.RANGES
+        assert (part["lo"].to_numpy()[1:] > part["hi"].to_numpy()[:-1]).all()
+
+
+def test_ranks_of_few_values_and_of_nothing(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 3.0), (None, 2.0), ("b", None)], "k string, v double")
+    got = {(r.k, r.v): (r.r_lt, r.r_eq, r.r_n) for r in O.value_ranks(df, ["k"], "v").collect()}
+    assert got == {("a", 1.0): (0, 2, 3), ("a", 3.0): (2, 1, 3), (None, 2.0): (0, 1, 1), ("b", None): (None, None, None)}
+    assert O.value_ranks(df.limit(0), ["k"], "v").count() == 0
+    whole = {r.v: (r.lt, r.eq, r.n) for r in O.ranked_values(df, [], "v").collect()}
+    assert whole == {1.0: (0, 2, 4), 2.0: (2, 1, 4), 3.0: (3, 1, 4)}

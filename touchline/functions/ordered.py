@@ -29,6 +29,21 @@ def value_bin(value: str | Column, per_fold: int = 64) -> Column:
     return (F.signum(col) * F.floor(F.log1p(F.abs(col)) * F.lit(float(per_fold)))).cast("long")
 
 
+#: Ranges a group's values are cut into, a power of two, and how finely the sketch that cuts them looks.
+RANGES, SKETCH = 256, 2000
+
+
+def value_ranges(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
+    """Add the number of the range of its group that a value falls in: ranges rise with the value and hold about as
+    many rows each, whatever the values look like. Each group's edges come from a quantile sketch that the map
+    tasks build and the reducers merge; a group of few values has as many ranges as values."""
+    edges = df.groupBy(*group).agg(F.percentile_approx(F.col(value).cast("double"), [i / RANGES for i in range(1, RANGES)], SKETCH).alias("__edges"))
+    # how many edges lie below, by halving
+    steps = F.array(*[F.lit(RANGES >> k) for k in range(1, RANGES.bit_length())])
+    below = F.aggregate(steps, F.lit(0), lambda at, n: at + F.when(F.get(F.col("__edges"), at + n - 1) < F.col(value).cast("double"), n).otherwise(0))
+    return match_keys(df, edges, group).withColumn(out, below).drop("__edges")
+
+
 def task_spread(df: DataFrame, *keys: str) -> DataFrame:
     """Partition by keys over the configured number of shuffle partitions. Naming the number keeps
     small but compute-heavy Python stages from being merged into a few tasks."""
@@ -95,11 +110,13 @@ def ranked_values(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     exist at all.
 
     Equal values are folded into one counted row before anything is sorted, and the distinct
-    values of a group are ordered inside value bins, so neither ties nor size make a hot task.
+    values of a group are ordered inside ranges of about as many values, so neither ties nor size make a hot task.
     """
+    if not group:
+        return ranked_values(df.withColumn("__all_rows", F.lit(0)), ["__all_rows"], value).drop("__all_rows")
     keep = df.filter(F.col(value).isNotNull())
     counts = keep.groupBy(*group, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__eq"))
-    binned = counts.withColumn("__bin", value_bin("__v"))
+    binned = value_ranges(counts, group, "__v", "__bin")
     bins = binned.groupBy(*group, "__bin").agg(F.sum("__eq").alias("__m"))
     over_bins = Window.partitionBy(*group).orderBy("__bin")
     bins = bins.select(

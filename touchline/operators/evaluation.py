@@ -222,13 +222,13 @@ def paired_differences(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataF
 def shuffled(df: DataFrame, cols: Sequence[str], key: Sequence[str], seed: int) -> DataFrame:
     """``df`` with the listed columns jointly permuted over its rows.
 
-    Rows are numbered in two hash orders; a row takes the values of the row with its number in
-    the other order. Hash bins keep the numbering parallel."""
+    Rows are numbered in the orders of two digests of key and seed; a row takes the values of the row with its
+    number in the other order. Beginnings of the digest keep the numbering parallel."""
     one = df.withColumn("__g", F.lit(1))
 
     def numbered(frame: DataFrame, s: int, out: str) -> DataFrame:
-        h = frame.withColumn("__h", F.xxhash64(*key, F.lit(s)))
-        return row_positions(h, ["__g"], [F.col("__h"), *[F.col(k) for k in key]], [(F.shiftright("__h", 54), True)], out).drop("__h")
+        h = frame.withColumn("__h", F.md5(F.concat_ws("|", F.lit(str(s)), *[F.col(k).cast("string") for k in key])))
+        return row_positions(h, ["__g"], [F.col("__h"), *[F.col(k) for k in key]], [(F.substring("__h", 1, 3), True)], out).drop("__h")
 
     rest = [c for c in df.columns if c not in cols]
     left = numbered(one.select("__g", *rest), seed, "__n")
@@ -236,7 +236,7 @@ def shuffled(df: DataFrame, cols: Sequence[str], key: Sequence[str], seed: int)
     return left.join(right, "__n").select(*df.columns)
 
 
-def permutation_importance(predict: Callable[[DataFrame], DataFrame], rows: DataFrame, groups: dict[str, Sequence[str]], key: Sequence[str], repeats: int = 1, seed: int = 1) -> DataFrame:
+def permutation_importance(predict: Callable[[DataFrame], DataFrame], rows: DataFrame, groups: dict[str, Sequence[str]], key: Sequence[str], repeats: int = 3, seed: int = 1) -> DataFrame:
     """How much the error grows and the top twenty drop when a group of inputs is permuted."""
     def score(frame: DataFrame) -> DataFrame:
         p = predict(frame)

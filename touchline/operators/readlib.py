@@ -519,9 +519,9 @@ def opponent_strength(tm: DataFrame, until: str, matches: int = 5, default: floa
 
 
 def random_players(stats: DataFrame, season: str, floor: int = 20, count: int = 4, seed: int = 7) -> DataFrame:
-    """A repeatable random choice of players above a points floor: order by a hash with a seed."""
+    """A repeatable random choice of players above a points floor: order by a digest of seed and name."""
     s = _pick(stats, season=season).filter(F.col("total_points") >= floor)
-    return s.select("name", "position", "total_points").orderBy(F.xxhash64("name", F.lit(seed)), "name").limit(count)
+    return s.select("name", "position", "total_points").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "name")), "name").limit(count)
 
 
 def quiz(stats: DataFrame, fixtures: DataFrame) -> DataFrame:

@@ -101,7 +101,16 @@ add("E10_paired_summary", lambda s, d: six(E.paired_summary(E.pick_metrics(er(s,
 add("E10_paired_differences", lambda s, d: six(E.paired_differences(E.pick_metrics(er(s, d)), E.pick_metrics(er2(s, d)), ["top20", "mae"])),
     ctes("er", "er2", extra=pick_ctes("er") | pick_ctes("er2", "z")) + "SELECT season, GW, m.\"rows\", round(m.top20 - zm.top20, 6) AS top20, round(m.mae - zm.mae, 6) AS mae FROM m JOIN zm USING (season, GW)")
 _OUT = ["total_points", "minutes", "goals_scored", "expected_goals"]
-add("E12_lookahead_audit", lambda s, d: E.lookahead_audit(app(s, d), lambda a: X.rolling_before_period(a, ["element"], X.PERIOD, "kickoff_time", X.TIE, ["total_points", "minutes"], (3,), name="{stat}_r{w}"), _OUT, "1999-00", 5, KEY, ROW))
+add("E12_lookahead_audit", lambda s, d: E.lookahead_audit(app(s, d), lambda a: X.rolling_before_period(a, ["element"], X.PERIOD, "kickoff_time", X.TIE, ["total_points", "minutes"], (3,), name="{stat}_r{w}"), _OUT, "1999-00", 5, KEY, ROW),
+    ctes("app", extra={
+        "la": "SELECT * FROM app WHERE season = '1999-00' AND GW >= 5",
+        "lx": "SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '5', element, fixture, line)), element, fixture, line) AS n FROM la",
+        "ly": "SELECT total_points AS tp, minutes AS mi, row_number() OVER (ORDER BY md5(concat_ws('|', '7924', element, fixture, line)), element, fixture, line) AS n FROM la",
+        "sc": "SELECT element, season, GW, kickoff_time, fixture, line, total_points, minutes FROM app WHERE NOT (season = '1999-00' AND GW >= 5) UNION ALL SELECT element, season, GW, kickoff_time, fixture, line, tp, mi FROM lx JOIN ly USING (n)",
+        **{o: f"SELECT * FROM (SELECT element, season, GW, avg(total_points) OVER w AS p, avg(minutes) OVER w AS m, row_number() OVER (PARTITION BY element, season, GW ORDER BY kickoff_time, fixture, line) AS k FROM {t} WINDOW w AS (PARTITION BY element ORDER BY kickoff_time, fixture, line ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) WHERE k = 1" for o, t in (("fa", "app"), ("fb", "sc"))},
+        "fj": "SELECT season, GW, (abs(fa.p - fb.p) <= 1e-9 OR (fa.p IS NULL AND fb.p IS NULL)) AND (abs(fa.m - fb.m) <= 1e-9 OR (fa.m IS NULL AND fb.m IS NULL)) AS same FROM fa JOIN fb USING (element, season, GW)"})
+    + "SELECT count(*) FILTER (WHERE season < '1999-00' OR (season = '1999-00' AND GW <= 5)) AS rows_up_to_gw, count(*) FILTER (WHERE (season < '1999-00' OR (season = '1999-00' AND GW <= 5)) AND NOT coalesce(same, false)) AS changed_up_to_gw, "
+      "count(*) FILTER (WHERE season = '1999-00' AND GW = 6) AS rows_next_gw, count(*) FILTER (WHERE season = '1999-00' AND GW = 6 AND NOT coalesce(same, false)) AS changed_next_gw FROM fj")
 add("E13_single_feature_ranking", lambda s, d: six(E.single_feature_ranking(er(s, d), ["influence", "threat", "bps"], F.col("season") < "1999-00")),
     ctes("er", extra={"sg": "SELECT " + ", ".join(f"CASE WHEN coalesce(corr({c}, y), 0) >= 0 THEN 1 ELSE -1 END AS {c}" for c in ("influence", "threat", "bps")) + " FROM er WHERE season < '1999-00'",
         "u": " UNION ALL ".join(f"SELECT '{c}' AS feature, season, GW, name, CAST(er.{c} * sg.{c} AS DOUBLE) AS v, y FROM er, sg WHERE season >= '1999-00'" for c in ("influence", "threat", "bps")),

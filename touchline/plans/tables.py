@@ -325,7 +325,8 @@ add("G39_next_fixture", lambda s, d: R.next_fixture(fx(s, d), "2001-06-20"),
     + "SELECT team, id, opponent, is_home FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY kickoff_time, id) AS rn FROM u WHERE kickoff_time > TIMESTAMP '2001-06-20') WHERE rn = 1")
 add("G40_opponent_strength", lambda s, d: _rounded(R.opponent_strength(_tm(s, d), "1995-03-01")),
     ctes("tm") + "SELECT t.team, round(coalesce(c, 1.5), 6) AS avg_conceded, round(coalesce(s, 1.5), 6) AS avg_scored FROM (SELECT DISTINCT team FROM tm) t LEFT JOIN (SELECT team, avg(ga) AS c, avg(gf) AS s FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY kickoff_time DESC, fixture DESC) AS rn FROM tm WHERE kickoff_time <= TIMESTAMP '1995-03-01') WHERE rn <= 5 GROUP BY team) USING (team)")
-add("G41_random_players", lambda s, d: R.random_players(ss(s, d), SEASON))
+add("G41_random_players", lambda s, d: R.random_players(ss(s, d), SEASON),
+    ctes("ss") + f"SELECT name, position, total_points FROM ss WHERE season = '{SEASON}' AND total_points >= 20 ORDER BY md5(concat_ws('|', '7', name)), name LIMIT 4")
 _QUIZ = [("points", "total_points", "Who had the most points in ", " had ", " points."), ("goals", "goals", "Who scored the most goals in ", " scored ", " goals."), ("assists", "assists", "Who gave the most assists in ", " gave ", " assists."), ("bonus", "bonus", "Who won the most bonus points in ", " won ", " bonus points."), ("clean_sheets", "clean_sheets", "Who kept the most clean sheets in ", " kept ", " clean sheets."), ("cards", "yellow_cards", "Who saw the most yellow cards in ", " saw ", " yellow cards.")]
 add("G42_quiz", lambda s, d: R.quiz(ss(s, d), fx(s, d)),
     ctes("ss", "fx") + " UNION ALL ".join(
