@@ -49,18 +49,14 @@ def season_stats(app: DataFrame) -> DataFrame:
     sums |= {"games": F.count(F.lit(1)), "appearances": F.count_if(played)}
     own = {f"{c.removesuffix('_index')}_played_sum": F.sum(F.when(played, F.col(c))) for c in PLAYED_ONLY}
     most = {"max_value": F.max("value"), "max_selected": F.max("selected")}
-    # plain sums per club and position first: they are combined in the map tasks, and what is left of a
-    # player's season are a few rows, of which the usual club and position are the ones with most matches
-    parts = app.groupBy("name", "season", "team", "position").agg(*[c.alias(n) for n, c in (sums | own | most).items()])
-    parts = parts.withColumns({f"__{c}": F.sum("games").over(Window.partitionBy("name", "season", c)) for c in ("team", "position")})
-
-    def usual(c: str) -> Column:
-        return F.min(F.when(F.col(c).isNotNull(), F.struct((-F.col(f"__{c}")).alias("n"), F.col(c).alias("v"))))["v"].alias(c)
-
-    return parts.groupBy("name", "season").agg(
-        *[F.sum(n).alias(n) for n in sums if n not in ("games", "appearances")], F.sum("games").alias("games"), *[F.max(n).alias(n) for n in most],
-        F.sum("appearances").alias("appearances"), *[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in own], usual("team"), usual("position"),
+    # all sums in one hash aggregation; club and position come from counts, which are narrow
+    total = app.groupBy("name", "season").agg(
+        *[c.alias(n) for n, c in sums.items() if n != "appearances"], *[c.alias(n) for n, c in most.items()], sums["appearances"].alias("appearances"),
+        *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in own.items()],
     )
+    for c in ("team", "position"):
+        total = match_keys(total, most_common(app, ["name", "season"], c, c), ["name", "season"])
+    return total
 
 
 def team_matches(app: DataFrame) -> DataFrame:
