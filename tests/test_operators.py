@@ -13,7 +13,9 @@ from conftest import rows
 from touchline.functions.words import ACCENTED, PLAIN, normalize_name, slugify
 from touchline.operators import evaluation as E
 from touchline.operators import league as L
+from touchline.operators import mentions as W
 from touchline.operators import models as M
+from touchline.operators import neighbours as N
 from touchline.operators import players as P
 from touchline.operators import temporal as X
 from touchline.operators import text as T
@@ -236,7 +238,7 @@ def test_nearest_equals_brute_force(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(60, 8))
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, v array<double>")
-    got = T.nearest(df.filter("id < 7"), df.filter("id >= 7"), "id", "v", 4, 11)
+    got = N.nearest(df.filter("id < 7"), df.filter("id >= 7"), "id", "v", 4, probes=2)
     got = {k: list(g.sort_values("rank_no")["item_id"]) for k, g in got.toPandas().groupby("query_id")}
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     for i in range(7):
@@ -316,9 +318,10 @@ def test_partition_overwrite_replaces_one_season(spark, tmp_path):
 def test_mentions_of_any_length(spark):
     texts = spark.createDataFrame([(1, "So Ana Maria de la Cruz met Ana, and maria"), (2, None), (3, "")], "doc_id long, text string")
     names = spark.createDataFrame([("Ana Maria de la Cruz", 1), ("Ana", 5), ("Maria", 2), ("Maria de la", 1)], "name string, popularity long")
-    got = sorted((r["doc_id"], r["at"], r["words"], r["name"]) for r in T.mentions(texts, names, "doc_id").collect())
-    assert got == [(1, 1, 5, "Ana Maria de la Cruz"), (1, 7, 1, "Ana"), (1, 9, 1, "Maria")]
-    assert T.mentions(texts, names.limit(0), "doc_id").count() == 0
+    got = sorted((r["doc_id"], r["at"], r["words"], r["name"]) for r in W.mentions(texts, names, "doc_id").collect())
+    # a full name counts where it first stands; words of three letters mean nobody on their own
+    assert got == [(1, 1, 5, "Ana Maria de la Cruz"), (1, 9, 1, "Maria")]
+    assert W.mentions(texts, names.limit(0), "doc_id").count() == 0
 
 
 def test_links_by_an_unambiguous_name_alone(spark):
@@ -372,10 +375,26 @@ def test_leave_one_out_is_exact(spark):
                 assert abs(got[team, r[1]] - (y.mean() + ((np.array(r[1:3]) - x.mean(0)) / x.std(0)) @ w)) < 1e-9
 
 
+def test_team_translation_of_several_inputs_and_targets(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 4)) * [1, 1, 900, 5]
+    y = np.column_stack([x @ [1, 0, 0.001, 0], x @ [0, 2, 0, 0.1], rng.normal(size=40)])
+    rows = [(f"t{i % 11}", *map(float, a), *map(float, b)) for i, (a, b) in enumerate(zip(x, y))]
+    cols, targets = ["i0", "i1", "i2", "i3"], ["y0", "y1", "y2"]
+    df = spark.createDataFrame(rows, "team string, " + ", ".join(f"{c} double" for c in cols + targets))
+    for r in M.team_translation(df, cols, targets).collect():
+        rest = np.array([int(q[0][1:]) != int(r["team"][1:]) for q in rows])
+        mean, sd = x[rest].mean(0), x[rest].std(0)
+        z = (x[rest] - mean) / sd
+        for k, t in enumerate(targets):
+            w = np.linalg.solve(z.T @ z + np.eye(4), z.T @ (y[rest, k] - y[rest, k].mean()))
+            assert r[f"{t}_predicted"] == pytest.approx(y[rest, k].mean() + ((np.array([r[c] for c in cols]) - mean) / sd) @ w, abs=1e-8)
+
+
 def test_typos_leave_beginnings_alone(spark):
     vocabulary = spark.createDataFrame([(w,) for w in ("haaland", "salah", "bruno", "saka")], "word string")
     words = spark.createDataFrame([(w,) for w in ("haalan", "haland", "salahh", "brun", "bruns", "sak", "xxxx", None)], "word string")
-    got = {r["word"]: r["corrected"] for r in T.correct_typos(words, vocabulary).collect()}
+    got = {r["word"]: r["corrected"] for r in W.correct_typos(words, vocabulary).collect()}
     assert got == {"haland": "haaland", "salahh": "salah", "bruns": "bruno"}
 
 

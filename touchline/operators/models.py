@@ -204,6 +204,14 @@ def leave_one_out(df: DataFrame, cols: Sequence[str], target: str, alpha: float
     return out.withColumn("predicted", reduce(lambda a, i: a + x[i] * F.col("__w")[i], range(k), F.col("__b"))).drop("__w", "__b")
 
 
+def team_translation(df: DataFrame, cols: Sequence[str], targets: Sequence[str], alpha: float = 1.0) -> DataFrame:
+    """Rows with ``<target>_predicted`` for every target, each by a model that never saw the team's rows."""
+    out = df
+    for t in targets:
+        out = leave_one_out(out, cols, t, alpha).withColumnRenamed("predicted", f"{t}_predicted")
+    return out
+
+
 def _fit_ratings(home: np.ndarray, away: np.ndarray, sums: np.ndarray, attack: np.ndarray, defence: np.ndarray, level: float, edge: float, sd: float) -> tuple:
     """Attack, defence, goal level and home edge that maximise the penalised Poisson likelihood.
 

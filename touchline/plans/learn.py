@@ -124,6 +124,22 @@ _RIDGE = {
 add("M8_leave_one_out", _m8, ctes("app", extra=_RIDGE) + "SELECT t.team, season, round(y, 6) AS y, round(my + wa * (a - ma) + wb * (b - mb), 6) AS predicted FROM t LEFT JOIN w USING (team)")
 
 
+def _translation(s, d):
+    """Promoted clubs' sums: the first half of a season stands for the lower tier, the second for the upper one."""
+    lower = F.col("GW") <= 6
+    part = lambda c, half: F.sum(F.when(half, F.col(c))).cast("double")
+    t = app(s, d).groupBy("team", "season").agg(
+        part("goals_scored", lower).alias("g"), part("assists", lower).alias("a"), part("minutes", lower).alias("lower_minutes"), F.count_if(lower).alias("player_count"),
+        part("goals_scored", ~lower).alias("tg"), part("assists", ~lower).alias("ta"), part("total_points", ~lower).alias("tp"))
+    n = F.when(F.col("player_count") > 0, F.col("player_count"))
+    return t.select("team", "season", "lower_minutes", F.col("player_count").cast("double").alias("player_count"),
+                    *[(F.col(c) / n).alias(o) for c, o in (("g", "lower_goals_per_match"), ("a", "lower_assists_per_match"), ("tg", "top_goals_per_match"), ("ta", "top_assists_per_match"), ("tp", "top_points_per_player"))])
+
+
+add("M8_team_translation", lambda s, d: six(M.team_translation(
+    _translation(s, d), ["lower_goals_per_match", "lower_assists_per_match", "lower_minutes", "player_count"], ["top_goals_per_match", "top_assists_per_match", "top_points_per_player"])))
+
+
 def _m9(s, d):
     return six(M.expected_goals(M.poisson_ratings(fx(s, d)), fx(s, d).filter("status = 'scheduled'")))
 

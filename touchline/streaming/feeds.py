@@ -1,6 +1,6 @@
 """Streams: page views, captures before a deadline, latest live state; and their batch follow-ups.
 
-Every stream reads a folder or table source, keeps its state behind a watermark, and writes
+Every stream reads a folder or table source, keeps no state but its source's progress, and writes
 micro-batches with their number to the shared folder. Running one again from its checkpoint adds
 nothing twice, because a batch overwrites its own partition.
 """
