@@ -6,6 +6,7 @@ import datetime as dt
 
 import pytest
 from touchline.operators import temporal as X
+from touchline.operators import text as T
 from touchline.plans import learn
 
 FOLDER = "/root/testdata/sf0.001"
@@ -60,3 +61,15 @@ def test_ratings_pass_in_batches(spark, batch):
             level[r["team"]] = (level[r["team"]][0] + gap, level[r["team"]][1])
             level[other] = (level[other][0], level[other][1] - gap)
     assert end.keys() == level.keys() and all(end[t] == pytest.approx(level[t]) for t in level)
+
+
+def test_squads_are_compared_only_where_a_link_is_possible(spark):
+    players = [(f"Jo Smith {i}", i) for i in range(40)]
+    day = lambda i, k: dt.date(2000, 1, 1 + (i + k) % 28)
+    other = [("s", "t", i, n, day(i, k), 60 + i) for n, i in players for k in range(3)] + [("s", "t", 99, "Al Undated", None, 5)]
+    ours = [("s", "t", n, day(i, k), 60 + i) for n, i in players for k in range(3)] + [("s", "t", "Al Undated", day(1, 1), 80)]
+    got = T.link_players(spark.createDataFrame(other, "season string, team string, player_id int, player_name string, date date, minutes int"),
+                         spark.createDataFrame(ours, "season string, team string, name string, date date, minutes int"))
+    assert {(r["player_id"], r["name"], r["kind"]) for r in got.collect()} == {(i, n, 1) for n, i in players} | {(99, "Al Undated", 0)}
+    # the names of a pair are not normalised again with every pair, and no list is walked by a fold
+    assert "aggregate(" not in _plan(got)
