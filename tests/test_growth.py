@@ -73,3 +73,11 @@ def test_squads_are_compared_only_where_a_link_is_possible(spark):
     assert {(r["player_id"], r["name"], r["kind"]) for r in got.collect()} == {(i, n, 1) for n, i in players} | {(99, "Al Undated", 0)}
     # the names of a pair are not normalised again with every pair, and no list is walked by a fold
     assert "aggregate(" not in _plan(got)
+
+
+def test_clubs_with_one_beginning_do_not_meet(spark):
+    teams = spark.createDataFrame([(f"Supplier#{i:06d}",) for i in range(300)], "team string")
+    source = spark.createDataFrame([(f"Supplier#{i:06d} United",) for i in range(300)] + [("plier 000007",), ("",)], "source string")
+    got = T.match_clubs(source, teams, spark.createDataFrame([], "alias string, team string"))
+    assert {(r["source"], r["team"], r["tier"]) for r in got.collect()} == {(f"Supplier#{i:06d} United", f"Supplier#{i:06d}", 3) for i in range(300)} | {("plier 000007", "Supplier#000007", 3)}
+    assert T._pieces(teams, "team", teams, "team").count() == 300
