@@ -81,3 +81,29 @@ def test_clubs_with_one_beginning_do_not_meet(spark):
     got = T.match_clubs(source, teams, spark.createDataFrame([], "alias string, team string"))
     assert {(r["source"], r["team"], r["tier"]) for r in got.collect()} == {(f"Supplier#{i:06d} United", f"Supplier#{i:06d}", 3) for i in range(300)} | {("plier 000007", "Supplier#000007", 3)}
     assert T._pieces(teams, "team", teams, "team").count() == 300
+
+
+def test_names_are_searched_without_all_pairs(spark):
+    words = ["large", "ring", "hot", "bolt"]
+    names = [(i, f"{words[i % 4]} {words[i // 4 % 4]} {i}", float(i * 37 % 101)) for i in range(400)] + [(500, "ring large", 1.0)]
+    asked = [(1, "large ring 17"), (2, "la ri"), (3, "rin"), (4, "ring zzz"), (5, "large bolt zzz"), (6, "la ri"), (7, "ring ring"), (8, "zzz"), (9, "ring large"), (10, "16")]
+    entries = spark.createDataFrame(names, "entry_id int, name string, popularity double")
+    got = T.resolve_names(spark.createDataFrame(asked, "query_id int, query string"), entries)
+    want = set()
+    for q, text in asked:
+        qt, found = text.split(), []
+        for e, name, popularity in names:
+            nt = name.split()
+            n = sum(any(t.startswith(w) or (len(w) >= 3 and w in t) for t in nt) for w in qt)
+            at = 0
+            for w in qt:
+                at = next((i + 1 for i, t in enumerate(nt) if i >= at and t.startswith(w)), -1) if at >= 0 else -1
+            if n:
+                tier = 4 if name == text else 3 if at > 0 else 2 if n == len(qt) else 1
+                found.append((-tier, -n, -popularity, e, name))
+        most = max((-f[0] for f in found), default=0)
+        found = sorted(f for f in found if most < 2 or f[0] <= -2)[:10]
+        want |= {(q, e, name, -t, -m, k + 1) for k, (t, m, _, e, name) in enumerate(found)}
+    assert {tuple(r[c] for c in ("query_id", "entry_id", "name", "tier", "matched", "rank_no")) for r in got.collect()} == want
+    frequent = T.resolve_names(spark.createDataFrame([(i, "ring zzz") for i in range(50)], "query_id int, query string"), entries)
+    assert frequent.count() == 500
