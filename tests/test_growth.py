@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from touchline.operators import derived as D
 from touchline.operators import temporal as X
 from touchline.operators import text as T
 from touchline.plans import learn
@@ -107,3 +108,19 @@ def test_names_are_searched_without_all_pairs(spark):
     assert {tuple(r[c] for c in ("query_id", "entry_id", "name", "tier", "matched", "rank_no")) for r in got.collect()} == want
     frequent = T.resolve_names(spark.createDataFrame([(i, "ring zzz") for i in range(50)], "query_id int, query string"), entries)
     assert frequent.count() == 500
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_votes_of_clubs_meet_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(D, "VOTE_BLOCK", block)
+    monkeypatch.setattr(D, "VOTE_DATES", 2)
+    day = lambda k: dt.date(2000, 1, 1 + k)
+    games = spark.createDataFrame([(day(k), c) for c in (1, 2, 3) for k in range(c, c + 5)] + [(None, 1), (day(1), 4), (day(9), 4)], "date date, club_id int")
+    ours = spark.createDataFrame([(day(k), t) for t, f in (("b", 1), ("a", 1), ("c", 2), ("d", 9)) for k in range(f, f + 5)] + [(day(9), "d"), (None, "a")], "date date, team string")
+    got = D.club_votes(games, ours)
+    # nobody of ours is at home on club 3's last date, so it does not count
+    assert {tuple(r) for r in got.collect()} == {(1, "a", 5, 5, False), (2, "c", 5, 5, True), (3, "c", 4, 4, True), (4, "d", 2, 2, False)}
+
+
+def test_methods_are_made_once(spark):
+    assert "Join" not in _plan(learn._methods(spark, FOLDER)) and "Window" not in _plan(learn._methods(spark, FOLDER))
