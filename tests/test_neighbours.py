@@ -63,3 +63,28 @@ def test_no_items(spark):
     df = frame(spark, made_up(5, 20))
     assert N.nearest(df, df.limit(0), "id", "v", 3).count() == 0
     assert N.nearest(df.limit(0), df, "id", "v", 3).count() == 0
+
+
+@pytest.mark.parametrize("tile", [3])
+def test_lists_are_looked_into_in_bundles_and_tiles(spark, monkeypatch, tile):
+    monkeypatch.setattr(N, "TILE", tile)
+    monkeypatch.setattr(N, "WIDE", 40)
+    monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "SAMPLE", 30)
+    rows = made_up(5, 200)
+    queries = [r for r in rows if r[0] % 7 == 0]
+    got = N.nearest(frame(spark, queries), frame(spark, rows), "id", "v", 4, apart="name", probes=1)
+    assert {(r["query_id"], r["item_id"], r["rank_no"], -r["similarity"]) for r in got.collect()} == plain(queries, rows, 4, apart=3)
+
+
+def test_centroids_look_at_the_lowest_hashes_only(spark, monkeypatch):
+    """The sample is the rows of the lowest hashes, and not every partition sends as many rows to the driver."""
+    rows = frame(spark, made_up(6, 600))
+    taken = []
+    limit = type(rows).limit
+    monkeypatch.setattr(type(rows), "limit", lambda self, n: taken.append(self.count()) or limit(self, n))
+    monkeypatch.setattr(N, "SAMPLE", 100)
+    few = N.centroids(rows, "id", "v", 5)
+    assert few.shape == (5, 8) and 100 <= taken[0] < 200
+    monkeypatch.setattr(N, "SAMPLE", 10**6)
+    assert np.allclose(few, N.centroids(rows.join(limit(rows.filter("v IS NOT NULL").selectExpr("id", "xxhash64(id) AS h").orderBy("h", "id"), 100), "id"), "id", "v", 5))
