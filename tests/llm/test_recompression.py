@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import compare, connect
 
@@ -106,3 +107,9 @@ def test_empty_table(spark):
 def test_whole_table_against_sql(spark):
     folder = "/root/testdata/sf0.001"
     compare(QUERIES["op13_recompression"](spark, folder), connect(folder), ORACLES["op13_recompression"])
+
+
+def test_only_a_stretch_of_a_batch_is_taken_apart_at_a_time(monkeypatch):
+    monkeypatch.setattr(R, "CHUNK", 10)
+    batch = pa.RecordBatch.from_pydict({"n": [1, 2, 3, 4, 5], "t": ["aaaa", None, "bbbbbb", "é" * 8, "c"]})
+    assert [c.column("n").to_pylist() for c in R.chunks(batch, "t")] == [[1, 2, 3], [4], [5]]

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,7 +38,7 @@ from touchline.llm.common import forget, kept, numbered, table
 
 WINDOW = 50
 #: Bytes of text whose arrays are in memory at once; a longer text is a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _U = np.uint64
 _NONE = _U((1 << 64) - 1)
 #: Words of the symbols that windows are known by where there are any.
@@ -197,16 +198,16 @@ def ranges(line: Line, window: int = WINDOW) -> dict[str, np.ndarray]:
     }
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Stretches of a batch whose texts have about CHUNK bytes."""
+def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Stretches of a batch whose texts have about CHUNK bytes; only one of them is Python objects at a time."""
     at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        size += n or 0
         if size >= CHUNK:
-            yield at, i + 1
+            yield batch.slice(at, i + 1 - at)
             at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+    if at < batch.num_rows:
+        yield batch.slice(at)
 
 
 _SIGNED = np.int64
@@ -223,9 +224,8 @@ def range_index(docs: DataFrame, row: str, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 36
         for batch in batches:
-            texts = batch.column("t").to_pylist()
-            for a, b in chunks(texts):
-                words = [split_words(t) for t in texts[a:b]]
+            for given in chunks(batch, "t"):
+                words = [split_words(t) for t in given.column("t").to_pylist()]
                 found = ranges(Line(words), window)
                 cuts = pa.array(np.searchsorted(found["document"], np.arange(len(words) + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(found[c].view(_SIGNED))) for c in ("name", "content")]
@@ -233,7 +233,6 @@ def range_index(docs: DataFrame, row: str, window: int = WINDOW) -> DataFrame:
                 own = [pa.array(np.arange(key, key + len(words))), pa.array([len(w) for w in words], pa.int64())]
                 own.append(pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words]))
                 key += len(words)
-                given = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([given.column("row"), given.column("doc_id"), *own, *lists], ["row", "doc_id", *_INDEX.names])
 
     slim = docs.select(F.col(row).alias("row"), "doc_id", F.col("text").alias("t"))
@@ -273,18 +272,17 @@ def compared_windows(suspects: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, los, his = (batch.column(c).to_pylist() for c in ("text", "lo", "hi"))
-            for a, b in chunks(texts):
-                line = Line([split_words(t) for t in texts[a:b]])
-                lo = [np.asarray(x, np.int64) + s for x, s in zip(los[a:b], line.starts)]
-                n = [np.asarray(y, np.int64) + s - x + 1 for x, y, s in zip(lo, his[a:b], line.starts)]
-                document = np.repeat(np.arange(b - a), [int(x.sum()) for x in n])
+            for given in chunks(batch, "text"):
+                line = Line([split_words(t) for t in given.column("text").to_pylist()])
+                lo = [np.asarray(x, np.int64) + s for x, s in zip(given.column("lo").to_pylist(), line.starts)]
+                n = [np.asarray(y, np.int64) + s - x + 1 for x, y, s in zip(lo, given.column("hi").to_pylist(), line.starts)]
+                document = np.repeat(np.arange(given.num_rows), [int(x.sum()) for x in n])
                 lo, n = np.concatenate(lo), np.concatenate(n)
                 places = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 names = [pa.array(line.hasher(w)(places, places + window).view(_SIGNED)) for w in (0, 1)]
-                own = pa.array(a + document)
+                own = pa.array(document)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").take(own), batch.column("doc_id").take(own), pa.array((places - line.starts[document]).astype(np.int32)), *names], schema
+                    [given.column("key").take(own), given.column("doc_id").take(own), pa.array((places - line.starts[document]).astype(np.int32)), *names], schema
                 )
 
     doc_id = suspects.schema["doc_id"].dataType.simpleString()
@@ -319,9 +317,9 @@ def repeated_words(docs: DataFrame, row: str, window: int = WINDOW) -> DataFrame
     both = suspects.drop("lo", "hi", "sha256").join(places, "key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for given in (c for batch in batches for c in chunks(batch, "text")):
             n_removed, sha, left = [], [], []
-            for text, lo, hi, places in zip(*(batch.column(c).to_pylist() for c in ("text", "whole_lo", "whole_hi", "places"))):
+            for text, lo, hi, places in zip(*(given.column(c).to_pylist() for c in ("text", "whole_lo", "whole_hi", "places"))):
                 words = split_words(text)
                 gone = _covered(len(words), window, lo, hi, places or [])
                 joined = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
@@ -329,7 +327,7 @@ def repeated_words(docs: DataFrame, row: str, window: int = WINDOW) -> DataFrame
                 sha.append(hashlib.sha256(joined).hexdigest())
                 left.append(joined.decode() if gone.any() else None)
             own = [pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(left, pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "n_words")), *own], ["row", "doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([*(given.column(c) for c in ("row", "doc_id", "n_words")), *own], ["row", "doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     types = ", ".join(f"{c} {index.schema[c].dataType.simpleString()}" for c in ("row", "doc_id", "n_words"))
     changed = both.select("row", "doc_id", "n_words", "text", "whole_lo", "whole_hi", "places").mapInArrow(run, f"{types}, n_removed long, kept_sha256 string, kept string")
