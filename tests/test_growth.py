@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 import pytest
+from pyspark.sql import functions as F
+from touchline.functions import ordered as O
 from touchline.operators import derived as D
+from touchline.operators import evaluation as E
+from touchline.operators import models as M
 from touchline.operators import temporal as X
 from touchline.operators import text as T
 from touchline.plans import learn
@@ -124,3 +129,31 @@ def test_votes_of_clubs_meet_in_blocks(spark, monkeypatch, block):
 
 def test_methods_are_made_once(spark):
     assert "Join" not in _plan(learn._methods(spark, FOLDER)) and "Window" not in _plan(learn._methods(spark, FOLDER))
+
+
+def test_vectors_are_written_before_they_are_clustered(spark):
+    df = spark.range(200).selectExpr("id % 40 AS name", "CAST(id * 7 % 13 AS DOUBLE) AS a", "CAST(id % 5 AS DOUBLE) AS b").groupBy("name").agg({"a": "sum", "b": "max"}).toDF("name", "v_a", "v_b")
+    out, score = M.cluster(df, ["a", "b"], 3)
+    assert "Aggregate" not in _plan(out) and out.columns == ["name", "v_a", "v_b", "cluster"] and out.count() == 40 and -1 <= score <= 1
+
+
+def test_values_of_few_groups_meet_their_edges_in_parts(spark):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")
+    old = {n: spark.conf.get(n, None) for n in names}
+    spark.conf.set(names[0], -1)
+    spark.conf.set(names[1], -1)
+    spark.conf.set(names[2], False)
+    try:
+        df = spark.range(4000).selectExpr("'a' AS g", "CAST(id AS DOUBLE) AS v").unionByName(spark.createDataFrame([(None, 1.0), (None, 2.0)], "g string, v double"))
+        tasks = lambda d: d.groupBy(F.spark_partition_id()).count().collect()
+        out = O.value_ranges(df, ["g"], "v", "r")
+        assert len(tasks(out)) > 2
+        r = out.filter("g = 'a'").groupBy("r").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("r").collect()
+        assert len(r) == O.RANGES and max(x["n"] for x in r) < 40 and all(x["hi"] < y["lo"] for x, y in zip(r, r[1:]))
+        half = df.withColumnsRenamed({"v": "x"}).filter("g = 'a'")
+        got = {x["feature"]: x["psi"] for x in E.drift(half, half.filter("x < 2000"), ["x"]).collect()}
+        want = sum((c + 1e-10 - 0.1 - 1e-10) * math.log((c + 1e-10) / (0.1 + 1e-10)) for c in [0.2] * 5 + [0.0] * 5)
+        assert got["x"] == pytest.approx(want, abs=0.02)
+    finally:
+        for n, v in old.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
