@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from touchline.functions import ordered as O
@@ -157,3 +158,19 @@ def test_values_of_few_groups_meet_their_edges_in_parts(spark):
     finally:
         for n, v in old.items():
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def test_ratings_are_fitted_in_blocks_of_pairings(monkeypatch):
+    rng = np.random.default_rng(3)
+    home, away = (x.astype(np.int32) for x in np.nonzero(~np.eye(6, dtype=bool)))
+    sums = [np.ones(len(home)), rng.poisson(1.5, len(home)).astype(float), rng.poisson(1.1, len(home)).astype(float)]
+    fit = lambda: M._fit_ratings(home, away, sums, np.zeros(6), np.zeros(6), M.DEFAULT_LEVEL, M.DEFAULT_EDGE, M.FIRST_SD)
+    whole = fit()
+    monkeypatch.setattr(M, "PAIRS", 7)
+    for a, b in zip(whole, fit()):
+        assert np.allclose(a, b, atol=1e-8)
+    a, d, mu, h = whole
+    over = sums[1] - np.exp(mu + h + a[home] - d[away])
+    other = sums[2] - np.exp(mu + a[away] - d[home])
+    slope = np.bincount(home, over, 6) + np.bincount(away, other, 6) - a / M.FIRST_SD**2
+    assert np.abs(slope).max() < 1e-6
