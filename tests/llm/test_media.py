@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from touchline.llm import media
 
@@ -70,3 +71,25 @@ def test_hash_survives_small_changes():
     other = (128 + 100 * np.sin(x / 3 + 1) * np.cos(y / 5)).astype(np.uint8)
     bits = [int.from_bytes(media.cosine_hash(i)) for i in (image, noisy, other)]
     assert (bits[0] ^ bits[1]).bit_count() <= 14 < (bits[0] ^ bits[2]).bit_count()
+
+
+def test_a_stretch_of_a_batch_at_a_time(spark, monkeypatch):
+    """Both Python steps give out a batch in small parts, in order, however many rows Spark hands over at once."""
+    monkeypatch.setattr(media, "STRETCH", 100)
+    parts = 7
+    df = spark.createDataFrame([(i, "ab " * 20) for i in range(2 * parts)], "doc_id long, text string").coalesce(1)
+    sizes = []
+
+    class Given:  # stands for a frame whose rows are one batch
+        def __init__(self, df):
+            self.schema, self.table = df.schema, df.toArrow()
+
+        def mapInArrow(self, run, schema):
+            sizes.append([b.num_rows for b in run(iter(self.table.combine_chunks().to_batches()))])
+            return df
+
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: Given(self).mapInArrow(run, schema))
+    media.store_texts(df)
+    media.media_features(df.select("doc_id", F.lit(media.encode_png(media.to_samples(b"ab " * 20))).alias("media")))
+    assert sizes[0] == [2] * parts
+    assert len(sizes[1]) > 1 and sum(sizes[1]) == 2 * parts

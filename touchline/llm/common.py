@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,19 @@ def forget(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def stretches(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of a batch whose texts or binaries have about ``size`` bytes, so that only one stretch of them
+    need be Python objects at a time; a longer value ends its stretch."""
+    at, held = 0, 0
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        held += n or 0
+        if held >= size:
+            yield batch.slice(at, i + 1 - at)
+            at, held = i + 1, 0
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def fresh_name(columns: Iterable[str], stem: str) -> str:
     """A column name that no given column has, in any case."""
     taken = {c.lower() for c in columns}

@@ -17,11 +17,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from touchline.llm.common import kept, table
+from touchline.llm.common import kept, stretches, table
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -29,6 +30,10 @@ WIDTH = 64
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 CHUNK = 1 << 20
 HASH_SIDE, GRID = 8, 32
+#: Bytes of texts, or of images, that are Python objects at once; a longer one ends its stretch.
+STRETCH = 1 << 19
+#: What the decoded images give.
+FEATURES = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "feature": "binary"}
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -160,29 +165,34 @@ def to_samples(payload: bytes) -> np.ndarray:
 def store_texts(docs: DataFrame, level: int = 3) -> DataFrame:
     """(doc_id, n_bytes, media): every whole text as PNG in a binary column."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            payloads = [(t or "").encode("utf-8", "replace") for t in texts]
-            yield pd.DataFrame({"n_bytes": [len(p) for p in payloads], "media": [encode_png(to_samples(p), level) for p in payloads]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in (s for batch in batches for s in stretches(batch, "text", STRETCH)):
+            payloads = [t or b"" for t in given.column("text").to_pylist()]
+            made = [pa.array([len(p) for p in payloads], pa.int64()), pa.array([encode_png(to_samples(p), level) for p in payloads], pa.binary())]
+            yield pa.RecordBatch.from_arrays([given.column("doc_id"), *made], ["doc_id", "n_bytes", "media"])
 
-    made = F.pandas_udf(run, "n_bytes long, media binary")
-    return docs.select("doc_id", made(F.col("text")).alias("m")).select("doc_id", "m.n_bytes", "m.media")
+    slim = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def media_features(stored: DataFrame, media: str = "media") -> DataFrame:
     """Add what the decoded images give: payload_bytes, payload_sha256, tail_crc32 and the cosine hash ``feature`` (binary)."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for images in batches:
-            rows = []
-            for png in images:
-                samples = decode_png(png)
-                payload = samples.tobytes()
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), cosine_hash(samples)))
-            yield pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "feature"])
-
-    read = F.pandas_udf(run, "payload_bytes long, payload_sha256 string, tail_crc32 long, feature binary")
-    return stored.withColumn("read", read(F.col(media))).select(*stored.columns, "read.*")
+    def read(png: bytes) -> tuple[int, str, int, bytes]:
+        samples = decode_png(png)
+        payload = samples.tobytes()
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), cosine_hash(samples)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in (s for batch in batches for s in stretches(batch, media, STRETCH)):
+            own = zip(*(read(png) for png in given.column(media).to_pylist()))
+            made = [pa.array(x, t) for x, t in zip(own, (pa.int64(), pa.string(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*given.columns, *made], [*given.schema.names, *FEATURES])
+
+    schema = StructType(list(stored.schema.fields))
+    for name, kind in FEATURES.items():
+        schema = schema.add(name, kind)
+    return stored.mapInArrow(run, schema)
 
 
 def op7_media(spark: SparkSession, folder: str) -> DataFrame:

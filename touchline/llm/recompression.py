@@ -28,13 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import forget, kept, numbered, table
+from touchline.llm.common import forget, kept, numbered, stretches, table
 
 WINDOW = 50
 #: Bytes of text whose arrays are in memory at once; a longer text is a chunk of its own.
@@ -200,14 +199,7 @@ def ranges(line: Line, window: int = WINDOW) -> dict[str, np.ndarray]:
 
 def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Stretches of a batch whose texts have about CHUNK bytes; only one of them is Python objects at a time."""
-    at, size = 0, 0
-    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
-        size += n or 0
-        if size >= CHUNK:
-            yield batch.slice(at, i + 1 - at)
-            at, size = i + 1, 0
-    if at < batch.num_rows:
-        yield batch.slice(at)
+    return stretches(batch, column, CHUNK)
 
 
 _SIGNED = np.int64
