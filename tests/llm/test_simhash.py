@@ -95,3 +95,17 @@ def test_query_on_a_table(spark):
     fps = {i: brute_fp(t) for i, t in texts.items()}
     assert {i: int(r.fingerprint, 16) for i, r in rows.items()} == fps
     assert {i: r.component_id for i, r in rows.items()} == brute_components(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4)
+
+
+@pytest.mark.parametrize("dense", [4096, 16])
+def test_rows_of_many_blocks_are_not_sent_to_every_task(spark, dense):
+    rng = random.Random(3)
+    # one block in common and the rest at random, or nothing in common
+    fps = {rng.getrandbits(63) & ~0x3FFFFFFF for _ in range(300)} if dense == 16 else {rng.getrandbits(63) for _ in range(20000)}
+    frame = spark.createDataFrame([(x,) for x in fps], "fp long")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "12m")
+    try:
+        got = simhash.close_edges(frame, dense=dense).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert all((r.a ^ r.b).bit_count() <= 4 for r in got)

@@ -86,7 +86,8 @@ def close_edges(fps: DataFrame, bits: int = 4, blocks: int = 7, dense: int = 409
     keys = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])
     entries = fps.select("fp", F.posexplode(keys).alias("choice", "key"))
     sizes = entries.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = kept(entries.join(sizes, ["choice", "key"]), "blocks")
+    # Spark sizes exploded rows as if there were one per fingerprint and would send them to every task
+    shared = kept(entries.join(sizes.hint("merge"), ["choice", "key"]), "blocks")
     buckets = shared.filter(F.col("n") <= dense).groupBy("choice", "key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
 
     def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,7 +107,7 @@ def close_edges(fps: DataFrame, bits: int = 4, blocks: int = 7, dense: int = 409
         .select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     )
     hubs = points.groupBy("point").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    far = points.join(hubs, "point").filter("fp != hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
+    far = points.join(hubs.hint("merge"), "point").filter("fp != hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
     return near.unionByName(far)
 
 
