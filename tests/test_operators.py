@@ -431,3 +431,27 @@ def test_poisson_ratings_are_the_optimum(spark):
         assert abs(keep - got["2020-21", c]["defence"] / 0.3**2) < 1e-6
     lam = M.expected_goals(M.poisson_ratings(df), df.filter("status = 'scheduled'")).collect()
     assert len(lam) == sum(r[4] == "scheduled" for r in rows) and all(r["lam_h"] > 0 and r["lam_a"] > 0 for r in lam)
+
+
+def test_trees_are_added_until_the_next_ones_stop_helping(spark, monkeypatch):
+    from touchline.plans import learn
+
+    assert M.stopping_tree([5, 4, 3, 3.5, 3.2, 3.1, 1], 3) == (3, True)
+    assert M.stopping_tree([5, 4, 3, 3.5, 2.9, 3.1], 3) == (5, False)
+    df = spark.range(2000).select((F.rand(1) * 6).alias("a"), (F.rand(2) < 0.5).alias("later")).withColumn("y", 10 * F.sin("a") + F.randn(4))
+    train, valid = df.filter("not later"), df.filter("later")
+    small = {"most": 12, "patience": 3, "depth": 2, "rate": 0.3, "leaf": 5}
+    got = M.fit_stopped(train, valid, ["a"], "y", **small)
+    few = M.fit_points(train, valid, ["a"], "y", learn.TREES, 3)
+    error = lambda m: m.predict(valid).agg(F.avg(F.abs(F.col("pred") - F.col("y")))).first()[0]
+    assert got.members[0].stages[-1].getNumTrees > learn.TREES and error(got) < error(few)
+    tree = got.members[0]
+    judged = M.impute(valid, ["a"])[0].withColumn("label", F.col("y"))
+    spark_says = tree.stages[-1].evaluateEachIteration(tree.stages[0].transform(judged), "squared")
+    assert np.allclose(M.errors_by_trees(tree, judged) / valid.count(), spark_says)
+    assert (M.MOST_TREES, M.PATIENCE, M.DEPTH, M.RATE) == (3000, 100, 8, 0.03)
+    # the query asks for no smaller search
+    calls, whole = [], M.fit_stopped
+    monkeypatch.setattr(M, "fit_stopped", lambda *a, **b: calls.append((len(a), b)) or whole(*a, **small))
+    assert learn._m1(spark, "/root/testdata/sf0.001").count() > 0
+    assert calls == [(4, {})]
