@@ -88,3 +88,25 @@ def test_centroids_look_at_the_lowest_hashes_only(spark, monkeypatch):
     assert few.shape == (5, 8) and 100 <= taken[0] < 200
     monkeypatch.setattr(N, "SAMPLE", 10**6)
     assert np.allclose(few, N.centroids(rows.join(limit(rows.filter("v IS NOT NULL").selectExpr("id", "xxhash64(id) AS h").orderBy("h", "id"), 100), "id"), "id", "v", 5))
+
+
+def test_every_vector_asks(spark):
+    import __spark_entry__ as entry
+    from oracle import compare, connect
+
+    folder = "/root/testdata/sf0.001"
+    found = entry.queries()["T8_nearest"](spark, folder)
+    asked = {r["vec_id"] for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id").collect()}
+    assert {r["query_id"] for r in found.select("query_id").collect()} == asked
+    compare(found, connect(folder), entry.oracle_sql()["T8_nearest"])
+
+
+def test_vectors_are_not_sent_to_every_task(spark):
+    x = np.random.default_rng(5).normal(size=(4000, 32))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "4m")
+    try:
+        got = N.nearest(df, df, "id", "v", 2, apart="id", exact=False).count()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert got == 8000
