@@ -174,3 +174,33 @@ def test_ratings_are_fitted_in_blocks_of_pairings(monkeypatch):
     other = sums[2] - np.exp(mu + a[away] - d[home])
     slope = np.bincount(home, over, 6) + np.bincount(away, other, 6) - a / M.FIRST_SD**2
     assert np.abs(slope).max() < 1e-6
+
+
+def test_every_name_asks(spark):
+    import __spark_entry__ as entry
+    from oracle import compare, connect
+
+    found = entry.queries()["T3_resolve_names"](spark, FOLDER)
+    asked = {r["p_partkey"] for r in spark.read.parquet(f"{FOLDER}/part.parquet").select("p_partkey").collect()}
+    assert {r["query_id"] // 10 for r in found.select("query_id").distinct().collect()} == asked
+    compare(found, connect(FOLDER), entry.oracle_sql()["T3_resolve_names"])
+
+
+def test_an_id_that_asks_twice_is_ranked_as_one(spark):
+    names = spark.createDataFrame([(1, "red ring", 5.0), (2, "red bolt", 4.0), (3, "blue bolt", 3.0)], "entry_id long, name string, popularity double")
+    asked = spark.createDataFrame([(7, "red"), (7, "bolt"), (8, "blue bolt"), (9, "bolt zzz"), (9, "blue"), (None, "red")], "query_id long, query string")
+    got = sorted((r["query_id"], r["rank_no"], r["entry_id"], r["tier"]) for r in T.resolve_names(asked, names, 3).collect())
+    assert got == [(7, 1, 1, 3), (7, 2, 2, 3), (7, 3, 2, 3), (8, 1, 3, 4), (9, 1, 3, 3)]
+
+
+def test_exploded_words_are_not_sent_to_every_task(spark):
+    from touchline.operators import mentions as W
+
+    v = spark.range(1000000, 1020000).select(F.col("id").cast("string").alias("v"))
+    w = spark.createDataFrame([("1000001",), ("1000x05",), ("100",)], "word string")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "4m")
+    try:
+        got = {r["word"]: (r["corrected"], r["ratio"]) for r in W.closest(W.similar_words(w, v, 0.8)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert got["1000001"] == ("1000001", 1.0) and got["1000x05"][0] == "1000005"
