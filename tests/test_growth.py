@@ -204,3 +204,27 @@ def test_exploded_words_are_not_sent_to_every_task(spark):
     finally:
         spark.conf.unset("spark.sql.maxBroadcastTableSize")
     assert got["1000001"] == ("1000001", 1.0) and got["1000x05"][0] == "1000005"
+
+
+def test_promoted_clubs_meet_on_whole_beginnings(spark):
+    from touchline.sources import tables as K
+
+    listed = spark.createDataFrame([(f"Club {k}",) for k in range(40)] + [("AB",), ("Club",), (None,)], "team string")
+    lower = spark.createDataFrame([(f"Club {k} Town" if k % 2 else f"Club {k}", k) for k in range(40)] + [("AB Town", 90), ("AB", 91), ("Club 1Town", 92)], "squad string, row_no long")
+    out = K.promoted_clubs(listed, listed.filter("team = 'Club 3'"), lower)
+    want = {f"Club {k}": f"Club {k} Town" if k % 2 else f"Club {k}" for k in range(40) if k != 3} | {"AB": "AB Town", "Club": "Club 0"}
+    assert {r["team"]: r["squad"] for r in out.collect()} == want
+    assert "startswith" not in _plan(out).lower()  # no pairs are formed that are thrown away
+
+
+def test_gameweek_frames_are_written_once(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from touchline.plans import features
+
+    made, whole = [], E.written
+    monkeypatch.setattr(E, "written", lambda df, name: made.append(name) or whole(df, name))
+    monkeypatch.setattr(features, "written", lambda df, name: made.append((name, len(df.columns))) or whole(df, name))
+    for name, want in (("E17_double_gameweeks", ["rows", "team-gameweeks", "player-gameweeks"]), ("E19_gameweek_table", ["player-gameweeks"]), ("F41_congestion", [("appearances", 7)])):
+        made.clear()
+        plan = _plan(entry.queries()[name](spark, FOLDER))
+        assert made == want and plan.count("l_discount") <= 3
